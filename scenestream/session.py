@@ -37,7 +37,7 @@ def slice_ms(spark: SparkSession) -> int:
 def planned_bytes(df: DataFrame) -> int | None:
     """Size estimate of a plan; None where the session does not expose it."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except AttributeError:
         return None
 
