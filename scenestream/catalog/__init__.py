@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rules", "flow", "alerts")
+MODULES = ("rules", "flow", "alerts", "evaluation")
 
 
 def load():

@@ -94,14 +94,14 @@ _VIEWS = {
     "truth": (
         [],
         f"""SELECT video, gt_idx, type, sub_type, tripwire_id, direction,
-             CASE WHEN gt_idx % 5 <> 0 THEN at END AS time_sec,
-             CASE WHEN gt_idx % 5 = 0 THEN at - 300 END AS t_start,
-             CASE WHEN gt_idx % 5 = 0 THEN at + 600 END AS t_end
+             CASE WHEN gt_idx % 5 <> 0 THEN tat END AS time_sec,
+             CASE WHEN gt_idx % 5 = 0 THEN tat - 300 END AS t_start,
+             CASE WHEN gt_idx % 5 = 0 THEN tat + 600 END AS t_end
            FROM (SELECT 'clip' || (user_id % 10) AS video, event_id AS gt_idx, {_KIND} AS type, {_SUB} AS sub_type,
              {_WIRE} AS tripwire_id,
              CASE WHEN event_type = 'view' THEN CASE WHEN event_id % 11 < 8 THEN {_SUB} ELSE 'in' END END
                AS direction,
-             CAST({_MS} // 1000 - 1704067200 + (event_id % 7 - 3) * 600 AS DOUBLE) AS at
+             CAST({_MS} // 1000 - 1704067200 + (event_id % 7 - 3) * 600 AS DOUBLE) AS tat
            FROM events WHERE event_id % 4 <> 0)""",
     ),
     "samples": (

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import bucket_start, local_time
 from ..schema import AREA_CLASSES
-from .sequence import cooldown, running_count
+from .sequence import cooldown, running
 
 DAY_MS = 86_400_000
 
@@ -48,7 +48,7 @@ def flow_windows(crossings: DataFrame, seconds: int = 60) -> DataFrame:
         .withColumns({"window_end": F.col("window_start") + width, "_day": F.floor(F.col("window_start") / DAY_MS)})
     )
     totals = {"total_in": F.col("window_in"), "total_out": F.col("window_out")}
-    return running_count(windows, ["camera_id"], ["_day"], ["window_start"], totals).drop("_day")
+    return running(windows, ["camera_id"], [["_day"]], ["window_start"], totals).drop("_day")
 
 
 def recovered_today(windows: DataFrame, now_ms: int, zone: str = "UTC") -> DataFrame:

@@ -78,28 +78,63 @@ def observe(detections: DataFrame, frames: DataFrame) -> DataFrame:
 # --- numbering ------------------------------------------------------------------------------------
 
 
-def running_count(
-    df: DataFrame, group: Sequence[str], part: Sequence[str], order: Sequence[Column | str], values: dict[str, Column]
+def running(
+    df: DataFrame,
+    group: Sequence[str],
+    levels: Sequence[Sequence[str]],
+    order: Sequence[str],
+    values: dict[str, Column],
+    how: str = "sum",
+    reverse: bool = False,
+    exclusive: bool = False,
 ) -> DataFrame:
-    """Inclusive running sums over each group in the order (part..., order...).
+    """Running sum or max over each group in the order (levels..., order...), optionally from the end.
 
-    ``part`` are columns that cut a group into ordered pieces: only one piece is ever sorted in one
-    task, and piece totals are summed in a second, small pass.
+    ``levels`` are lists of columns that cut a group into ever finer ordered pieces. Only a finest piece
+    is sorted in one task; what precedes it comes from totals of pieces, level by level, so neither a
+    large group nor one value shared by most rows meets in a single task. Small inputs use one window.
     """
-    group, part = list(group), list(part)
-    inner = Window.partitionBy(*group, *part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = df.groupBy(*group, *part).agg(*[F.sum(v).alias(f"_t_{n}") for n, v in values.items()])
-    outer = Window.partitionBy(*group).orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *group,
-        *part,
-        *[F.coalesce(F.sum(f"_t_{n}").over(outer), F.lit(0)).alias(f"_o_{n}") for n in values],
-    )
+    group = list(group)
+    flat = [c for level in levels for c in level]
+    fn = {"sum": F.sum, "max": F.max}[how]
+    merge = (lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))) if how == "sum" else F.greatest
+
+    def sort(cols: Sequence[str]) -> list[Column]:
+        return [F.col(c).desc() if reverse else F.col(c).asc() for c in cols]
+
+    def upto(w: WindowSpec, last: int) -> WindowSpec:
+        return w.rowsBetween(Window.unboundedPreceding, last)
+
+    end = -1 if exclusive else 0
+    if not wants_slices(df):
+        w = upto(Window.partitionBy(*group).orderBy(*sort([*flat, *order])), end)
+        zero = F.lit(0) if how == "sum" else F.lit(None)
+        return df.withColumns({n: F.coalesce(fn(v).over(w), zero) for n, v in values.items()})
+
+    names = list(values)
+    totals = df.groupBy(*group, *flat).agg(*[fn(v).alias(n) for n, v in values.items()])
+
+    def before(t: DataFrame, g: list[str], rest: Sequence[Sequence[str]]) -> DataFrame:
+        """For each piece of t, the merged totals of all pieces before it inside g."""
+        head, finer = list(rest[0]), rest[1:]
+        t0 = t if not finer else t.groupBy(*g, *head).agg(*[fn(n).alias(n) for n in names])
+        w = upto(Window.partitionBy(*g).orderBy(*sort(head)), -1)
+        off = t0.select(*g, *head, *[fn(n).over(w).alias(f"_o_{n}") for n in names])
+        if not finer:
+            return off
+        inner = before(t, [*g, *head], finer)
+        both = inner.join(off.withColumnsRenamed({f"_o_{n}": f"_c_{n}" for n in names}), [*g, *head])
+        return both.withColumns({f"_o_{n}": merge(F.col(f"_o_{n}"), F.col(f"_c_{n}")) for n in names}).drop(
+            *[f"_c_{n}" for n in names]
+        )
+
+    part = [*group, *flat]
+    w = upto(Window.partitionBy(*part).orderBy(*sort(order)), end)
     return (
-        df.withColumns({f"_i_{n}": F.sum(v).over(inner) for n, v in values.items()})
-        .join(offsets, [*group, *part])
-        .withColumns({n: F.col(f"_i_{n}") + F.col(f"_o_{n}") for n in values})
-        .drop(*[f"_i_{n}" for n in values], *[f"_o_{n}" for n in values])
+        df.withColumns({f"_i_{n}": fn(v).over(w) for n, v in values.items()})
+        .join(before(totals, group, levels), part)
+        .withColumns({n: merge(F.col(f"_i_{n}"), F.col(f"_o_{n}")) for n in names})
+        .drop(*[f"_i_{n}" for n in names], *[f"_o_{n}" for n in names])
     )
 
 
