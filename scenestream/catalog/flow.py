@@ -98,13 +98,13 @@ def crossings(spark, sf):
     return tw.crossings(observations(spark, sf, roi=None), wire_dim(spark))
 
 
-_COLS = ["camera_id", "tripwire_id", "track_id", "frame_seq", F.col("frame_ms").alias("ts_ms"), "det_idx", "class_name", "direction"]
+_COLS = ["camera_id", "tripwire_id", "track_id", "frame_seq", "frame_ms as ts_ms", "det_idx", "class_name", "direction"]
 _SQL_COLS = "camera_id, tripwire_id, track_id, frame_seq, frame_ms AS ts_ms, det_idx, class_name, direction"
 
 
 @query("rule_tripwire", with_views("tracked", TRACKED_WIRE + f"SELECT {_SQL_COLS} FROM tcross"))
 def rule_tripwire(spark, sf):
-    return tw.tracked_crossings(observations(spark, sf, roi=None), wire_dim(spark)).select(*_COLS)
+    return tw.tracked_crossings(observations(spark, sf, roi=None), wire_dim(spark)).selectExpr(*_COLS)
 
 
 @query(
@@ -113,7 +113,7 @@ def rule_tripwire(spark, sf):
 )
 def rule_tripwire_untracked(spark, sf):
     out = tw.untracked_crossings(observations(spark, sf, roi=None), wire_dim(spark))
-    return out.withColumn("track_id", F.lit(-1)).select(*_COLS)
+    return out.withColumn("track_id", F.lit(-1)).selectExpr(*_COLS)
 
 
 def _flow_sql(body: str) -> str:
