@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rules", "flow", "alerts", "evaluation", "geometry", "boxes")
+MODULES = ("geometry", "rules", "flow", "alerts", "boxes", "evaluation", "datasets")
 
 
 def load():

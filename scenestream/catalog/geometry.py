@@ -112,8 +112,8 @@ _NORM = "(x1 + x2) / 2.0 / 1280 AS nx, (y1 + y2) / 2.0 / 720 AS ny, (x2 - x1) /
     with_views(
         "det frames",
         f"""ln AS (SELECT camera_id, frame_seq, det_idx, '# conf=' || printf('%.2f', round(confidence, 2)) || ' ' || class_name AS c,
-          class_id || ' ' || printf('%.6f', round(nx, 6)) || ' ' || printf('%.6f', round(ny, 6)) || ' ' ||
-          printf('%.6f', round(nw, 6)) || ' ' || printf('%.6f', round(nh, 6)) AS l
+          class_id || ' ' || printf('%.6f', nx) || ' ' || printf('%.6f', ny) || ' ' ||
+          printf('%.6f', nw) || ' ' || printf('%.6f', nh) AS l
           FROM (SELECT *, {_NORM} FROM det))
         SELECT f.camera_id, f.frame_seq, coalesce(string_agg(c || chr(10) || l, chr(10) ORDER BY det_idx), '# no detections') AS body
         FROM frames f LEFT JOIN ln USING (camera_id, frame_seq) GROUP BY ALL""",

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..schema import ALERTS, struct_type
 
-_ALERT_COLUMNS = [f.name for f in struct_type(ALERTS)]
 # What a missing value is stored as.
 _DEFAULTS = {"type": "unknown", "sub_type": "", "camera_id": "", "track_id": -1, "class_name": "", "confidence": 0.0, "detail": ""}
 
@@ -19,7 +18,8 @@ def _date(ms: Column) -> Column:
 def alert_rows(events: DataFrame) -> DataFrame:
     """Common alert columns with defaults; any other column goes into ``extra`` as JSON."""
     have = set(events.columns)
-    known = set(_ALERT_COLUMNS)
+    names = [f.name for f in struct_type(ALERTS)]
+    known = set(names)
     rest = [c for c in events.columns if c not in known]
     out = []
     for f in struct_type(ALERTS):
@@ -36,7 +36,7 @@ def alert_rows(events: DataFrame) -> DataFrame:
         # Keep an extra that came as JSON text beside the new keys.
         out = [
             F.to_json(F.struct(*rest, F.col("extra"))).alias("extra") if n == "extra" else c
-            for n, c in zip(_ALERT_COLUMNS, out)
+            for n, c in zip(names, out)
         ]
     return events.select(*out).withColumn("event_date", _date(F.col("ts_ms")))
 
