@@ -111,7 +111,7 @@ _NORM = "(x1 + x2) / 2.0 / 1280 AS nx, (y1 + y2) / 2.0 / 720 AS ny, (x2 - x1) /
     "labels_render",
     with_views(
         "det frames",
-        f"""ln AS (SELECT camera_id, frame_seq, det_idx, '# conf=' || printf('%.2f', round(confidence, 2)) || ' ' || class_name AS c,
+        f"""ln AS (SELECT camera_id, frame_seq, det_idx, '# conf=' || printf('%.2f', confidence) || ' ' || class_name AS c,
           class_id || ' ' || printf('%.6f', nx) || ' ' || printf('%.6f', ny) || ' ' ||
           printf('%.6f', nw) || ' ' || printf('%.6f', nh) AS l
           FROM (SELECT *, {_NORM} FROM det))

@@ -55,30 +55,17 @@ def to_normalised(b: Box, width: Column, height: Column) -> tuple[Column, Column
     )
 
 
-def six_digits(x: Column) -> Column:
-    """``%.6f`` with C rounding: by the exact binary value, half to even.
+def fixed(x: Column, digits: int) -> Column:
+    """``%.6f`` and the like with C rounding: by the exact binary value, half to even.
 
-    Java's formatter rounds the shortest decimal form instead, which differs where that form ends in a
-    5. Normalised values are small, so x * 2**60 is an exact BIGINT.
+    ``format_string`` rounds the shortest decimal form half up, which differs where that form ends in 5.
     """
-    one = 1 << 60
-    scaled = F.shiftleft(F.lit(1).cast("bigint"), 60)
-    n = (F.abs(x) * scaled).cast("bigint").cast("decimal(20,0)") * F.lit(1_000_000).cast("decimal(7,0)")
-    unit = F.lit(str(one)).cast("decimal(19,0)")
-    whole = F.floor(n / unit).cast("decimal(20,0)")
-    # The quotient is a rounded decimal; step back if it was rounded up to the next unit.
-    whole = F.when(whole * unit > n, whole - 1).otherwise(whole).cast("bigint")
-    twice = (n - whole.cast("decimal(20,0)") * unit) * 2
-    up = (twice > unit) | ((twice == unit) & (whole % 2 == 1))
-    micro = whole + up.cast("bigint")
-    sign = F.when((x < 0) & (micro > 0), "-").otherwise("")
-    text = F.concat(sign, F.floor(micro / 1_000_000).cast("string"), F.lit("."), F.lpad((micro % 1_000_000).cast("string"), 6, "0"))
-    return F.when(F.abs(x) < 4, text).otherwise(F.format_string("%.6f", x))
+    return F.regexp_replace(F.format_number(x, digits), ",", "")
 
 
 def render_line(class_id: Column, cx: Column, cy: Column, w: Column, h: Column) -> Column:
-    return F.concat_ws(" ", class_id.cast("string"), *[six_digits(v) for v in (cx, cy, w, h)])
+    return F.concat_ws(" ", class_id.cast("string"), *[fixed(v, 6) for v in (cx, cy, w, h)])
 
 
 def render_comment(confidence: Column, name: Column) -> Column:
-    return F.format_string("# conf=%.2f %s", confidence, name)
+    return F.concat(F.lit("# conf="), fixed(confidence, 2), F.lit(" "), name)
