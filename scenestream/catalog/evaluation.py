@@ -436,3 +436,10 @@ def prf(spark, sf):
 def report_json(spark, sf):
     d, t = _boxes(spark, sf)
     return ev.report_json(ev.class_metrics(d, t), ev.aggregate_metrics(_eval_rules(spark, sf)))
+
+
+@query("evaluate_all")
+def evaluate_all(spark, sf):
+    """Box and rule scores of one run, as (scope, name, value)."""
+    d, t = _boxes(spark, sf)
+    return ev.evaluate_all(d, t, p.predicted_events(spark, sf), p.truth_events(spark, sf), TOL)

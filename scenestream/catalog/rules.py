@@ -304,21 +304,116 @@ def rule_fall_pose(spark, sf):
     return basic(r.fall(observations(spark, sf, keypoints=True), confirm=1, cooldown_s=1.0), "sign")
 
 
-@query("rule_crowd")
+def _first_in_frame_sql(wait_ms: int, cols: str) -> str:
+    """Frames in order; in each the first hit whose track is not cooling down fires (confirmation 1)."""
+    return f"""
+  fr0 AS (SELECT camera_id, frame_seq, frame_ms, list({{'tr': track_id, 'd': det_idx}} ORDER BY det_idx) AS hits,
+      count(*) AS n FROM judged WHERE hit GROUP BY camera_id, frame_seq, frame_ms),
+  fr AS (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY frame_seq) AS k FROM fr0),
+  sc AS (
+    SELECT DISTINCT camera_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(tr BIGINT, ms BIGINT)[]) AS live,
+      CAST(NULL AS BIGINT) AS frame_seq, CAST(NULL AS BIGINT) AS d FROM fr
+    UNION ALL
+    SELECT camera_id, k, CASE WHEN h IS NULL THEN live ELSE list_append(live, {{'tr': h.tr, 'ms': frame_ms}}) END, frame_seq, h.d
+    FROM (SELECT *, list_filter(hits, lambda x: NOT list_contains(list_transform(live, lambda y: y.tr), x.tr))[1] AS h
+      FROM (SELECT f.camera_id, f.k, f.frame_seq, f.frame_ms, f.hits,
+              list_filter(s.live, lambda x: f.frame_ms - x.ms < {wait_ms}) AS live
+            FROM sc s JOIN fr f ON f.camera_id = s.camera_id AND f.k = s.k + 1)))
+  SELECT {cols} FROM judged j JOIN sc ON sc.camera_id = j.camera_id AND sc.frame_seq = j.frame_seq AND sc.d = j.det_idx"""
+
+
+_HEADS = """
+  per AS (SELECT *, count(*) OVER (PARTITION BY camera_id, frame_seq) AS heads FROM tracked WHERE in_roi AND class_name = 'person')"""
+
+
+@query(
+    "rule_crowd",
+    with_views(
+        "tracked",
+        _HEADS
+        + """, near AS (SELECT a.camera_id, a.frame_seq, a.frame_ms, a.det_idx, a.track_id, count(b.det_idx) + 1 AS nearby
+          FROM per a LEFT JOIN per b ON a.camera_id = b.camera_id AND a.frame_seq = b.frame_seq AND a.det_idx <> b.det_idx
+            AND sqrt((a.cx - b.cx)*(a.cx - b.cx) + (a.cy - b.cy)*(a.cy - b.cy)) < 400
+          WHERE a.heads > 1 GROUP BY ALL),
+        judged AS (SELECT *, nearby > 1 AS hit FROM near),"""
+        + _first_in_frame_sql(1000, "j.camera_id, j.frame_seq, j.frame_ms AS ts_ms, j.det_idx, j.track_id, j.nearby"),
+        True,
+    ),
+)
 def rule_crowd(spark, sf):
     out = r.crowd(observations(spark, sf), max_count=1, radius=400.0, confirm=1, cooldown_s=1.0)
     return out.select("camera_id", "frame_seq", F.col("frame_ms").alias("ts_ms"), "det_idx", "track_id", "nearby")
 
 
-@query("rule_fight")
-def rule_fight(spark, sf):
-    out = r.fight(observations(spark, sf, keypoints=True), radius=400.0, min_speed=80.0, confirm=1, cooldown_s=1.0)
+def _fight_rows(out):
     return out.select(
         "camera_id", "frame_seq", F.col("frame_ms").alias("ts_ms"), "det_idx", "track_id", "involved_count",
         F.round("avg_speed", 4).alias("avg_speed"), "has_pose",
     )
 
 
+@query(
+    "rule_fight",
+    with_views(
+        "tracked",
+        _HEADS
+        + """, mv AS (SELECT *, CASE WHEN lag(frame_seq) OVER w = prev_seq THEN
+            sqrt((cx - lag(cx) OVER w)*(cx - lag(cx) OVER w) + (cy - lag(cy) OVER w)*(cy - lag(cy) OVER w))
+            / ((frame_ms - lag(frame_ms) OVER w) / 1000.0::DOUBLE) ELSE 0 END AS sp
+          FROM per WINDOW w AS (PARTITION BY camera_id, track_id ORDER BY frame_seq, det_idx)),
+        near AS (SELECT a.camera_id, a.frame_seq, a.frame_ms, a.det_idx, a.track_id, a.sp, count(b.det_idx) + 1 AS involved_count,
+            coalesce(sum(b.sp), 0) AS others_sp
+          FROM mv a LEFT JOIN mv b ON a.camera_id = b.camera_id AND a.frame_seq = b.frame_seq AND a.det_idx <> b.det_idx
+            AND sqrt((a.cx - b.cx)*(a.cx - b.cx) + (a.cy - b.cy)*(a.cy - b.cy)) < 400
+          WHERE a.heads >= 2 GROUP BY ALL),
+        judged AS (SELECT *, involved_count >= 2 AND sp > 80 AS hit FROM near),"""
+        + _first_in_frame_sql(
+            1000,
+            "j.camera_id, j.frame_seq, j.frame_ms AS ts_ms, j.det_idx, j.track_id, j.involved_count, "
+            "round((j.sp + j.others_sp) / j.involved_count, 4) AS avg_speed, false AS has_pose",
+        ),
+        True,
+    ),
+)
+def rule_fight(spark, sf):
+    obs = observations(spark, sf).withColumn("keypoints", F.lit(None).cast("array<struct<x:double,y:double,conf:double>>"))
+    return _fight_rows(r.fight(obs, radius=400.0, min_speed=80.0, confirm=1, cooldown_s=1.0))
+
+
+@query("rule_fight_pose")
+def rule_fight_pose(spark, sf):
+    """With key points and confirmation over two observations."""
+    obs = observations(spark, sf, keypoints=True)
+    return _fight_rows(r.fight(obs, radius=400.0, min_speed=80.0, confirm=2, cooldown_s=1.0))
+
+
+def sample_cameras():
+    from ..plans.ruleset import Camera
+
+    w = p.WIRE
+    on = {"enabled": True}
+    rules = {
+        "intrusion": {**on, "confirm_frames": 2, "cooldown": 1.0},
+        "presence": {**on, "cooldown": 1.0, "min_confidence": 0.5},
+        "dwell": {**on, "max_seconds": 0.6, "confirm_frames": 2, "cooldown": 2.0},
+        "crowd": {**on, "max_count": 1, "radius": 400.0, "confirm_frames": 1, "cooldown": 1.0},
+        "proximity": {**on, "min_distance": 120.0, "confirm_frames": 1, "cooldown": 1.0},
+        "wrong_way": {**on, "expected_direction": "positive", "confirm_frames": 3, "cooldown": 1.5},
+        "speed": {**on, "max_pixel_speed": 70.0, "confirm_frames": 2, "cooldown": 1.5},
+        "fight": {**on, "proximity_radius": 400.0, "min_speed": 80.0, "min_persons": 2, "confirm_frames": 1, "cooldown": 1.0},
+        "fall": {**on, "ratio_threshold": 1.0, "min_ratio_change": 0.5, "min_y_drop": 20.0, "confirm_frames": 1, "cooldown": 1.0},
+    }
+    allowed = ["intrusion", "tripwire", "anomaly/dwell", "anomaly/crowd", "anomaly/proximity", "anomaly/fight", "anomaly/fall"]
+    return [Camera(c, rules, p.ROI, [w], allowed) for c in p.CAMERAS]
+
+
+@query("rule_all")
+def rule_all(spark, sf):
+    from ..plans.ruleset import rule_set
+
+    return rule_set(p.detections(spark, sf), p.frames(spark, sf), sample_cameras())
+
+
 @query(
     "track_exits",
     with_views(

@@ -258,3 +258,21 @@ def report_json(class_rows: DataFrame, rule_rows: DataFrame) -> DataFrame:
     r = rule_rows.agg(F.sort_array(F.collect_list(F.struct("type", "sub_type", "tp", "fp", "fn"))).alias("rules"))
     both = c.join(F.broadcast(r))  # one row each
     return both.select(F.to_json(F.struct("classes", "rules")).alias("report"))
+
+
+def evaluate_all(dets: DataFrame, truth: DataFrame, pred_events: DataFrame, truth_events: DataFrame, tolerance: float) -> DataFrame:
+    """Detection scores and rule scores of one evaluation run, as rows (scope, name, value)."""
+    images = per_image(dets, truth, match_boxes(dets, truth, 0.5))
+    boxes = global_pr(images).selectExpr("stack(3, 'precision', precision, 'recall', recall, 'f1', f1) as (name, value)")
+    maps = map_by_threshold(dets, truth).agg(
+        F.max(F.when(F.col("threshold") == THRESHOLDS[0], F.col("map"))).alias("map50"), F.avg("map").alias("map50_95")
+    )
+    maps = maps.selectExpr("stack(2, 'map50', map50, 'map50_95', map50_95) as (name, value)")
+    rules = evaluate_rules(pred_events, truth_events, tolerance).select("type", "sub_type", "tp", "fp", "fn", "has_samples")
+    wires = evaluate_tripwire(pred_events, truth_events, tolerance).selectExpr(
+        "'tripwire' as type", "sub_type", "tp", "fp", "fn", "true as has_samples"
+    )
+    scores = aggregate_metrics(rules.unionByName(wires)).selectExpr(
+        "concat_ws('/', type, nullif(sub_type, '')) as scope", "stack(3, 'precision', precision, 'recall', recall, 'f1', f1) as (name, value)"
+    )
+    return boxes.unionByName(maps).selectExpr("'detection' as scope", "name", "value").unionByName(scores)

@@ -50,6 +50,21 @@ def wants_slices(df: DataFrame) -> bool:
     return size is None or size >= SLICE_FROM_BYTES
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a result that several branches of a plan read.
+
+    Goes to the shared folder named by ``spark.checkpoint.dir``, so it survives lost executors. Without
+    that setting the plan stays as it is and the branches recompute.
+    """
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "20g") -> SparkSession:
     """A local session for tests and the benchmark."""
     spark = (
