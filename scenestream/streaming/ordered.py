@@ -12,35 +12,51 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, MapType, StructField, StructType
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 # step(state, row) -> (new state, emit?). State and row are dicts; state starts empty.
 Step = Callable[[dict, dict], tuple[dict, bool]]
+FRAME_STATE = "last bigint, before bigint, open bigint"
 
 
 class InOrder(StatefulProcessor):
-    """Buffers a key's rows and steps through them once the watermark allows."""
+    """Buffers a key's rows and steps through them once the watermark allows.
 
-    def __init__(self, columns: Sequence[str], row_schema: StructType, state_schema: StructType, step: Step, time: str, order: Sequence[str], emit: Callable[[dict, dict], dict] | None, ttl_ms: int | None):
+    With ``sub`` the key holds many sequences (the tracks of a camera), each with its own state. With
+    ``linked`` the rows include frame markers (``det_idx`` -1); a detection then runs only when its frame
+    had motion, and sees the frame processed before as ``prev_seq``.
+    """
+
+    def __init__(self, columns, row_schema, state_schema, step, time, order, emit, sub, linked):
         self.columns, self.row_schema, self.state_schema = list(columns), row_schema, state_schema
-        self.step, self.time, self.order, self.emit, self.ttl_ms = step, time, list(order), emit, ttl_ms
+        self.step, self.time, self.order, self.emit = step, time, list(order), emit
+        self.sub, self.linked = sub, linked
+        self.whole = [isinstance(f.dataType, (IntegerType, LongType)) for f in row_schema]
+        # Parsed here: workers have no Spark context to parse them with.
+        self.frame_schema, self.key_schema = StructType.fromDDL(FRAME_STATE), StructType.fromDDL("sub bigint")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.row_schema)
-        self.state = handle.getValueState("state", self.state_schema)
+        self.frame = handle.getValueState("frame", self.frame_schema) if self.linked else None
+        self.states = handle.getMapState("states", self.key_schema, self.state_schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         latest = None
+        items = []
         for pdf in rows:
-            items = [tuple(_plain(v) for v in r) for r in pdf[self.columns].itertuples(index=False, name=None)]
-            if items:
-                self.waiting.appendList(items)
+            items += [
+                tuple(_plain(v, whole) for v, whole in zip(r, self.whole))
+                for r in pdf[self.columns].itertuples(index=False, name=None)
+            ]
+            if len(pdf):
                 top = int(pdf[self.time].max())
                 latest = top if latest is None else max(latest, top)
-        if latest is not None:
+        if items:
+            held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+            self.waiting.put(held + items)
             self.handle.registerTimer(latest + 1)
         yield pd.DataFrame()
 
@@ -49,33 +65,52 @@ class InOrder(StatefulProcessor):
         rows = [dict(zip(self.columns, r)) for r in self.waiting.get()] if self.waiting.exists() else []
         ready = sorted((r for r in rows if r[self.time] <= until), key=lambda r: tuple(r[c] for c in self.order))
         rest = [tuple(r[c] for c in self.columns) for r in rows if r[self.time] > until]
+        if not ready:
+            yield pd.DataFrame()
+            return
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
         names = [f.name for f in self.state_schema]
-        state = dict(zip(names, self.state.get())) if self.state.exists() else {}
+        frame = {}
+        if self.linked and self.frame.exists():
+            frame = dict(zip(("last", "before", "open"), self.frame.get()))
+        states: dict[int, dict] = {}
         out = []
         for r in ready:
-            state, fire = self.step(state, r)
+            if self.linked:
+                if r["det_idx"] < 0:
+                    if r["has_motion"]:
+                        frame = {"before": frame.get("last"), "last": r["frame_seq"], "open": r["frame_seq"]}
+                    continue
+                if frame.get("open") != r["frame_seq"]:
+                    continue
+                r["prev_seq"] = frame["before"]
+            k = r[self.sub] if self.sub else 0
+            if k not in states:
+                kept = self.states.getValue((k,)) if self.states.containsKey((k,)) else None
+                states[k] = dict(zip(names, kept)) if kept is not None else {}
+            states[k], fire = self.step(states[k], r)
             if fire:
-                out.append(self.emit(state, r) if self.emit else r)
-        if ready:
-            self.state.update(tuple(state.get(n) for n in names))
-            if rest:
-                self.waiting.put(rest)
-            else:
-                self.waiting.clear()
-            if self.ttl_ms is not None and not rest:
-                self.handle.registerTimer(int(ready[-1][self.time]) + self.ttl_ms)
-        elif not rest and state and self.ttl_ms is not None:
-            self.state.clear()
-        if out:
-            yield pd.DataFrame(out)
+                row = self.emit(states[k], r) if self.emit else r
+                out.append(row)
+        for k, st in states.items():
+            self.states.updateValue((k,), tuple(st.get(n) for n in names))
+        if self.linked and frame:
+            self.frame.update((frame.get("last"), frame.get("before"), frame.get("open")))
+        yield pd.DataFrame(out)
 
     def close(self) -> None:
         pass
 
 
-def _plain(v):
+def _plain(v, whole: bool):
+    """Python value of a pandas cell; pandas turns whole numbers with gaps into floats."""
     if v is None or v != v:
         return None
+    if whole:
+        return int(v)
     return v.item() if hasattr(v, "item") else v
 
 
@@ -86,20 +121,29 @@ def in_order(
     state_schema: str,
     time: str = "frame_ms",
     order: Sequence[str] = ("frame_seq", "det_idx"),
-    watermark: str = "ts",
     add: str | None = None,
     emit: Callable[[dict, dict], dict] | None = None,
-    ttl_ms: int | None = None,
+    sub: str | None = None,
+    linked: bool = False,
 ) -> DataFrame:
     """Run ``step`` over each key's rows in time order; rows it accepts come out.
 
-    ``add`` is the schema of columns that ``emit(state, row)`` puts beside the row. ``ttl_ms`` forgets a
-    key that long after its last row. The watermark column must be TIMESTAMP and is passed on.
+    ``add`` is the schema of columns that ``emit(state, row)`` puts beside the row. The input carries a
+    watermark. Rows come out after the watermark passed them, so the output has none of its own: end the
+    query here, or write it and start another. Nested columns are dropped (state holds plain values).
     """
+    nested = [f.name for f in stream.schema if isinstance(f.dataType, (ArrayType, MapType, StructType))]
+    stream = stream.drop(*nested)
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    row_schema = stream.schema
-    out_schema = StructType(list(row_schema) + (list(StructType.fromDDL(add)) if add else []))
-    proc = InOrder(stream.columns, row_schema, StructType.fromDDL(state_schema), step, time, order, emit, ttl_ms)
+    fields = [StructField(f.name, f.dataType, True) for f in stream.schema]
+    out = StructType(fields + (list(StructType.fromDDL(add)) if add else []))
+    names = [f.name for f in out]
+
+    def shaped(state: dict, row: dict) -> dict:
+        full = emit(state, row) if emit else row
+        return {n: full.get(n) for n in names}
+
+    proc = InOrder(stream.columns, StructType(fields), StructType.fromDDL(state_schema), step, time, order, shaped, sub, linked)
     return stream.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=proc, outputStructType=out_schema, outputMode="Append", timeMode="EventTime", eventTimeColumnName=watermark
+        statefulProcessor=proc, outputStructType=out, outputMode="Append", timeMode="EventTime"
     )

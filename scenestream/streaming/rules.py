@@ -15,7 +15,6 @@ from ..schema import WATCHED_CLASS_IDS
 from .ordered import in_order
 
 TRACK = ["camera_id", "track_id"]
-DAY_MS = 86_400_000
 
 
 def timed(stream: DataFrame, delay: str = "10 seconds", ms: str = "frame_ms") -> DataFrame:
@@ -23,23 +22,10 @@ def timed(stream: DataFrame, delay: str = "10 seconds", ms: str = "frame_ms") ->
     return stream.withColumn("ts", F.timestamp_millis(ms)).withWatermark("ts", delay)
 
 
-def linked_frames(frames: DataFrame) -> DataFrame:
-    """Processed frames with the frame before them on their camera (``prev_seq``)."""
-
-    def step(state: dict, row: dict) -> tuple[dict, bool]:
-        return {"last": row["frame_seq"], "before": state.get("last")}, True
-
-    moving = frames.where("has_motion").drop("has_motion")
-    return in_order(
-        moving, ["camera_id"], step, "last bigint, before bigint", order=("frame_seq",), add="prev_seq bigint",
-        emit=lambda s, r: {**r, "prev_seq": s["before"]},
-    )
-
-
-def observe(detections: DataFrame, linked: DataFrame) -> DataFrame:
-    """Stream-stream join of detections with linked frames (both with a watermark on ``ts``)."""
-    f = linked.select("camera_id", "frame_seq", "prev_seq", F.col("ts").alias("frame_ts"))
-    return detections.join(f, ["camera_id", "frame_seq"]).where("ts = frame_ts").drop("frame_ts")
+def with_markers(detections: DataFrame, frames: DataFrame) -> DataFrame:
+    """Detections and frame markers in one stream. Frames without detections matter: they break runs."""
+    marks = frames.select("camera_id", "frame_seq", "frame_ms", F.lit(-1).cast("bigint").alias("det_idx"), "has_motion", "ts")
+    return detections.drop("keypoints").withColumn("has_motion", F.lit(None).cast("boolean")).unionByName(marks, allowMissingColumns=True)
 
 
 def _spaced(wait_ms: int):
@@ -58,7 +44,7 @@ def cooldown(stream: DataFrame, keys: Sequence[str], wait_ms: int, time: str = "
     def step(state: dict, row: dict) -> tuple[dict, bool]:
         return ({"fired": row[time]}, True) if ok(state, row[time]) else (state, False)
 
-    return in_order(stream, keys, step, "fired bigint", time=time, order=order, ttl_ms=max(3 * wait_ms, 60_000))
+    return in_order(stream, keys, step, "fired bigint", time=time, order=order)
 
 
 def presence(detections: DataFrame, roi=None, wait_s: float = 10.0, min_confidence: float = 0.5, classes: Sequence[int] = WATCHED_CLASS_IDS) -> DataFrame:
@@ -68,7 +54,7 @@ def presence(detections: DataFrame, roi=None, wait_s: float = 10.0, min_confiden
     return cooldown(seen, TRACK, int(wait_s * 1000))
 
 
-def intrusion(obs: DataFrame, roi, confirm: int = 5, wait_s: float = 30.0) -> DataFrame:
+def intrusion(detections: DataFrame, frames: DataFrame, roi, confirm: int = 5, wait_s: float = 30.0) -> DataFrame:
     """Foot inside the region in ``confirm`` consecutive processed frames."""
     ok = _spaced(int(wait_s * 1000))
 
@@ -80,11 +66,21 @@ def intrusion(obs: DataFrame, roi, confirm: int = 5, wait_s: float = 30.0) -> Da
             new["fired"] = row["frame_ms"]
         return new, fire
 
-    inside = obs.where("track_id >= 0").withColumn("cx", (F.col("x1") + F.col("x2")) / 2).where(g.in_polygon("cx", "y2", roi)).drop("cx")
-    return in_order(inside, TRACK, step, "seq bigint, run bigint, fired bigint", ttl_ms=DAY_MS)
+    rows = with_markers(_inside(detections, roi), frames)
+    out = in_order(rows, ["camera_id"], step, "seq bigint, run bigint, fired bigint", sub="track_id", linked=True)
+    return out.drop("has_motion")
+
 
+def _inside(detections: DataFrame, roi) -> DataFrame:
+    held = detections.where("track_id >= 0")
+    if not roi:
+        return held
+    return held.withColumn("cx", (F.col("x1") + F.col("x2")) / 2).where(g.in_polygon("cx", "y2", roi)).drop("cx")
 
-def dwell(obs: DataFrame, max_seconds: float = 120.0, confirm: int = 5, wait_s: float = 60.0) -> DataFrame:
+
+def dwell(
+    detections: DataFrame, frames: DataFrame, roi=None, max_seconds: float = 120.0, confirm: int = 5, wait_s: float = 60.0
+) -> DataFrame:
     """Visible without a break for ``max_seconds``; adds ``dwell_ms``."""
     ok, limit = _spaced(int(wait_s * 1000)), int(max_seconds * 1000)
 
@@ -99,9 +95,9 @@ def dwell(obs: DataFrame, max_seconds: float = 120.0, confirm: int = 5, wait_s:
         return new, fire
 
     return in_order(
-        obs.where("track_id >= 0"), TRACK, step, "seq bigint, since bigint, run bigint, fired bigint",
-        add="dwell_ms bigint", emit=lambda s, r: {**r, "dwell_ms": r["frame_ms"] - s["since"]}, ttl_ms=DAY_MS,
-    )
+        with_markers(_inside(detections, roi), frames), ["camera_id"], step, "seq bigint, since bigint, run bigint, fired bigint",
+        add="dwell_ms bigint", emit=lambda s, r: {**r, "dwell_ms": r["frame_ms"] - s["since"]}, sub="track_id", linked=True,
+    ).drop("has_motion")
 
 
 def _moving(detections: DataFrame, hit, confirm: int, wait_s: float) -> DataFrame:
@@ -124,7 +120,7 @@ def _moving(detections: DataFrame, hit, confirm: int, wait_s: float) -> DataFram
         return new, fire
 
     return in_order(
-        detections.where("track_id >= 0"), TRACK, step, "x double, y double, ms bigint, run bigint, fired bigint", ttl_ms=DAY_MS
+        detections.where("track_id >= 0"), TRACK, step, "x double, y double, ms bigint, run bigint, fired bigint",
     )
 
 
