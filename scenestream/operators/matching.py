@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from .folds import _scan_sorted
+from .folds import scan_sorted
 from .neighbours import touching_pairs
 from .sequence import running
 
@@ -114,17 +113,17 @@ def match_events(pred: DataFrame, truth: DataFrame, keys: Sequence[str], toleran
     rows = pairs.join(starts, [*keys, "gt_idx"]).select(*keys, "stretch", "dist", "pred_idx", "gt_idx")
     cols = [*keys, "pred_idx", "gt_idx", "dist"]
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        used_p: set = set()
-        used_g: set = set()
-        for pdf in batches:
-            keep = []
-            for p, t in zip(pdf.pred_idx, pdf.gt_idx):
-                free = p not in used_p and t not in used_g
-                keep.append(free)
-                if free:
-                    used_p.add(p)
-                    used_g.add(t)
-            yield pdf.loc[keep, cols]
-
-    return _scan_sorted(rows, [*keys, "stretch"], ["dist", "pred_idx", "gt_idx"], scan, rows.select(*cols).schema)
+    def scanner() -> Callable[[int, int], bool]:
+        used_p: set[int] = set()
+        used_g: set[int] = set()
+
+        def accept(p: int, t: int) -> bool:
+            if p in used_p or t in used_g:
+                return False
+            used_p.add(p)
+            used_g.add(t)
+            return True
+
+        return accept
+
+    return scan_sorted(rows, [*keys, "stretch"], ["dist", "pred_idx", "gt_idx"], scanner, ["pred_idx", "gt_idx"], cols)
