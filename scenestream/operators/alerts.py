@@ -119,9 +119,10 @@ def trend_pivot(trend_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def distribution(alerts: DataFrame, since_ms: int) -> DataFrame:
     """Rules ranked by alerts, with their share of the total."""
     per = matching(alerts, start_ms=since_ms).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
-    total = per.agg(F.sum("n").alias("total"))
+    # One row per rule by now: gather them beside their total and spread them again.
+    whole = per.agg(F.collect_list(F.struct("type", "n")).alias("rules"), F.sum("n").alias("total"))
     return (
-        per.crossJoin(F.broadcast(total))  # one row against one row per rule
+        whole.select("total", F.inline("rules"))
         .select("type", "n", F.round(F.col("n") * 100.0 / F.col("total"), 1).alias("share"))
         .orderBy(F.desc("n"), "type")
     )
@@ -141,8 +142,8 @@ def camera_stats(alerts: DataFrame) -> DataFrame:
 def latest_per_key(rows: DataFrame, n: int, key: str = "camera_id", time: str = "ts_ms", tie: str = "alert_id") -> DataFrame:
     """Newest ``n`` rows of each key.
 
-    A first cut per key and hour of time bounds what a busy key sends to its final ranking; hours older
-    than the newest ``n`` rows cannot contribute, and each sends at most ``n`` rows.
+    A first cut per key and hour spreads a busy key over tasks; its final ranking then sees at most ``n``
+    rows per hour.
     """
     order = [F.col(time).desc(), F.col(tie).desc()]
     hourly = Window.partitionBy(key, "_h").orderBy(*order)

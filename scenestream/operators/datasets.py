@@ -95,7 +95,8 @@ def label_summary(images: DataFrame, existing: DataFrame, dets: DataFrame, key:
     classes = dets.join(todo, list(key), "left_semi").groupBy(F.concat(F.lit("class:"), "class_name").alias("name")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    totals = images.agg(F.count(F.lit(1)).alias("total")).join(todo.agg(F.count(F.lit(1)).alias("labelled")))  # one row each
+    marks = images.select(F.lit(1).alias("t"), F.lit(0).alias("l")).unionByName(todo.select(F.lit(0).alias("t"), F.lit(1).alias("l")))
+    totals = marks.agg(F.sum("t").alias("total"), F.sum("l").alias("labelled"))
     rows = totals.selectExpr("stack(3, 'total', total, 'labelled', labelled, 'skipped', total - labelled) as (name, n)")
     return rows.unionByName(classes)
 

@@ -54,15 +54,17 @@ def confusion_matrix(dets: DataFrame, truth: DataFrame, matches: DataFrame) -> D
     counts = cells.groupBy(
         F.coalesce("gt_class", F.lit(BACKGROUND)).alias("gt_class"), F.coalesce("pred_class", F.lit(BACKGROUND)).alias("p")
     ).agg(F.count(F.lit(1)).alias("n"))
-    classes = truth.agg(F.concat(F.collect_set("class_id"), F.array(F.lit(BACKGROUND))).alias("cs"))
-    grid = classes.select("cs", F.explode("cs").alias("gt_class")).select("gt_class", F.explode("cs").alias("pred_class"), "cs")
+    known = truth.select(F.col("class_id").alias("p"), F.lit(True).alias("known")).distinct()
     folded = (
-        counts.join(F.broadcast(classes))  # one row holding the class list
-        .withColumn("pred_class", F.when(F.array_contains("cs", F.col("p")), F.col("p")).otherwise(BACKGROUND))
+        counts.join(known, "p", "left")
+        .withColumn("pred_class", F.when(F.col("known"), F.col("p")).otherwise(BACKGROUND))
         .groupBy("gt_class", "pred_class")
         .agg(F.sum("n").alias("n"))
     )
-    return grid.drop("cs").join(folded, ["gt_class", "pred_class"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    # The grid comes from the class list, one array in one row.
+    listed = truth.agg(F.concat(F.collect_set("class_id"), F.array(F.lit(BACKGROUND))).alias("cs"))
+    grid = listed.select("cs", F.explode("cs").alias("gt_class")).select("gt_class", F.explode("cs").alias("pred_class"))
+    return grid.join(folded, ["gt_class", "pred_class"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def truth_counts(truth: DataFrame) -> DataFrame:
@@ -254,10 +256,13 @@ def detail_items(rows: DataFrame, keys: Sequence[str], order: str, limit: int =
 
 def report_json(class_rows: DataFrame, rule_rows: DataFrame) -> DataFrame:
     """Report data as one JSON document. Both inputs are aggregates: a row per class, a row per rule."""
-    c = class_rows.agg(F.sort_array(F.collect_list(F.struct("class_id", "tp", "fp", "fn"))).alias("classes"))
-    r = rule_rows.agg(F.sort_array(F.collect_list(F.struct("type", "sub_type", "tp", "fp", "fn"))).alias("rules"))
-    both = c.join(F.broadcast(r))  # one row each
-    return both.select(F.to_json(F.struct("classes", "rules")).alias("report"))
+    shape = ["class_id", "type", "sub_type", "tp", "fp", "fn"]
+    rows = class_rows.unionByName(rule_rows, allowMissingColumns=True).select(*shape)
+    kept = rows.agg(
+        F.sort_array(F.collect_list(F.when(F.col("type").isNull(), F.struct("class_id", "tp", "fp", "fn")))).alias("classes"),
+        F.sort_array(F.collect_list(F.when(F.col("type").isNotNull(), F.struct("type", "sub_type", "tp", "fp", "fn")))).alias("rules"),
+    )
+    return kept.select(F.to_json(F.struct("classes", "rules")).alias("report"))
 
 
 def evaluate_all(dets: DataFrame, truth: DataFrame, pred_events: DataFrame, truth_events: DataFrame, tolerance: float) -> DataFrame:
