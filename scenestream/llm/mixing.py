@@ -12,7 +12,7 @@ from .common import SPACED_WORD, cut, text_key, word_count
 # No source takes more than this many times its words, and no document.
 MOST = 3
 # Documents rounded together; more of them are cut into pieces by hash.
-PIECE = 20_000
+PIECE = 1_000
 STEPS, TOLERANCE = 40, 1e-10
 
 
