@@ -105,13 +105,13 @@ def _mapping(spark, sf):
     brand = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
     model = parts.select(brand.alias("class_id"), "p_brand").distinct().select("class_id", F.upper("p_brand").alias("name"))
     classes = parts.groupBy(F.concat(F.lit("set"), (F.col("p_partkey") % 3).cast("string")).alias("dataset_name")).agg(
-        F.sort_array(F.collect_set(F.when(F.col("p_partkey") % 7 == 1, F.lower("p_brand")))).alias("classes")
+        F.sort_array(F.collect_set(F.concat(F.lower("p_brand"), F.when(F.col("p_partkey") % 7 == 1, "").otherwise("-old")))).alias("classes")
     )
     return ds.class_mapping(model, classes)
 
 
 _MAP = """md AS (SELECT DISTINCT CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INT) AS class_id, upper(p_brand) AS name FROM part),
-  dc AS (SELECT 'set' || (p_partkey % 3) AS dataset_name, lower(p_brand) AS k FROM part WHERE p_partkey % 7 = 1 GROUP BY ALL),
+  dc AS (SELECT 'set' || (p_partkey % 3) AS dataset_name, lower(p_brand) || CASE WHEN p_partkey % 7 = 1 THEN '' ELSE '-old' END AS k FROM part GROUP BY ALL),
   dp AS (SELECT *, row_number() OVER (PARTITION BY dataset_name ORDER BY k) - 1 AS dataset_class FROM dc)
   SELECT dataset_name, class_id AS model_class, name, dataset_class FROM md JOIN dp ON lower(name) = k"""
 
@@ -346,7 +346,8 @@ def annotation_errors(spark, sf):
 def gt_events_scan(spark, sf):
     from ..schema import VIDEO_ANNOTATION
 
-    good = _docs(spark, sf).where("video % 29 <> 0 and video % 11 not in (1, 2) and video % 31 <> 0 and video % 37 <> 0")
+    every = _docs(spark, sf)
+    good = every.join(quality.annotation_errors(every).select("video").distinct(), "video", "left_anti")
     docs = good.select(F.from_json("doc", VIDEO_ANNOTATION).alias("a")).select("a.*")
     docs = readers.with_annotation_defaults(docs)
     t = readers.annotation_truth(docs)

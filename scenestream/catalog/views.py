@@ -16,9 +16,8 @@ _MS = "(epoch_us(ts) // 1000)"
 _VIEWS = {
     "items": (
         [],
-        """SELECT l_orderkey AS ok, CAST(l_linenumber AS BIGINT) AS ln, min(l_partkey) AS pk,
-           min(l_suppkey) AS sk, l_orderkey // 4 AS fs
-           FROM lineitem GROUP BY l_orderkey, l_linenumber""",
+        """SELECT l_orderkey AS ok, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ln,
+           l_partkey AS pk, l_suppkey AS sk, l_orderkey // 4 AS fs FROM lineitem""",
     ),
     "boxed": (
         ["items"],
@@ -67,14 +66,16 @@ _VIEWS = {
         ["boxed"],
         """SELECT 'cam' || (ok % 4) || '_' || fs AS image_id, 'cam' || (ok % 4) AS camera_id, fs AS frame_seq,
              ln AS gt_idx, CASE WHEN pk % 31 = 0 THEN 7 ELSE class_id END AS class_id,
-             x1 + (sk % 7 - 3)*3 AS x1, y1, x2 + (sk % 7 - 3)*3 AS x2, y2
-           FROM boxed WHERE pk % 8 <> 0""",
+             x1 + (sk % 7 - 3)*3 + CASE WHEN pk % 8 = 0 THEN 4000 ELSE 0 END AS x1, y1,
+             x2 + (sk % 7 - 3)*3 + CASE WHEN pk % 8 = 0 THEN 4000 ELSE 0 END AS x2, y2
+           FROM boxed""",
     ),
     "sdet": (
         ["boxed"],
         """SELECT 'cam' || (ok % 4) || '_' || fs AS image_id, 'cam' || (ok % 4) AS camera_id, fs AS frame_seq,
-             ln AS det_idx, class_id, (25 + pk % 75) / 100.0::DOUBLE AS confidence, x1, y1, x2, y2
-           FROM boxed WHERE pk % 9 <> 0""",
+             ln AS det_idx, class_id, (25 + pk % 75) / 100.0::DOUBLE AS confidence,
+             x1 - CASE WHEN pk % 9 = 0 THEN 4000 ELSE 0 END AS x1, y1, x2 - CASE WHEN pk % 9 = 0 THEN 4000 ELSE 0 END AS x2, y2
+           FROM boxed""",
     ),
     "alerts": (
         [],
@@ -88,8 +89,8 @@ _VIEWS = {
         [],
         f"""SELECT 'clip' || (user_id % 10) AS video, event_id AS pred_idx, {_KIND} AS type, {_SUB} AS sub_type,
              {_WIRE} AS tripwire_id, CASE WHEN event_type = 'view' THEN {_SUB} END AS direction,
-             CAST({_MS} // 1000 - 1704067200 AS DOUBLE) AS t
-           FROM events WHERE event_id % 3 <> 0""",
+             CAST({_MS} // 1000 - 1704067200 + CASE WHEN event_id % 3 = 0 THEN 100000000 ELSE 0 END AS DOUBLE) AS t
+           FROM events""",
     ),
     "truth": (
         [],
@@ -101,8 +102,9 @@ _VIEWS = {
              {_WIRE} AS tripwire_id,
              CASE WHEN event_type = 'view' THEN CASE WHEN event_id % 11 < 8 THEN {_SUB} ELSE 'in' END END
                AS direction,
-             CAST({_MS} // 1000 - 1704067200 + (event_id % 7 - 3) * 600 AS DOUBLE) AS tat
-           FROM events WHERE event_id % 4 <> 0)""",
+             CAST({_MS} // 1000 - 1704067200 + (event_id % 7 - 3) * 600
+               + CASE WHEN event_id % 4 = 0 THEN 300000000 ELSE 0 END AS DOUBLE) AS tat
+           FROM events)""",
     ),
     "samples": (
         [],

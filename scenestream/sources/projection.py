@@ -36,15 +36,11 @@ def _camera(key: Column, n: int = 4) -> Column:
     return F.concat(F.lit("cam"), (key % n).cast("string"))
 
 
-def _boxes(spark: SparkSession, sf: str, keep: str = "true") -> DataFrame:
-    """One box per (order, line) pair."""
-    items = (
-        table(spark, sf, "lineitem")
-        .selectExpr("l_orderkey ok", "cast(l_linenumber as bigint) ln", "l_partkey", "l_suppkey")
-        .groupBy("ok", "ln")
-        .agg(F.min("l_partkey").alias("pk"), F.min("l_suppkey").alias("sk"))
-        .where(keep)
-        .selectExpr("*", "ok div 4 as fs")
+def _boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """One box per line; the boxes of an order are numbered from 1."""
+    number = "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey)"
+    items = table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey ok", f"cast({number} as bigint) ln", "l_partkey pk", "l_suppkey sk", "l_orderkey div 4 as fs"
     )
     sized = items.selectExpr(
         "*",
@@ -92,31 +88,33 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gt_boxes(spark: SparkSession, sf: str) -> DataFrame:
-    return _boxes(spark, sf, "pk % 8 <> 0").selectExpr(
+    """Truth boxes: a few pixels off, some of another class, some far away so that they go unmatched."""
+    move = "(sk % 7 - 3) * 3 + if(pk % 8 = 0, 4000, 0)"
+    return _boxes(spark, sf).selectExpr(
         f"{_IMAGE} as image_id",
         f"{_CAMERA} as camera_id",
         "fs as frame_seq",
         "ln as gt_idx",
         "if(pk % 31 = 0, 7, class_id) as class_id",
-        "x1 + (sk % 7 - 3) * 3 as x1",
+        f"x1 + {move} as x1",
         "y1",
-        "x2 + (sk % 7 - 3) * 3 as x2",
+        f"x2 + {move} as x2",
         "y2",
     )
 
 
 def scored_detections(spark: SparkSession, sf: str) -> DataFrame:
-    """Detections used for accuracy evaluation; some are left out so that truths go unmatched."""
-    return _boxes(spark, sf, "pk % 9 <> 0").selectExpr(
+    """Detections used for accuracy evaluation; some are far away so that truths go unmatched."""
+    return _boxes(spark, sf).selectExpr(
         f"{_IMAGE} as image_id",
         f"{_CAMERA} as camera_id",
         "fs as frame_seq",
         "ln as det_idx",
         "class_id",
         "(25 + pk % 75) / 100.0D as confidence",
-        "x1",
+        "x1 - if(pk % 9 = 0, 4000, 0) as x1",
         "y1",
-        "x2",
+        "x2 - if(pk % 9 = 0, 4000, 0) as x2",
         "y2",
     )
 
@@ -166,7 +164,8 @@ def _event_seconds() -> Column:
 
 
 def predicted_events(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").where(F.col("event_id") % 3 != 0)
+    """Every event; a third is far off in time so that it finds no truth."""
+    e = table(spark, sf, "events")
     eid, kind = F.col("event_id"), F.col("event_type")
     return e.select(
         _clip().alias("video"),
@@ -175,14 +174,16 @@ def predicted_events(spark: SparkSession, sf: str) -> DataFrame:
         _sub_of(kind, eid).alias("sub_type"),
         F.when(kind == "view", F.concat(F.lit("tw"), (eid % 3).cast("string"))).alias("tripwire_id"),
         F.when(kind == "view", _sub_of(kind, eid)).alias("direction"),
-        _event_seconds().cast("double").alias("t"),
+        (_event_seconds() + F.when(eid % 3 == 0, 100_000_000).otherwise(0)).cast("double").alias("t"),
     )
 
 
 def truth_events(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").where(F.col("event_id") % 4 != 0)
+    """Every event, shifted a little; a quarter is far off so that it finds no prediction."""
+    e = table(spark, sf, "events")
     eid, kind = F.col("event_id"), F.col("event_type")
-    at = (_event_seconds() + (eid % 7 - 3) * 600).cast("double")
+    far = F.when(eid % 4 == 0, 300_000_000).otherwise(0)
+    at = (_event_seconds() + (eid % 7 - 3) * 600 + far).cast("double")
     lasting = eid % 5 == 0
     return e.select(
         _clip().alias("video"),
