@@ -340,14 +340,16 @@ def annotation_errors(spark, sf):
 @query(
     "gt_events_scan",
     f"""SELECT 'clip' || event_id AS video, CASE WHEN event_id % 2 = 0 THEN 10.0 ELSE 5.0 END::DOUBLE AS fps_sample, {_KIND} AS type,
-      CASE WHEN event_id % 11 > 3 THEN 7.25::DOUBLE END AS time_sec, CASE WHEN event_id % 11 = 3 THEN 1.5::DOUBLE WHEN event_id % 11 = 0 THEN 9.5 END AS t_start
-    FROM events WHERE event_id % 29 <> 0 AND NOT {_NO_EVENTS} AND event_id % 11 NOT IN (1, 2)""",
+      CASE WHEN event_id % 11 > 3 THEN 7.25::DOUBLE END AS time_sec, CASE event_id % 11 WHEN 3 THEN 1.5::DOUBLE WHEN 0 THEN 9.5 WHEN 2 THEN 1 END AS t_start
+    FROM events WHERE event_id % 29 <> 0 AND NOT {_NO_EVENTS} AND NOT (event_id % 11 IN (1, 2) AND coalesce({_KIND}, 'break-in') <> 'break-in')""",
 )
 def gt_events_scan(spark, sf):
     from ..schema import VIDEO_ANNOTATION
 
     every = _docs(spark, sf)
-    good = every.join(quality.annotation_errors(every).select("video").distinct(), "video", "left_anti")
+    # Documents whose structure the validator rejects hold nothing to scan; faults of single events stay in.
+    broken = quality.annotation_errors(every).where("error rlike '^Missing|^Field|time_range (values|must be a list)'")
+    good = every.join(broken.select("video").distinct(), "video", "left_anti")
     docs = good.select(F.from_json("doc", VIDEO_ANNOTATION).alias("a")).select("a.*")
     docs = readers.with_annotation_defaults(docs)
     t = readers.annotation_truth(docs)
