@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .neighbours import near_pairs, touching_pairs
 from .rules import TRACK, tracked
-from .sequence import SLICE, link_rows, running, sliced
+from .sequence import ORDER, link_rows, running
 
 FRAME = ["camera_id", "frame_seq"]
 
@@ -143,14 +143,10 @@ def stationary(
         dx, dy = cur["cx"] - prev["cx"], cur["cy"] - prev["cy"]
         return (F.sqrt(dx * dx + dy * dy) < threshold) & (cur["frame_ms"] - prev["frame_ms"] <= limit)
 
-    t = link_rows(tracked(obs), TRACK, ["frame_seq", "det_idx"], ["cx", "cy", "frame_ms"], still)
-    piece = SLICE if sliced(obs) else "_day"
-    t = t if sliced(obs) else t.withColumn("_day", F.floor(F.col("frame_ms") / 86_400_000))
-    counted = running(
-        t, [*TRACK, "spell_ms"], [[piece]], ["frame_seq", "det_idx"], {"still_frames": F.lit(1).cast("bigint")}
-    )
+    t = link_rows(tracked(obs), TRACK, ORDER, ["cx", "cy", "frame_ms"], still)
+    counted = running(t, [*TRACK, "spell_ms"], ORDER, {"still_frames": F.lit(1).cast("bigint")})
     run = F.col("still_frames") - 1
-    return counted.drop("prev", "linked", "_day").withColumns(
+    return counted.drop("prev", "linked").withColumns(
         {
             "still_frames": run,
             "is_stationary": run >= frames,

@@ -9,29 +9,19 @@ from pyspark.sql import functions as F
 
 from .sequence import running
 
-BINS = 4096
 # Order of detections along a curve: confidence down, then image, then position in the image.
 ORDER = ["neg_conf", "image_id", "det_idx"]
-LEVELS = [["conf_bin"], ["neg_conf", "image_part"]]
 
 
-def pr_curve(
-    scored: DataFrame, truth_counts: DataFrame, group: Sequence[str], image_prefix: int = 8
-) -> DataFrame:
+def pr_curve(scored: DataFrame, truth_counts: DataFrame, group: Sequence[str]) -> DataFrame:
     """Running precision and recall along falling confidence.
 
     ``scored``: group, image_id, det_idx, confidence, is_tp. ``truth_counts``: group, gt_count. Classes
-    without truth have no curve. Pieces of the order are a confidence band, then one confidence value and
-    the first ``image_prefix`` characters of the image name (a fixed number, so pieces keep the order).
+    without truth have no curve.
     """
-    rows = scored.join(truth_counts.where("gt_count > 0"), list(group)).selectExpr(
-        "*",
-        "-confidence as neg_conf",
-        f"-cast(floor(confidence * {BINS}) as bigint) as conf_bin",
-        f"substring(image_id, 1, {image_prefix}) as image_part",
-    )
+    rows = scored.join(truth_counts.where("gt_count > 0"), list(group)).selectExpr("*", "-confidence as neg_conf")
     summed = running(
-        rows, group, LEVELS, ORDER, {"cum_tp": F.col("is_tp").cast("bigint"), "rank": F.lit(1).cast("bigint")}
+        rows, group, ORDER, {"cum_tp": F.col("is_tp").cast("bigint"), "rank": F.lit(1).cast("bigint")}
     )
     return summed.withColumns(
         {"precision": F.col("cum_tp") / F.col("rank"), "recall": F.col("cum_tp") / F.col("gt_count")}
@@ -51,7 +41,7 @@ def average_precision(curve: DataFrame, group: Sequence[str]) -> DataFrame:
 
 def average_precision_all_points(curve: DataFrame, group: Sequence[str]) -> DataFrame:
     """Area under the curve after replacing each precision by the best at the same or higher recall."""
-    lifted = running(curve, group, LEVELS, ORDER, {"ceiling": F.col("precision")}, how="max", reverse=True)
+    lifted = running(curve, group, ORDER, {"ceiling": F.col("precision")}, how="max", reverse=True)
     return lifted.groupBy(*group).agg(
         (F.coalesce(F.sum(F.when(F.col("is_tp"), F.col("ceiling"))), F.lit(0.0)) / F.first("gt_count")).alias("ap")
     )

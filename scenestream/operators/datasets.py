@@ -29,18 +29,16 @@ def ready(stats: DataFrame, minimum: int = MIN_ANNOTATED) -> DataFrame:
 def train_val_split(samples: DataFrame, ratio: float = 0.8, seed: int = 42) -> DataFrame:
     """Split each dataset's annotated samples; exactly round-half-even(n * ratio) go to training.
 
-    The order is that of a seeded hash, cut by its first digits so that a large dataset is ranked in
-    pieces. The same seed gives the same split.
+    The order is that of a seeded hash; a large dataset is ranked in ranges of it. The same seed gives the same split.
     """
     a = samples.where("annotated").withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("sample_id").cast("string"))))
-    a = a.withColumns({"_a": F.substring("_h", 1, 2), "_b": F.substring("_h", 1, 4)})
     n = a.groupBy("dataset_name").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running(a, ["dataset_name"], [["_a"], ["_b"]], ["_h"], {"_rank": F.lit(1).cast("bigint")})
+    ranked = running(a, ["dataset_name"], ["_h", "sample_id"], {"_rank": F.lit(1).cast("bigint")})
     quota = F.bround(F.col("_n") * F.lit(float(ratio)), 0)
     return (
         ranked.join(n, "dataset_name")
         .withColumn("split", F.when(F.col("_rank") <= quota, "train").otherwise("val"))
-        .drop("_h", "_a", "_b", "_n", "_rank")
+        .drop("_h", "_n", "_rank")
     )
 
 

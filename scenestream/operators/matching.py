@@ -94,7 +94,7 @@ def event_candidates(pred: DataFrame, truth: DataFrame, keys: Sequence[str], tol
     )
 
 
-def match_events(pred: DataFrame, truth: DataFrame, keys: Sequence[str], tolerance: float, day: float = 86_400.0) -> DataFrame:
+def match_events(pred: DataFrame, truth: DataFrame, keys: Sequence[str], tolerance: float) -> DataFrame:
     """Greedy matches (keys, pred_idx, gt_idx, dist): closest pair first, one-to-one, earlier rows win ties.
 
     Time is cut where no truth event reaches, since no pair spans such a gap. Each stretch is scanned in
@@ -104,11 +104,10 @@ def match_events(pred: DataFrame, truth: DataFrame, keys: Sequence[str], toleran
     pairs = event_candidates(pred, truth, keys, tolerance)
     lo, hi = _reach(tolerance)
     spans = truth.select(*keys, lo.alias("lo"), hi.alias("hi"), "gt_idx").where("lo is not null")
-    spans = spans.withColumn("_d", F.floor(F.col("lo") / day))
-    seen = running(spans, keys, [["_d"]], ["lo", "gt_idx"], {"reach": F.col("hi")}, how="max", exclusive=True)
+    seen = running(spans, keys, ["lo", "gt_idx"], {"reach": F.col("hi")}, how="max", exclusive=True)
     fresh = F.when(F.col("reach").isNull() | (F.col("lo") > F.col("reach")), F.col("lo"))
     starts = running(
-        seen.withColumn("_f", fresh), keys, [["_d"]], ["lo", "gt_idx"], {"stretch": F.col("_f")}, how="max"
+        seen.withColumn("_f", fresh), keys, ["lo", "gt_idx"], {"stretch": F.col("_f")}, how="max"
     ).select(*keys, "gt_idx", "stretch")
     rows = pairs.join(starts, [*keys, "gt_idx"]).select(*keys, "stretch", "dist", "pred_idx", "gt_idx")
     cols = [*keys, "pred_idx", "gt_idx", "dist"]

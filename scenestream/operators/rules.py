@@ -18,10 +18,11 @@ from ..schema import PRESENCE_LABELS, VEHICLES, WATCHED_CLASS_IDS
 from .folds import first_in_frame
 from .neighbours import near_pairs
 from .sequence import (
+    FRAME,
+    ORDER,
     confirmed,
     confirmed_unbroken,
     cooldown,
-    frame_keys,
     link_rows,
     observe,
     same_spell,
@@ -68,7 +69,7 @@ class Rule:
     confirm: int
     cooldown_s: float
     keys: Sequence[str] = field(default_factory=lambda: list(TRACK))
-    order: Sequence[str] = ("frame_seq", "det_idx")
+    order: Sequence[str] = tuple(ORDER)
 
     def run(self, obs: DataFrame) -> DataFrame:
         held = confirmed(self.candidates(obs), self.keys, self.order, "hit", self.confirm).drop("hit")
@@ -95,7 +96,7 @@ def presence(
 
 def visibility_spells(obs: DataFrame) -> DataFrame:
     """Tracked observations with the start (``spell_ms``) of their unbroken visibility."""
-    return link_rows(tracked(obs), TRACK, ["frame_seq", "det_idx"], ["frame_seq", "prev_seq"], same_spell)
+    return link_rows(tracked(obs), TRACK, ORDER, ["frame_seq", "prev_seq"], same_spell)
 
 
 def dwell(obs: DataFrame, max_seconds: float = 120.0, confirm: int = 5, cooldown_s: float = 60.0) -> DataFrame:
@@ -114,7 +115,7 @@ def dwell(obs: DataFrame, max_seconds: float = 120.0, confirm: int = 5, cooldown
 
 def steps(obs: DataFrame) -> DataFrame:
     """Tracked observations with the move since the track was last seen, however long ago."""
-    s = link_rows(tracked(obs), TRACK, ["frame_seq", "det_idx"], ["frame_ms", "cx", "cy"])
+    s = link_rows(tracked(obs), TRACK, ORDER, ["frame_ms", "cx", "cy"])
     dx, dy = F.col("cx") - F.col("prev.cx"), F.col("cy") - F.col("prev.cy")
     return s.where("prev is not null").withColumns(
         {"dx": dx, "dt_ms": F.col("frame_ms") - F.col("prev.frame_ms"), "moved": F.sqrt(dx * dx + dy * dy)}
@@ -153,12 +154,12 @@ def speed(obs: DataFrame, max_pixel_speed: float = 100.0, confirm: int = 3, cool
 def proximity_pairs(obs: DataFrame, min_distance: float = 50.0) -> DataFrame:
     """Person and vehicle of one frame whose feet are closer than ``min_distance``."""
     p, v = _pair_sides(obs)
-    return near_pairs(p, v, [*frame_keys(obs), "frame_ms"], min_distance, ("p_x", "p_y"), ("v_x", "v_y"))
+    return near_pairs(p, v, [*FRAME, "frame_ms"], min_distance, ("p_x", "p_y"), ("v_x", "v_y"))
 
 
 def _pair_sides(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
     t = tracked(obs)
-    frame = frame_keys(obs)
+    frame = FRAME
 
     def side(rows: DataFrame, k: str) -> DataFrame:
         return rows.select(
@@ -182,10 +183,10 @@ def proximity(obs: DataFrame, min_distance: float = 50.0, confirm: int = 3, cool
         # Frames in which a pair is apart end its run, but only pairs that are ever close matter.
         p, v = _pair_sides(obs)
         once = close.select(*keys).distinct()
-        both = p.join(once, ["camera_id", "p_track"]).join(v, [*frame_keys(obs), "frame_ms", "v_track"])
+        both = p.join(once, ["camera_id", "p_track"]).join(v, [*FRAME, "frame_ms", "v_track"])
         dist = g.distance((F.col("p_x"), F.col("p_y")), (F.col("v_x"), F.col("v_y")))
         both = both.withColumn("dist", dist).withColumn("hit", F.col("dist") < min_distance)
-        close = confirmed(both, keys, ["frame_seq", "p_idx", "v_idx"], "hit", confirm).drop("hit")
+        close = confirmed(both, keys, ["frame_ms", "frame_seq", "p_idx", "v_idx"], "hit", confirm).drop("hit")
     return cooldown(close, keys, seconds(cooldown_s), order=["p_idx", "v_idx"])
 
 
@@ -195,7 +196,7 @@ def company(persons: DataFrame, radius: float, extra: Sequence[str] = ()) -> Dat
     A window ordered by x brings up the persons in a vertical strip around each one; only the strip is
     measured.
     """
-    frame = ", ".join(frame_keys(persons))
+    frame = ", ".join(FRAME)
     fields = ", ".join(["det_idx", "cx", "cy", *extra])
     r = repr(float(radius))
     strip = (
@@ -215,7 +216,7 @@ def company(persons: DataFrame, radius: float, extra: Sequence[str] = ()) -> Dat
 
 
 def _with_head_count(persons: DataFrame) -> DataFrame:
-    return persons.selectExpr("*", f"count(1) over (partition by {', '.join(frame_keys(persons))}) as heads")
+    return persons.selectExpr("*", f"count(1) over (partition by {', '.join(FRAME)}) as heads")
 
 
 def crowd(obs: DataFrame, max_count: int = 5, radius: float = 200.0, confirm: int = 5, cooldown_s: float = 60.0) -> DataFrame:
@@ -233,7 +234,7 @@ def person_motion(obs: DataFrame) -> DataFrame:
     p = link_rows(
         _persons(obs).withColumn("hands", hands),
         TRACK,
-        ["frame_seq", "det_idx"],
+        ORDER,
         ["frame_seq", "prev_seq", "frame_ms", "cx", "cy"],
         same_spell,
         memo=F.col("hands"),
@@ -279,7 +280,7 @@ def fall_signs(obs: DataFrame, ratio_threshold: float = 1.0, min_ratio_change: f
     ratio = g.aspect_ratio(g.box())
     shaped = _persons(obs).withColumn("ratio", ratio)
     before = F.when(F.col("ratio").isNotNull(), F.struct("ratio", "cy"))
-    p = link_rows(shaped, TRACK, ["frame_seq", "det_idx"], ["frame_seq", "prev_seq"], same_spell, memo=before)
+    p = link_rows(shaped, TRACK, ORDER, ["frame_seq", "prev_seq"], same_spell, memo=before)
     change, drop = F.col("ratio") - F.col("memo.ratio"), F.col("cy") - F.col("memo.cy")
     fallen = pose.is_fallen(F.col("keypoints"))
     lying = F.col("ratio") > 1.3

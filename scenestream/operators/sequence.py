@@ -3,9 +3,6 @@
 Rows are clustered by (key, slice), a slice being a fixed stretch of time. Windows run inside a slice;
 what a slice needs from earlier ones travels through a small table with one row per (key, slice).
 Every key may therefore be as long as the data without a task growing beyond a slice.
-
-Inputs small enough for one task carry no ``slice`` column, and the same operators then use plain
-windows per key.
 """
 
 from __future__ import annotations
@@ -15,8 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..session import cut
 from ..session import slice_ms as session_slice_ms
-from ..session import wants_slices
 
 SLICE = "slice"
 
@@ -26,36 +23,30 @@ def with_slice(df: DataFrame, ms: str = "frame_ms", width: int | None = None) ->
     return df.withColumn(SLICE, F.floor(F.col(ms) / F.lit(width)))
 
 
-def sliced(df: DataFrame) -> bool:
-    return SLICE in df.columns
-
+def pieces(keys: Sequence[str]) -> list[str]:
+    """Partitioning columns for work per key."""
+    return [*keys, SLICE]
 
-def pieces(df: DataFrame, keys: Sequence[str]) -> list[str]:
-    """Partitioning columns for work per key: with the slice where there is one."""
-    return [*keys, SLICE] if sliced(df) else list(keys)
 
-
-def frame_keys(df: DataFrame) -> list[str]:
-    return ["camera_id", SLICE, "frame_seq"] if sliced(df) else ["camera_id", "frame_seq"]
+FRAME = ["camera_id", SLICE, "frame_seq"]
+# Order of rows along a key: by time, since a camera's frame counter may start again.
+ORDER = ["frame_ms", "frame_seq", "det_idx"]
 
 
 # --- frames ---------------------------------------------------------------------------------------
 
 
-def processed_frames(frames: DataFrame, slices: bool = True) -> DataFrame:
-    """Frames the rules see (those with motion), each with the frame seen before it on its camera.
+def processed_frames(frames: DataFrame) -> DataFrame:
+    """Frames the rules see (those with motion), each with its slice and the frame seen before it on its camera.
 
     Adds ``prev_seq`` (NULL for a camera's first frame).
     """
-    f = frames.where("has_motion").select("camera_id", "frame_seq", "frame_ms")
-    lag = "lag(frame_seq) over (partition by {} order by frame_seq) as prev_seq"
-    if not slices:
-        return f.selectExpr("*", lag.format("camera_id"))
-    f = with_slice(f).repartition("camera_id", SLICE)
-    last = f.groupBy("camera_id", SLICE).agg(F.max("frame_seq").alias("last_seq"))
+    f = with_slice(frames.where("has_motion").select("camera_id", "frame_seq", "frame_ms")).repartition("camera_id", SLICE)
+    lag = f"lag(frame_seq) over (partition by camera_id, {SLICE} order by frame_ms, frame_seq) as prev_seq"
+    last = f.groupBy("camera_id", SLICE).agg(F.max_by("frame_seq", F.struct("frame_ms", "frame_seq")).alias("last_seq"))
     before = last.selectExpr("camera_id", SLICE, f"lag(last_seq) over (partition by camera_id order by {SLICE}) as before_seq")
     return (
-        f.selectExpr("*", lag.format(f"camera_id, {SLICE}"))
+        f.selectExpr("*", lag)
         .join(before, ["camera_id", SLICE], "left")
         .withColumn("prev_seq", F.coalesce("prev_seq", "before_seq"))
         .drop("before_seq")
@@ -63,16 +54,15 @@ def processed_frames(frames: DataFrame, slices: bool = True) -> DataFrame:
 
 
 def observe(detections: DataFrame, frames: DataFrame) -> DataFrame:
-    """Detections on processed frames, with ``prev_seq`` of their frame.
+    """Detections on processed frames, with the time of their frame and its ``prev_seq``.
 
-    Large inputs are clustered by (camera_id, slice) once, here; everything per frame, per track and
-    slice reuses that.
+    The frame decides on time and slice: a detection whose own clock is a little off stays with its frame. All that
+    follows, per frame, per track and slice, is clustered by (camera_id, slice) once, here.
     """
-    slices = wants_slices(detections)
-    seen = processed_frames(frames, slices).drop("frame_ms")
-    if not slices:
-        return detections.join(seen, ["camera_id", "frame_seq"])
-    return with_slice(detections).repartition("camera_id", SLICE).join(seen, ["camera_id", SLICE, "frame_seq"])
+    cols = detections.columns
+    seen = processed_frames(frames)
+    both = detections.drop("frame_ms").join(seen, ["camera_id", "frame_seq"]).select(*cols, "prev_seq", SLICE)
+    return both.repartition("camera_id", SLICE)
 
 
 # --- numbering ------------------------------------------------------------------------------------
@@ -81,60 +71,33 @@ def observe(detections: DataFrame, frames: DataFrame) -> DataFrame:
 def running(
     df: DataFrame,
     group: Sequence[str],
-    levels: Sequence[Sequence[str]],
     order: Sequence[str],
     values: dict[str, Column],
     how: str = "sum",
     reverse: bool = False,
     exclusive: bool = False,
 ) -> DataFrame:
-    """Running sum or max over each group in the order (levels..., order...), optionally from the end.
+    """Running sum or max over each group in the given order (no two rows alike), optionally from the end.
 
-    ``levels`` are lists of columns that cut a group into ever finer ordered pieces. Only a finest piece
-    is sorted in one task; what precedes it comes from totals of pieces, level by level, so neither a
-    large group nor one value shared by most rows meets in a single task. Small inputs use one window.
+    Rows are cut into ranges of (group, order), so neither a large group nor one value shared by most rows meets
+    in a single task. Only a range is sorted; what precedes it in its group comes from the totals of ranges.
+    The ranges are written once, since their numbers must not change between the two uses.
     """
     group = list(group)
-    flat = [c for level in levels for c in level]
     fn = {"sum": F.sum, "max": F.max}[how]
+    sort = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
+    ranged = cut(df.repartitionByRange(*group, *sort).withColumn("_piece", F.spark_partition_id()))
+    part, end = [*group, "_piece"], -1 if exclusive else 0
+    inside = Window.partitionBy(*part).orderBy(*sort).rowsBetween(Window.unboundedPreceding, end)
+    earlier = Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*part).agg(*[fn(v).alias(f"_t_{n}") for n, v in values.items()])
+    before = totals.select(*part, *[fn(f"_t_{n}").over(earlier).alias(f"_o_{n}") for n in values])
     merge = (lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))) if how == "sum" else F.greatest
-
-    def sort(cols: Sequence[str]) -> list[Column]:
-        return [F.col(c).desc() if reverse else F.col(c).asc() for c in cols]
-
-    def upto(w: WindowSpec, last: int) -> WindowSpec:
-        return w.rowsBetween(Window.unboundedPreceding, last)
-
-    end = -1 if exclusive else 0
-    if not wants_slices(df):
-        w = upto(Window.partitionBy(*group).orderBy(*sort([*flat, *order])), end)
-        zero = F.lit(0) if how == "sum" else F.lit(None)
-        return df.withColumns({n: F.coalesce(fn(v).over(w), zero) for n, v in values.items()})
-
-    names = list(values)
-    totals = df.groupBy(*group, *flat).agg(*[fn(v).alias(n) for n, v in values.items()])
-
-    def before(t: DataFrame, g: list[str], rest: Sequence[Sequence[str]]) -> DataFrame:
-        """For each piece of t, the merged totals of all pieces before it inside g."""
-        head, finer = list(rest[0]), rest[1:]
-        t0 = t if not finer else t.groupBy(*g, *head).agg(*[fn(n).alias(n) for n in names])
-        w = upto(Window.partitionBy(*g).orderBy(*sort(head)), -1)
-        off = t0.select(*g, *head, *[fn(n).over(w).alias(f"_o_{n}") for n in names])
-        if not finer:
-            return off
-        inner = before(t, [*g, *head], finer)
-        both = inner.join(off.withColumnsRenamed({f"_o_{n}": f"_c_{n}" for n in names}), [*g, *head])
-        return both.withColumns({f"_o_{n}": merge(F.col(f"_o_{n}"), F.col(f"_c_{n}")) for n in names}).drop(
-            *[f"_c_{n}" for n in names]
-        )
-
-    part = [*group, *flat]
-    w = upto(Window.partitionBy(*part).orderBy(*sort(order)), end)
     return (
-        df.withColumns({f"_i_{n}": fn(v).over(w) for n, v in values.items()})
-        .join(before(totals, group, levels), part)
-        .withColumns({n: merge(F.col(f"_i_{n}"), F.col(f"_o_{n}")) for n in names})
-        .drop(*[f"_i_{n}" for n in names], *[f"_o_{n}" for n in names])
+        ranged.withColumns({f"_i_{n}": fn(v).over(inside) for n, v in values.items()})
+        .join(before, part)
+        .withColumns({n: merge(F.col(f"_i_{n}"), F.col(f"_o_{n}")) for n in values})
+        .drop("_piece", *[f"_i_{n}" for n in values], *[f"_o_{n}" for n in values])
     )
 
 
@@ -170,8 +133,6 @@ def link_rows(
     """
     keys, order = list(keys), list(order)
     row = F.struct(*[F.col(c) for c in carry])
-    if not sliced(df):
-        return _link_whole(df, keys, order, row, link, time, memo)
     part = [*keys, SLICE]
     w = Window.partitionBy(*part).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -236,28 +197,6 @@ def link_rows(
     return res.drop(*drop)
 
 
-def _link_whole(
-    df: DataFrame, keys: list[str], order: list[str], row: Column, link: Link | None, time: str, memo: Column | None
-) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    out = df.withColumn("prev", F.lag(row).over(w))
-    if link is None:
-        return out
-    out = out.withColumn("linked", F.coalesce(link(F.col("prev"), row), F.lit(False)))
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumn("spell_ms", F.last(F.when(~F.col("linked"), F.col(time)), True).over(upto))
-    if memo is not None:
-        nothing = F.when(F.lit(False), memo)
-        mark = F.when(memo.isNotNull(), F.struct(memo.alias("v"))).when(~F.col("linked"), F.struct(nothing.alias("v")))
-        before = w.rowsBetween(Window.unboundedPreceding, -1)
-        out = (
-            out.withColumn("_mark", mark)
-            .withColumn("memo", F.when(F.col("linked"), F.last("_mark", True).over(before)["v"]))
-            .drop("_mark")
-        )
-    return out
-
-
 # --- confirmation ---------------------------------------------------------------------------------
 
 
@@ -270,8 +209,6 @@ def seamed(
     over the rows next to the seams only, in true key order.
     """
     keys, order = list(keys), list(order)
-    if not sliced(df):
-        return fn(df, Window.partitionBy(*keys).orderBy(*order))
     part = [*keys, SLICE]
     w = Window.partitionBy(*part).orderBy(*order)
     whole = Window.partitionBy(*part)
@@ -287,12 +224,10 @@ def confirmed(obs: DataFrame, keys: Sequence[str], order: Sequence[str], cond: s
     if n <= 1:
         return obs.where(F.col(cond))
     keys, order = list(keys), list(order)
-    thin = obs
-    if sliced(obs):
-        w = Window.partitionBy(*keys, SLICE).orderBy(*order)
-        # A false observation matters only directly after a true one (it ends a run).
-        thin = obs.withColumn("_after", F.lag(cond).over(w)).where(F.col(cond) | F.coalesce("_after", F.lit(True)))
-        thin = thin.drop("_after").repartition(*keys, SLICE)
+    w = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    # A false observation matters only directly after a true one (it ends a run).
+    thin = obs.withColumn("_after", F.lag(cond).over(w)).where(F.col(cond) | F.coalesce("_after", F.lit(True)))
+    thin = thin.drop("_after").repartition(*keys, SLICE)
 
     def runs(df: DataFrame, win: WindowSpec) -> DataFrame:
         held = F.count_if(F.col(cond)).over(win.rowsBetween(-(n - 1), 0))
@@ -309,18 +244,21 @@ def confirmed_unbroken(hits: DataFrame, keys: Sequence[str], n: int, frame: str
     if n <= 1:
         return hits
     keys = list(keys)
-    pinned = hits.repartition(*keys, SLICE) if sliced(hits) else hits
+    pinned = hits.repartition(*keys, SLICE)
 
     def runs(df: DataFrame, win: WindowSpec) -> DataFrame:
         joined = df.withColumn("_link", F.lag(frame).over(win) == F.col(prev))
         links = F.count_if(F.col("_link")).over(win.rowsBetween(-(n - 2), 0))
         return joined.withColumn("_links", links).where(F.col("_links") == n - 1).drop("_link", "_links")
 
-    return seamed(pinned, keys, [frame], n - 1, runs)
+    return seamed(pinned, keys, ["frame_ms", frame], n - 1, runs)
 
 
 # --- cooldown -------------------------------------------------------------------------------------
 
+# Slices of one key that are followed in one go.
+STRETCH = 256
+
 
 def cooldown(
     candidates: DataFrame,
@@ -379,11 +317,17 @@ def cooldown(
         .agg(F.expr(f"sort_array(collect_list(named_struct('{SLICE}', {SLICE}, 'map', map)))").alias("m"))
         .where("size(m) > 1")
     )
+    # The chain is followed in stretches, so that no growing array is copied for every slice.
+    steps = f"cast(array() as array<struct<{SLICE}:bigint,s:bigint>>)"
+    stretch = (
+        f"aggregate(q, named_struct('s', a.s, 'out', {steps}), (b, p) -> named_struct("
+        f"'s', coalesce(get(filter(p.map, e -> b.s is null or e.t >= b.s + {wait_ms}L), 0).last, b.s), "
+        f"'out', array_append(b.out, named_struct('{SLICE}', p.{SLICE}, 's', b.s))))"
+    )
     follow = (
-        "aggregate(m, named_struct('s', cast(null as bigint), 'out', cast(array() as "
-        f"array<struct<{SLICE}:bigint,s:bigint>>)), (a, p) -> named_struct("
-        f"'s', coalesce(get(filter(p.map, e -> a.s is null or e.t >= a.s + {wait_ms}L), 0).last, a.s), "
-        f"'out', array_append(a.out, named_struct('{SLICE}', p.{SLICE}, 's', a.s)))).out"
+        f"flatten(aggregate(transform(sequence(0, (size(m) - 1) div {STRETCH}), j -> slice(m, j * {STRETCH} + 1, {STRETCH})), "
+        f"named_struct('s', cast(null as bigint), 'out', cast(array() as array<array<struct<{SLICE}:bigint,s:bigint>>>)), "
+        f"(a, q) -> aggregate(array({stretch}), a, (c, x) -> named_struct('s', x.s, 'out', array_append(c.out, x.out)))).out)"
     )
     states = (
         chains.selectExpr(*keys, f"explode({follow}) as o")

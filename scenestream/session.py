@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 # Length of one time slice. Detections are clustered by (camera_id, slice), so no task ever holds
 # more of one camera or one track than a slice of it.
 SLICE_KEY = "spark.scenestream.sliceMs"
 DEFAULT_SLICE_MS = 600_000
 
-# "auto" slices inputs larger than SLICE_FROM_BYTES; below that even one key holding all rows fits a task.
-SLICING_KEY = "spark.scenestream.slicing"  # auto | always | never
-SLICE_FROM_BYTES = 256 * 1024 * 1024
-
-# Largest side we hint as a broadcast; beyond it the planner chooses.
-BROADCAST_LIMIT_ROWS = 200_000
-
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply runtime settings. Static settings (memory, cores) stay with the cluster."""
@@ -25,8 +25,6 @@ def tune(spark: SparkSession) -> SparkSession:
     conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     # Joins on (camera_id, slice, frame_seq) may use data already clustered by (camera_id, slice).
     conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    # Deriving extra filters from constraints costs seconds on plans of this depth and finds nothing to push.
-    conf.set("spark.sql.constraintPropagation.enabled", "false")
     return spark
 
 
@@ -34,35 +32,42 @@ def slice_ms(spark: SparkSession) -> int:
     return int(spark.conf.get(SLICE_KEY, str(DEFAULT_SLICE_MS)))
 
 
-def planned_bytes(df: DataFrame) -> int | None:
-    """Size estimate of a plan; None where the session does not expose it."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
-        return None
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see. Only a local session without a setting gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
 
-def wants_slices(df: DataFrame) -> bool:
-    mode = df.sparkSession.conf.get(SLICING_KEY, "auto")
-    if mode != "auto":
-        return mode == "always"
-    size = planned_bytes(df)
-    return size is None or size >= SLICE_FROM_BYTES
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a result that several branches of a plan read.
+def cut(df: DataFrame, compression: str = "zstd") -> DataFrame:
+    """Write a result to the shared folder and read it again: it is computed once and survives lost executors.
 
-    Goes to the shared folder named by ``spark.checkpoint.dir``, so it survives lost executors. Without
-    that setting the plan stays as it is and the branches recompute.
+    The shuffle files behind it are not needed afterwards, so they are removed as soon as it is written.
     """
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """Configuration rows as a table whose size the planner knows, so that it chooses how to join it."""
+    kind = StructType.fromDDL(schema)
+    columns = zip(*rows) if rows else [[] for _ in kind]
+    arrays = [pa.array(list(c), to_arrow_type(f.dataType)) for c, f in zip(columns, kind)]
+    return spark.createDataFrame(pa.table(dict(zip(kind.names, arrays))), kind)
 
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "20g") -> SparkSession:

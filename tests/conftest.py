@@ -18,19 +18,10 @@ def spark():
 
 
 @pytest.fixture
-def plain(spark):
-    spark.conf.set(S.SLICING_KEY, "never")
-    yield spark
-    spark.conf.set(S.SLICING_KEY, "auto")
-
-
-@pytest.fixture
-def sliced(spark):
-    """Force the plans for large inputs, with slices of a few seconds so that every key crosses many."""
-    spark.conf.set(S.SLICING_KEY, "always")
+def short_slices(spark):
+    """Slices of a few seconds, so that every key crosses many."""
     spark.conf.set(S.SLICE_KEY, "3000")
     yield spark
-    spark.conf.set(S.SLICING_KEY, "auto")
     spark.conf.set(S.SLICE_KEY, str(S.DEFAULT_SLICE_MS))
 
 

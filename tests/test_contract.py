@@ -27,12 +27,12 @@ def test_entry(spark):
 
 
 @pytest.mark.parametrize("name", SAMPLE)
-def test_against_sql(plain, name):
+def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     cur = con.execute(entry_module.oracle_sql()[name])
     names = [d[0] for d in cur.description]
-    df = entry_module.queries()[name](plain, SF)
+    df = entry_module.queries()[name](spark, SF)
     assert sorted(df.columns) == sorted(names)
     assert rows_of(df.columns, df.collect()) == rows_of(names, cur.fetchall())

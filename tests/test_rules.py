@@ -1,4 +1,4 @@
-"""Order-dependent rules against plain Python models; sliced plans against plain ones."""
+"""Order-dependent rules against plain Python models; short slices against long ones."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,16 +60,16 @@ def dist(a, b):
 
 
 @pytest.mark.parametrize("confirm,wait", [(1, 1.0), (2, 0.6), (3, 3.0)])
-def test_crowd(sliced, people, confirm, wait):
+def test_crowd(short_slices, people, confirm, wait):
     def judge(rows, ms, before):
         return [1 + sum(o is not x and dist(o, x) < 600 for x in rows) > 1 for o in rows]
 
     want = scan(people, 2, confirm, int(wait * 1000), judge)
-    got = r.crowd(observations(sliced, SF), 1, 600.0, confirm, wait)
+    got = r.crowd(observations(short_slices, SF), 1, 600.0, confirm, wait)
     assert key(got) == want and (want or confirm == 3)
 
 
-def test_fight(sliced, people):
+def test_fight(short_slices, people):
     def judge(rows, ms, before):
         def fast(o):
             if o.track_id not in before:
@@ -80,7 +80,7 @@ def test_fight(sliced, people):
         return [sum(o is not x and dist(o, x) < 600 for x in rows) >= 1 and fast(o) > 70 for o in rows]
 
     want = scan(people, 2, 2, 800, judge)
-    obs = observations(sliced, SF).withColumn("keypoints", F.lit(None).cast("array<struct<x:double,y:double,conf:double>>"))
+    obs = observations(short_slices, SF).withColumn("keypoints", F.lit(None).cast("array<struct<x:double,y:double,conf:double>>"))
     assert key(r.fight(obs, 600.0, 70.0, 2, 2, 0.8)) == want and want
 
 
@@ -102,9 +102,9 @@ def run_all(spark):
     return out
 
 
-def test_sliced_plans_agree(spark, request):
-    want = run_all(request.getfixturevalue("plain"))
-    got = run_all(request.getfixturevalue("sliced"))
+def test_slices_do_not_matter(spark, request):
+    want = run_all(spark)
+    got = run_all(request.getfixturevalue("short_slices"))
     for name, rows in want.items():
         assert got[name] == rows and rows, name
 
@@ -116,13 +116,13 @@ def test_merge_boxes(spark):
     assert got == [(1, 0, 0.0, 0.0, 210.0, 10.0, 825.0), (2, 0, 0.0, 0.0, 1.0, 1.0, 1.0)]
 
 
-def test_rule_set_is_union_of_rules(plain):
+def test_rule_set_is_union_of_rules(spark):
     from scenestream.catalog.rules import sample_cameras
     from scenestream.plans.ruleset import rule_plans
 
-    plans = rule_plans(p.detections(plain, SF), p.frames(plain, SF), sample_cameras())
+    plans = rule_plans(p.detections(spark, SF), p.frames(spark, SF), sample_cameras())
     assert set(plans) == {"intrusion", "presence", "dwell", "crowd", "proximity", "wrong_way", "speed", "fight", "fall", "tripwire"}
     intrusion = plans["intrusion"].collect()
-    assert len(intrusion) == r.intrusion(observations(plain, SF), 2, 1.0).count()
+    assert len(intrusion) == r.intrusion(observations(spark, SF), 2, 1.0).count()
     assert all(a.is_alert and a.type == "intrusion" for a in intrusion)
     assert not any(a.is_alert for a in plans["presence"].limit(20).collect())

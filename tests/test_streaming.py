@@ -70,36 +70,36 @@ def batch_obs(spark):
     return batch.watch(p.detections(spark, SF, keypoints=False).where(keep), p.frames(spark, SF).where(keep), p.ROI)
 
 
-def test_presence(plain, logs, scratch):
-    got = drain(live.presence(source(plain, f"{logs}/det", DETECTIONS), p.ROI, 1.0), "s_presence", scratch)
+def test_presence(spark, logs, scratch):
+    got = drain(live.presence(source(spark, f"{logs}/det", DETECTIONS), p.ROI, 1.0), "s_presence", scratch)
     keep = F.col("camera_id").isin(*CAMS) & (F.col("frame_seq") < 150)
-    everything = p.frames(plain, SF).where(keep).withColumn("has_motion", F.lit(True))
-    want = batch.presence(batch.watch(p.detections(plain, SF, keypoints=False).where(keep), everything, p.ROI), cooldown_s=1.0)
+    everything = p.frames(spark, SF).where(keep).withColumn("has_motion", F.lit(True))
+    want = batch.presence(batch.watch(p.detections(spark, SF, keypoints=False).where(keep), everything, p.ROI), cooldown_s=1.0)
     assert keyset(got) == keyset(want) and keyset(want)
 
 
 @pytest.mark.parametrize("name", ["intrusion", "dwell"])
-def test_linked_rules(plain, logs, scratch, name):
-    det, frm = source(plain, f"{logs}/det", DETECTIONS), source(plain, f"{logs}/frm", FRAMES)
+def test_linked_rules(spark, logs, scratch, name):
+    det, frm = source(spark, f"{logs}/det", DETECTIONS), source(spark, f"{logs}/frm", FRAMES)
     if name == "intrusion":
-        out, want = live.intrusion(det, frm, p.ROI, 2, 1.0), batch.intrusion(batch_obs(plain), 2, 1.0)
+        out, want = live.intrusion(det, frm, p.ROI, 2, 1.0), batch.intrusion(batch_obs(spark), 2, 1.0)
     else:
-        out, want = live.dwell(det, frm, p.ROI, 0.6, 2, 2.0), batch.dwell(batch_obs(plain), 0.6, 2, 2.0)
+        out, want = live.dwell(det, frm, p.ROI, 0.6, 2, 2.0), batch.dwell(batch_obs(spark), 0.6, 2, 2.0)
     assert keyset(drain(out, f"s_{name}", scratch)) == keyset(want) and keyset(want)
 
 
-def test_speed(plain, logs, scratch):
+def test_speed(spark, logs, scratch):
     keep = F.col("camera_id").isin(*CAMS) & (F.col("frame_seq") < 150)
-    everything = p.frames(plain, SF).where(keep).withColumn("has_motion", F.lit(True))
-    want = batch.speed(batch.watch(p.detections(plain, SF, keypoints=False).where(keep), everything), 70.0, 2, 1.5)
-    got = drain(live.speed(source(plain, f"{logs}/det", DETECTIONS).drop("keypoints"), 70.0, 2, 1.5), "s_speed", scratch)
+    everything = p.frames(spark, SF).where(keep).withColumn("has_motion", F.lit(True))
+    want = batch.speed(batch.watch(p.detections(spark, SF, keypoints=False).where(keep), everything), 70.0, 2, 1.5)
+    got = drain(live.speed(source(spark, f"{logs}/det", DETECTIONS).drop("keypoints"), 70.0, 2, 1.5), "s_speed", scratch)
     assert keyset(got) == keyset(want) and keyset(want)
 
 
-def test_windows(plain, logs, scratch):
-    got = drain(aggregates.pipeline_perf(source(plain, f"{logs}/frm", FRAMES), 10), "s_perf", scratch)
+def test_windows(spark, logs, scratch):
+    got = drain(aggregates.pipeline_perf(source(spark, f"{logs}/frm", FRAMES), 10), "s_perf", scratch)
     keep = F.col("camera_id").isin(*CAMS) & (F.col("frame_seq") < 150)
-    want = flow.pipeline_perf(p.frames(plain, SF).where(keep), 10)
+    want = flow.pipeline_perf(p.frames(spark, SF).where(keep), 10)
 
     def rows(df):
         return sorted(tuple(r) for r in df.select("camera_id", "window_start", "fps", "detection_fps", "skip_rate").collect() if r.window_start < FAR - 60_000)
@@ -107,11 +107,11 @@ def test_windows(plain, logs, scratch):
     assert rows(got) == rows(want) and rows(want)
 
 
-def test_area_snapshots(plain, logs, scratch):
-    det, frm = source(plain, f"{logs}/det", DETECTIONS).drop("keypoints"), source(plain, f"{logs}/frm", FRAMES)
+def test_area_snapshots(spark, logs, scratch):
+    det, frm = source(spark, f"{logs}/det", DETECTIONS).drop("keypoints"), source(spark, f"{logs}/frm", FRAMES)
     got = drain(aggregates.area_snapshots(det, frm, "10 seconds"), "s_area", scratch)
     keep = F.col("camera_id").isin(*CAMS) & (F.col("frame_seq") < 150)
-    counts = flow.area_counts(p.detections(plain, SF, keypoints=False).where(keep), p.frames(plain, SF).where(keep))
+    counts = flow.area_counts(p.detections(spark, SF, keypoints=False).where(keep), p.frames(spark, SF).where(keep))
     want = flow.area_snapshots(counts, 10)
 
     def rows(df):
@@ -120,22 +120,22 @@ def test_area_snapshots(plain, logs, scratch):
     assert rows(got) == rows(want) and rows(want)
 
 
-def test_deduplicate(plain, scratch, tmp_path):
-    rows = plain.createDataFrame([("cam0", 1, 1000, 1), ("cam0", 1, 1000, 1), ("cam0", 2, 1200, 1)], "camera_id string, frame_seq bigint, frame_ms bigint, det_idx bigint")
+def test_deduplicate(spark, scratch, tmp_path):
+    rows = spark.createDataFrame([("cam0", 1, 1000, 1), ("cam0", 1, 1000, 1), ("cam0", 2, 1200, 1)], "camera_id string, frame_seq bigint, frame_ms bigint, det_idx bigint")
     rows.coalesce(1).write.parquet(str(tmp_path / "d"))
-    s = live.timed(plain.readStream.schema(rows.schema).parquet(str(tmp_path / "d")))
+    s = live.timed(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "d")))
     assert drain(aggregates.deduplicate(s), "s_dedup", scratch).count() == 2
 
 
-def test_fan_out(plain, scratch, tmp_path):
+def test_fan_out(spark, scratch, tmp_path):
     from scenestream.sources import readers
     from scenestream.streaming.fanout import fan_out
 
-    a = p.alerts(plain, SF).limit(50).selectExpr("cast(alert_id as string) alert_id", "type", "sub_type", "camera_id", "track_id", "ts_ms", "alert_id % 2 = 0 as is_alert")
+    a = p.alerts(spark, SF).limit(50).selectExpr("cast(alert_id as string) alert_id", "type", "sub_type", "camera_id", "track_id", "ts_ms", "alert_id % 2 = 0 as is_alert")
     a.write.parquet(str(tmp_path / "a"))
-    q = fan_out(plain.readStream.schema(a.schema).parquet(str(tmp_path / "a")), scratch + "/cp", store=str(tmp_path / "store"), camera_log=str(tmp_path / "log")).start()
+    q = fan_out(spark.readStream.schema(a.schema).parquet(str(tmp_path / "a")), scratch + "/cp", store=str(tmp_path / "store"), camera_log=str(tmp_path / "log")).start()
     q.processAllAvailable()
     q.stop()
-    n = plain.read.parquet(str(tmp_path / "a")).where("is_alert").count()
-    assert readers.alert_store(plain, str(tmp_path / "store")).count() == 50
-    assert readers.camera_log(plain, str(tmp_path / "log")).count() == n
+    n = spark.read.parquet(str(tmp_path / "a")).where("is_alert").count()
+    assert readers.alert_store(spark, str(tmp_path / "store")).count() == 50
+    assert readers.camera_log(spark, str(tmp_path / "log")).count() == n
