@@ -160,7 +160,12 @@ def links(distinct: DataFrame, distance: int, blocks: int) -> DataFrame:
     fp = F.col("fingerprint")
     keys = F.array(*[F.struct(F.lit(i).cast("long").alias("choice"), fp.bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks)])
     spread = distinct.select(F.explode(keys).alias("k"), "fingerprint").select("k.choice", "k.bits", "fingerprint")
-    return spread.repartition("choice", "bits").sortWithinPartitions("choice", "bits").mapInArrow(run, "u long, v long")
+    found = spread.repartition("choice", "bits").sortWithinPartitions("choice", "bits").mapInArrow(run, "u long, v long")
+    # A member of many buckets is linked once to each one's root. All its links lead through the least of them, so
+    # the roots are linked to that and the member keeps one link; it has few roots in a bucket of any size.
+    near = found.groupBy("u").agg(F.collect_set("v").alias("vs"))
+    hub = F.least("u", F.array_min("vs"))
+    return near.select(F.explode(F.array_append("vs", F.col("u"))).alias("u"), hub.alias("v")).where("u != v").distinct()
 
 
 def groups(docs: DataFrame, shingle: int = 3, distance: int = 2, blocks: int = 5) -> DataFrame:
