@@ -180,7 +180,8 @@ def alerts_decode(spark, sf):
     "sink_alerts",
     _a(
         """SELECT CAST(alert_id AS VARCHAR) AS alert_id, type, sub_type, camera_id, track_id, class_name, confidence, ts_ms,
-        strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') AS event_date FROM alerts"""
+        strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') AS event_date, true AS is_alert,
+        substr(trim(extra), 1, length(trim(extra)) - 1) || ',"zone":' || (track_id % 3) || '}' AS extra FROM alerts"""
     ),
 )
 def sink_alerts(spark, sf):
@@ -188,7 +189,7 @@ def sink_alerts(spark, sf):
     a = p.alerts(spark, sf).withColumn("zone", F.col("track_id") % 3)
     rows = sinks.alert_rows(a)
     return rows.select(
-        "alert_id", "type", "sub_type", "camera_id", "track_id", "class_name", "confidence", "ts_ms", "event_date"
+        "alert_id", "type", "sub_type", "camera_id", "track_id", "class_name", "confidence", "ts_ms", "event_date", "is_alert", "extra",
     )
 
 

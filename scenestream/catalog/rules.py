@@ -420,8 +420,8 @@ def rule_all(spark, sf):
         "tracked",
         """SELECT t.camera_id, t.track_id, t.frame_seq FROM tracked t
         LEFT JOIN tracked n ON n.camera_id = t.camera_id AND n.track_id = t.track_id AND n.prev_seq = t.frame_seq
-        WHERE n.track_id IS NULL""",
+        WHERE n.track_id IS NULL AND EXISTS (SELECT 1 FROM proc q WHERE q.camera_id = t.camera_id AND q.prev_seq = t.frame_seq)""",
     ),
 )
 def track_exits(spark, sf):
-    return r.track_exits(observations(spark, sf)).select("camera_id", "track_id", "frame_seq")
+    return r.track_exits(observations(spark, sf), p.frames(spark, sf)).select("camera_id", "track_id", "frame_seq")

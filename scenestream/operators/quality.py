@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.scores import review_scores
 from ..schema import ANOMALY_TYPES, EVENT_TYPES
 
-IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "bmp")
+# What may be uploaded.
+UPLOAD_EXTENSIONS = ("jpg", "jpeg", "png")
 BATCH_LIMIT = 100
 
 
@@ -107,7 +108,7 @@ def box_errors(boxes: DataFrame, n_classes: Column | int, keys: Sequence[str] =
 def upload_errors(files: DataFrame, batch: str, name: str = "filename") -> DataFrame:
     """Files of upload batches: image extensions only, at most 100 per batch."""
     ext = F.lower(F.element_at(F.split(name, r"\."), -1))
-    bad = files.where(~ext.isin(*IMAGE_EXTENSIONS)).select(batch, F.concat(F.lit("invalid_format: "), F.col(name)).alias("error"))
+    bad = files.where(~ext.isin(*UPLOAD_EXTENSIONS)).select(batch, F.concat(F.lit("invalid_format: "), F.col(name)).alias("error"))
     big = files.groupBy(batch).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BATCH_LIMIT)
     return bad.unionByName(big.select(batch, F.format_string("batch_too_large: %d", "n").alias("error")))
 

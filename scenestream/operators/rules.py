@@ -308,8 +308,14 @@ def fall(
     ).run(obs)
 
 
-def track_exits(obs: DataFrame) -> DataFrame:
-    """Last observation of a track before a processed frame of its camera in which it is missing."""
+def track_exits(obs: DataFrame, frames: DataFrame) -> DataFrame:
+    """Last observation of a track before a processed frame of its camera in which it is missing.
+
+    Tracks still there in the camera's last processed frame have not gone.
+    """
+    at = F.struct("frame_ms", "frame_seq")
+    last = frames.where("has_motion").groupBy("camera_id").agg(F.max(at).alias("last"))
     t = obs.where("track_id >= 0")
     here = t.select("camera_id", "track_id", F.col("prev_seq").alias("frame_seq")).distinct()
-    return t.join(here, ["camera_id", "track_id", "frame_seq"], "left_anti")
+    gone = t.join(here, ["camera_id", "track_id", "frame_seq"], "left_anti")
+    return gone.join(last, "camera_id").where(at < F.col("last")).drop("last")

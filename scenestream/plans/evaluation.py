@@ -184,8 +184,9 @@ def unmatched(rows: DataFrame, matches: DataFrame, keys: Sequence[str], idx: str
 def evaluate_tripwire(pred: DataFrame, truth: DataFrame, tolerance: float) -> DataFrame:
     """Scores per video and wire, with direction accuracy, and per video over its wires ("overall")."""
     keys = ["video", "tripwire_id"]
-    t = truth.where("type = 'tripwire'")
-    p = pred.where("type = 'tripwire'").join(t.select("video").distinct(), "video", "left_semi")
+    named = "type = 'tripwire' and tripwire_id is not null"
+    t = truth.where(named)
+    p = pred.where(named).join(t.select("video").distinct(), "video", "left_semi")
     m = match_events(p, t, keys, tolerance)
     pd_ = p.select(*keys, "pred_idx", F.coalesce("direction", "sub_type").alias("pd"))
     td = t.select(*keys, "gt_idx", F.col("direction").alias("gd"))

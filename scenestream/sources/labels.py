@@ -63,12 +63,21 @@ def label_files(dets: DataFrame, images: DataFrame, width: int, height: int) ->
     return images.join(per, key, "left").select(*key, F.coalesce(body, F.lit("# no detections")).alias("body"))
 
 
-def write_label_files(files: DataFrame, path: str) -> None:
-    """One directory per image, one body each; append-only, so re-running adds nothing to existing images
-    unless the caller anti-joins first (see ``datasets.to_label``)."""
-    files.select(F.concat_ws("_", "camera_id", F.col("frame_seq").cast("string")).alias("image_id"), "body").write.mode(
-        "append"
-    ).partitionBy("image_id").text(path)
+def label_rows(files: DataFrame) -> DataFrame:
+    """One row per label line: camera_id, image_id, line_no, line."""
+    image = F.concat_ws("_", "camera_id", F.col("frame_seq").cast("string")).alias("image_id")
+    return files.select("camera_id", image, F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
+
+
+def write_label_rows(files: DataFrame, path: str) -> None:
+    """Label lines as JSON rows by camera, many images to a file; ``read_label_rows`` reads them back. Append-only: the
+    caller anti-joins what is labelled already (see ``datasets.to_label``)."""
+    label_rows(files).repartition("camera_id", "image_id").write.mode("append").partitionBy("camera_id").json(path)
+
+
+def read_label_rows(spark: SparkSession, path: str) -> DataFrame:
+    """image_id, line_no, line as written by ``write_label_rows``: what ``parse`` and ``scan_summary`` take."""
+    return spark.read.schema("camera_id string, image_id string, line_no int, line string").json(path).select("image_id", "line_no", "line")
 
 
 def match_images(files: DataFrame, labelled: DataFrame) -> DataFrame:

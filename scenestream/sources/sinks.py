@@ -33,18 +33,23 @@ def alert_rows(events: DataFrame) -> DataFrame:
             c = F.coalesce(c.cast(f.dataType), F.lit(_DEFAULTS[f.name]))
         out.append(c.cast(f.dataType).alias(f.name))
     if rest and "extra" in have:
-        # Keep an extra that came as JSON text beside the new keys.
-        out = [
-            F.to_json(F.struct(*rest, F.col("extra"))).alias("extra") if n == "extra" else c
-            for n, c in zip(names, out)
-        ]
+        # The keys of an extra that came as a JSON object stand beside the new ones; other text becomes a key.
+        old, new = F.trim("extra"), F.to_json(F.struct(*rest))
+        wrapped = F.when(old.rlike(r"(?s)^\{.*\}$"), old).otherwise(F.to_json(F.struct("extra")))
+        inner = F.trim(F.substring(wrapped, F.lit(2), F.length(wrapped) - 2))
+        both = F.concat(F.lit("{"), inner, F.when((inner == "") | (new == "{}"), "").otherwise(","), F.substring(new, F.lit(2), F.length(new)))
+        out = [F.when(old.isNull(), new).otherwise(both).alias("extra") if n == "extra" else c for n, c in zip(names, out)]
     return events.select(*out).withColumn("event_date", _date(F.col("ts_ms")))
 
 
-def write_alerts(events: DataFrame, path: str) -> None:
+# Files a date's alerts of one write go to, at most.
+FILES_PER_DATE = 16
+
+
+def write_alerts(events: DataFrame, path: str, mode: str = "append") -> None:
     """Alert store: Parquet by event date, clustered by camera and type inside the files."""
-    rows = alert_rows(events)
-    rows.sortWithinPartitions("event_date", "camera_id", "type").write.mode("append").partitionBy("event_date").parquet(path)
+    rows = alert_rows(events).repartition("event_date", F.pmod(F.xxhash64("camera_id", "type"), F.lit(FILES_PER_DATE)))
+    rows.sortWithinPartitions("event_date", "camera_id", "type").write.mode(mode).partitionBy("event_date").parquet(path)
 
 
 def append(rows: DataFrame, path: str, time: str = "ts_ms") -> None:
@@ -52,9 +57,9 @@ def append(rows: DataFrame, path: str, time: str = "ts_ms") -> None:
     rows.withColumn("event_date", _date(F.col(time))).write.mode("append").partitionBy("event_date").parquet(path)
 
 
-def write_camera_log(events: DataFrame, path: str) -> None:
+def write_camera_log(events: DataFrame, path: str, mode: str = "append") -> None:
     """JSON lines, one directory per camera."""
-    events.write.mode("append").partitionBy("camera_id").json(path)
+    events.write.mode(mode).partitionBy("camera_id").json(path)
 
 
 def write_count_log(windows: DataFrame, path: str) -> None:
@@ -72,8 +77,8 @@ def search_documents(alerts: DataFrame, prefix: str) -> DataFrame:
     )
 
 
-def write_documents(alerts: DataFrame, prefix: str, path: str) -> None:
-    search_documents(alerts, prefix).write.mode("append").partitionBy("index_name").json(path)
+def write_documents(alerts: DataFrame, prefix: str, path: str, mode: str = "append") -> None:
+    search_documents(alerts, prefix).write.mode(mode).partitionBy("index_name").json(path)
 
 
 def latest_config(changes: DataFrame, key: str = "camera_id", at: str = "updated_at") -> DataFrame:
