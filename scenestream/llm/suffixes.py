@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,9 @@ from .common import cut, text_key
 SPAN = 50  # bytes in a string
 GRAM = 18  # bytes in a gram; a window has SPAN - GRAM + 1 of them
 # Bytes of text anchored at once, of text for each bucket of anchors, of pieces merged at once, and of pieces in one shard.
-BLOCK, PER_BUCKET, CHUNK, SHARD = 1 << 18, 16 << 20, 4 << 20, 1 << 19
+BLOCK, PER_BUCKET, CHUNK, SHARD = 1 << 18, 4 << 20, 2 << 20, 1 << 18
+# Anchors held before they are dealt to buckets.
+HELD = 300_000
 POSITION_BITS = 24
 NO_ID = (1 << 63) - 1  # orders a null doc_id behind all others
 
@@ -99,22 +102,28 @@ def _unpacked(blob: bytes) -> np.ndarray:
 
 def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     """``order, place`` of all pieces whose anchor occurs in two documents or more; a place packs first window, windows, hash bits."""
-    shift = np.uint64(64 - buckets.bit_length() + 1)
+    shift = np.uint64(65 - buckets.bit_length())
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            order = b.column(0).to_numpy()
-            texts = [t.as_py() or b"" for t in b.column(1)]
-            got = list(zip(*anchors(texts)))
-            if not got:
-                continue
-            text, lo, n, h = map(np.concatenate, got)
-            bucket = (h >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(h), np.int64)
+        def deal(got: list, order: np.ndarray) -> pa.RecordBatch:
+            text, lo, n, h = map(np.concatenate, zip(*got))
+            bucket = (h >> shift).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             bucket, h, own, where = bucket[by], h[by], order[text[by]], (lo[by] << 8) | n[by]
             starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             blobs = [_packed(h[s:e], own[s:e], where[s:e]) for s, e in zip(starts, np.append(starts[1:], len(bucket)))]
-            yield pa.record_batch([pa.array(bucket[starts]), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+            return pa.record_batch([pa.array(bucket[starts]), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+        for b in batches:
+            order, got, held = b.column(0).to_numpy(), [], 0
+            for block in anchors([t.as_py() or b"" for t in b.column(1)]):
+                got.append(block)
+                held += len(block[0])
+                if held > HELD:
+                    yield deal(got, order)
+                    got, held = [], 0
+            if got:
+                yield deal(got, order)
 
     def pick(parts: list[bytes]) -> pa.RecordBatch:
         h, order, where = np.concatenate([_unpacked(p) for p in parts], axis=1)
@@ -251,16 +260,30 @@ def repeats(found: DataFrame) -> DataFrame:
                 names=["anchor", "piece_id", "runs"],
             )
 
-        held, size = [], 0
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if size > CHUNK and row[0] != held[-1][0]:
-                    yield solve(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[2])
-        if held:
-            yield solve(held)
+        def alone(rows: list[tuple]) -> pa.RecordBatch:
+            """Pieces that share their anchor with no other: nothing to merge, all their strings are in the same documents."""
+            rows = [r for r in rows if r[3] < r[4]]
+            runs = [[{"first": 0, "last": len(r[2]) - SPAN, "least": r[3]}] for r in rows]
+            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(runs, kind)]
+            return pa.record_batch(columns, names=["anchor", "piece_id", "runs"])
+
+        held, size, single, group = [], 0, [], []
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        for row in chain(rows, [None]):
+            if group and (row is None or row[0] != group[0][0]):
+                if len(group) == 1:
+                    single.append(group[0])
+                else:
+                    held += group
+                    size += sum(len(r[2]) for r in group)
+                group = []
+            if single and (row is None or len(single) > 10_000):
+                yield alone(single)
+                single = []
+            if held and (row is None or size > CHUNK):
+                yield solve(held)
+                held, size = [], 0
+            group.append(row)
 
     sorted_ = different.repartition("anchor").sortWithinPartitions("anchor")
     return sorted_.mapInArrow(run, "anchor long, piece_id long, runs array<struct<first:bigint,last:bigint,least:bigint>>")
