@@ -10,6 +10,8 @@ from .common import cut, join_documents, text_key, words
 # Bits of the membership map, a fixed 128 KB whatever the size of either side. It only thins out the
 # positions that reach the join; what it lets through wrongly is dropped by the join.
 MAP_BITS = 1 << 20
+# Windows (of ten words) up to which their prefixes, a few tens of megabytes, are sent to every executor.
+BROADCAST_WINDOWS = 200_000
 
 
 def item_windows(items: DataFrame, width: int) -> DataFrame:
@@ -37,8 +39,8 @@ def _tokens(windows: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _membership(tokens: DataFrame) -> Column:
-    """A literal bit map of all tokens: slot number to 64 bits."""
+def _membership(tokens: DataFrame) -> Column | None:
+    """A literal bit map of all tokens: slot number to 64 bits; None if there are none."""
     slot = F.col("token").bitwiseAND(F.lit(MAP_BITS - 1))
     bits = (
         tokens.select(F.shiftright(slot, 6).alias("slot"), F.expr("shiftleft(1L, cast(token & 63 as int))").alias("bit"))
@@ -46,6 +48,8 @@ def _membership(tokens: DataFrame) -> Column:
         .agg(F.bit_or("bit").alias("bit"))
         .collect()  # at most MAP_BITS / 64 rows
     )
+    if not bits:
+        return None
     filled = [0] * (MAP_BITS // 64)
     for r in bits:
         filled[r["slot"]] = r["bit"]
@@ -67,16 +71,18 @@ def find_windows(docs: DataFrame, items: DataFrame, width: int = 10, shingle: in
     by_item = cut(item_windows(items, width))
     windows = by_item.select("window", "length").distinct()
     tokens = _tokens(windows, shingle)
-    bitmap = _membership(tokens)
-
+    maps = {k: _membership(tokens.where(F.col("k") == k)) for k in (shingle, 1)}
     w, n = F.col("w"), F.size("w")
 
-    def held(h: Column) -> Column:
-        slot = h.bitwiseAND(F.lit(MAP_BITS - 1))
+    def held(i: Column, k: int) -> Column:
+        bitmap = maps[k]
+        if bitmap is None:
+            return F.lit(False)
+        slot = _shingle(w, i, k).bitwiseAND(F.lit(MAP_BITS - 1))
         return F.getbit(F.get(bitmap, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
 
     positions = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    matched = F.filter(positions, lambda i: held(_shingle(w, i, shingle)) | held(_shingle(w, i, 1)))
+    matched = F.filter(positions, lambda i: held(i, shingle) | held(i, 1))
     around = F.transform(
         matched,
         lambda i: F.struct(
@@ -97,7 +103,9 @@ def find_windows(docs: DataFrame, items: DataFrame, width: int = 10, shingle: in
     common = places.groupBy("t.k", "t.token").agg(F.count("*").alias("n"))
     ranked = tokens.join(common, ["k", "token"], "left").groupBy("window", "length")
     rarest = ranked.agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "offset", "k")).alias("p"))
-    prefix = rarest.select("window", "length", "p.k", "p.token", "p.offset")
+    prefix = cut(rarest.select("window", "length", "p.k", "p.token", "p.offset"))
+    if prefix.count() <= BROADCAST_WINDOWS:  # beyond it, both sides are shuffled
+        prefix = F.broadcast(prefix)
 
     start = F.col("pos") - F.col("offset")
     fits = (start >= 0) & (start + F.col("length") <= F.col("n_words"))
