@@ -9,7 +9,7 @@ from ..functions import labels, pose
 from ..sources import projection as p
 from .flow import _SIDE, _meets
 from .registry import query
-from .views import with_views
+from .views import FALLEN, with_views
 
 
 def _dets(spark, sf, keypoints=False):
@@ -70,32 +70,9 @@ def boxes_rescale(spark, sf):
     )
 
 
-def _mean_y(parts) -> str:
-    cond = "((pk + {i}) % 10) / 10.0 > 0.3"
-    y = "CASE WHEN pk % 40 = 0 THEN y2 - {i}*h/16 ELSE y1 + {i}*h/16 END"
-    s = " + ".join(f"CASE WHEN {cond.format(i=i)} THEN {y.format(i=i)} ELSE 0 END" for i in parts)
-    n = " + ".join(f"CASE WHEN {cond.format(i=i)} THEN 1 ELSE 0 END" for i in parts)
-    return f"({s}) / nullif({n}, 0)"
-
-
-def _mean_x(parts) -> str:
-    cond = "((pk + {i}) % 10) / 10.0 > 0.3"
-    s = " + ".join(
-        f"CASE WHEN {cond.format(i=i)} THEN {'cx + hw/2' if i % 2 else 'cx - hw/2'} ELSE 0 END" for i in parts
-    )
-    n = " + ".join(f"CASE WHEN {cond.format(i=i)} THEN 1 ELSE 0 END" for i in parts)
-    return f"({s}) / nullif({n}, 0)"
-
-
-_FALLEN = f"""coalesce(({_mean_y((0, 1, 2))}) IS NOT NULL AND ({_mean_y((11, 12))}) IS NOT NULL AND (
-  ({_mean_y((0, 1, 2))}) > ({_mean_y((11, 12))})
-  OR coalesce(abs(({_mean_x((15, 16))}) - ({_mean_x((5, 6))})) > 0
-    AND abs(({_mean_y((15, 16))}) - ({_mean_y((5, 6))})) / abs(({_mean_x((15, 16))}) - ({_mean_x((5, 6))})) < 0.5, false)), false)"""
-
-
 @query(
     "pose_fallen",
-    with_views("det", f"SELECT camera_id, frame_seq, det_idx, {_FALLEN} AS fallen FROM det WHERE class_id = 0 AND sk % 3 = 0"),
+    with_views("det", f"SELECT camera_id, frame_seq, det_idx, {FALLEN} AS fallen FROM det WHERE class_id = 0 AND sk % 3 = 0"),
 )
 def pose_fallen(spark, sf):
     d = _dets(spark, sf, keypoints=True).where("keypoints is not null")

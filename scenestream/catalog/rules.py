@@ -10,7 +10,7 @@ from ..operators import tripwire as tw
 from ..operators.neighbours import near_pairs
 from ..sources import projection as p
 from .registry import query
-from .views import with_views
+from .views import FALLEN, with_views
 
 
 def observations(spark, sf, roi=p.ROI, keypoints=False):
@@ -285,23 +285,24 @@ _SIGNS = """
     FROM sg WHERE sign IS NOT NULL)"""
 
 
-@query(
-    "rule_fall",
-    with_views(
-        "tracked",
-        _SIGNS + "," + _runs_sql("judged", "camera_id, track_id", 1) + ","
-        + cooldown_sql("cand", "camera_id, track_id", 1000, BASIC + ", s.sign"),
-        True,
-    ),
-)
+# With key points: a fallen pose is a sign of its own, before the shape of the box.
+_POSED = _SIGNS.replace("CASE WHEN ratio > 1.3", f"CASE WHEN sk % 3 = 0 AND ({FALLEN}) THEN 'pose' WHEN ratio > 1.3")
+
+
+def _fall_sql(confirm: int) -> str:
+    held = _runs_sql("judged", "camera_id, track_id", confirm)
+    return with_views("tracked", _POSED + "," + held + "," + cooldown_sql("cand", "camera_id, track_id", 1000, BASIC + ", s.sign"), True)
+
+
+@query("rule_fall", _fall_sql(1))
 def rule_fall(spark, sf):
-    obs = observations(spark, sf).withColumn("keypoints", F.lit(None).cast("array<struct<x:double,y:double,conf:double>>"))
-    return basic(r.fall(obs, confirm=1, cooldown_s=1.0), "sign")
+    return basic(r.fall(observations(spark, sf, keypoints=True), confirm=1, cooldown_s=1.0), "sign")
 
 
-@query("rule_fall_pose")
+@query("rule_fall_pose", _fall_sql(2))
 def rule_fall_pose(spark, sf):
-    return basic(r.fall(observations(spark, sf, keypoints=True), confirm=1, cooldown_s=1.0), "sign")
+    """Confirmed over two observations in a row."""
+    return basic(r.fall(observations(spark, sf, keypoints=True), confirm=2, cooldown_s=1.0), "sign")
 
 
 def _first_in_frame_sql(wait_ms: int, cols: str) -> str:

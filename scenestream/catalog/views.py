@@ -147,3 +147,27 @@ def with_views(names: str, body: str, recursive: bool = False) -> str:
     head = "WITH RECURSIVE " if recursive else "WITH "
     body = body.strip()
     return head + views + ("\n" if body.upper().startswith("SELECT") else ",\n") + body
+
+
+def _mean_y(parts) -> str:
+    cond = "((pk + {i}) % 10) / 10.0 > 0.3"
+    y = "CASE WHEN pk % 40 = 0 THEN y2 - {i}*h/16 ELSE y1 + {i}*h/16 END"
+    s = " + ".join(f"CASE WHEN {cond.format(i=i)} THEN {y.format(i=i)} ELSE 0 END" for i in parts)
+    n = " + ".join(f"CASE WHEN {cond.format(i=i)} THEN 1 ELSE 0 END" for i in parts)
+    return f"({s}) / nullif({n}, 0)"
+
+
+def _mean_x(parts) -> str:
+    cond = "((pk + {i}) % 10) / 10.0 > 0.3"
+    s = " + ".join(
+        f"CASE WHEN {cond.format(i=i)} THEN {'cx + hw/2' if i % 2 else 'cx - hw/2'} ELSE 0 END" for i in parts
+    )
+    n = " + ".join(f"CASE WHEN {cond.format(i=i)} THEN 1 ELSE 0 END" for i in parts)
+    return f"({s}) / nullif({n}, 0)"
+
+
+# Head below the hips or a flat body, from the key points of the "det" view.
+FALLEN = f"""coalesce(({_mean_y((0, 1, 2))}) IS NOT NULL AND ({_mean_y((11, 12))}) IS NOT NULL AND (
+  ({_mean_y((0, 1, 2))}) > ({_mean_y((11, 12))})
+  OR coalesce(abs(({_mean_x((15, 16))}) - ({_mean_x((5, 6))})) > 0
+    AND abs(({_mean_y((15, 16))}) - ({_mean_y((5, 6))})) / abs(({_mean_x((15, 16))}) - ({_mean_x((5, 6))})) < 0.5, false)), false)"""
