@@ -97,7 +97,7 @@ def test_annotation_files(spark, tmp_path):
     assert docs.first().fps_sample == 5.0
     t = readers.annotation_truth(docs).collect()
     assert [(r.video, r.gt_idx, r.type, r.t_start, r.t_end) for r in t][0] == ("clip7", 0, "intrusion", 2.0, 8.0)
-    assert [tuple(r) for r in readers.expected_counts(docs).collect()] == [("clip7", "*", 0, 0), ("clip7", "person", 2, 1)]
+    assert [tuple(r) for r in readers.expected_counts(docs).collect()] == [("clip7", "*", 2, 1), ("clip7", "person", 2, 1)]
 
 
 def test_epoch_file(spark, tmp_path):
