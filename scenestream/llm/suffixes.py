@@ -14,7 +14,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,9 +151,29 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def pieces(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """``anchor, piece_id, piece, order, text_key, lo``: each shared piece with its bytes. Places are checked against the text at hand."""
+    """Each shared piece with its bytes and where it stands: ``anchor, piece, least, most, places``.
+
+    A piece that occurs often in one batch of documents is one row. Places are checked against the text at hand.
+    """
+    place_type = pa.list_(pa.struct([("order", pa.int64()), ("text_key", pa.int64()), ("lo", pa.int64())]))
+
+    def rows(found: dict[tuple[int, bytes], list[tuple[int, int, int]]]) -> pa.RecordBatch:
+        places = list(found.values())
+        counts = np.cumsum([0, *map(len, places)], dtype=np.int32)
+        flat = np.array([p for ps in places for p in ps], np.int64)
+        inner = pa.StructArray.from_arrays([pa.array(flat[:, i]) for i in range(3)], ["order", "text_key", "lo"])
+        return pa.record_batch(
+            [
+                pa.array(np.array([k[0] for k in found], np.uint64).view(np.int64)), pa.array([k[1] for k in found], pa.binary()),
+                pa.array(np.minimum.reduceat(flat[:, 0], counts[:-1])), pa.array(np.maximum.reduceat(flat[:, 0], counts[:-1])),
+                pa.ListArray.from_arrays(pa.array(counts), inner).cast(place_type),
+            ],
+            names=["anchor", "piece", "least", "most", "places"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
+        held = 0
         for b in batches:
             texts = [t.as_py() or b"" for t in b.column(2)]
             order, key = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -164,16 +183,20 @@ def pieces(docs: DataFrame, shared: DataFrame) -> DataFrame:
                 starts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
                 keep = np.concatenate([np.isin(place[s:e], wanted[text[s]]) for s, e in zip(starts, np.append(starts[1:], len(text)))])
                 text, lo, n, h = text[keep], lo[keep], n[keep], h[keep]
-                cutouts = [texts[t][s : s + m + SPAN - 1] for t, s, m in zip(text.tolist(), lo.tolist(), n.tolist())]
-                ids = np.fromiter(map(xxhash.xxh64_intdigest, cutouts), np.uint64, len(cutouts))
-                yield pa.record_batch(
-                    [pa.array(h.view(np.int64)), pa.array(ids.view(np.int64)), pa.array(cutouts, pa.binary()), pa.array(order[text]), pa.array(key[text]), pa.array(lo)],
-                    names=["anchor", "piece_id", "piece", "order", "text_key", "lo"],
-                )
+                for t, s, m, a, o, k in zip(*(x.tolist() for x in (text, lo, n, h, order[text], key[text]))):
+                    found.setdefault((a, texts[t][s : s + m + SPAN - 1]), []).append((o, k, s))
+                held += len(text)
+                if held > HELD:
+                    yield rows(found)
+                    found, held = {}, 0
+        if found:
+            yield rows(found)
 
     per = shared.groupBy("order").agg(F.collect_list("place").alias("places"))  # as long as a document at most
     joined = docs.select("order", "text_key", F.col("text").cast("binary").alias("text")).join(per, "order")
-    return joined.mapInArrow(run, "anchor long, piece_id long, piece binary, order long, text_key long, lo long")
+    return joined.mapInArrow(
+        run, "anchor long, piece binary, least long, most long, places array<struct<order:bigint,text_key:bigint,lo:bigint>>"
+    )
 
 
 def transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -240,7 +263,10 @@ def least_in_class(texts: list[bytes], least: np.ndarray) -> tuple[np.ndarray, n
 
 def repeats(found: DataFrame) -> DataFrame:
     """``anchor, piece_id, runs``: for each different piece its runs of strings with the least document that holds them."""
-    different = found.groupBy("anchor", "piece_id", "piece").agg(F.min("order").alias("least"), F.max("order").alias("most"))
+    # Dealt by anchor once; the pieces of an anchor are then made different where they are.
+    dealt = found.select("anchor", "piece", "least", "most").repartition("anchor")
+    different = dealt.groupBy("anchor", "piece").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    different = different.select("anchor", F.xxhash64("piece").alias("piece_id"), "piece", "least", "most")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("least", pa.int64())]))
@@ -285,7 +311,7 @@ def repeats(found: DataFrame) -> DataFrame:
                 held, size = [], 0
             group.append(row)
 
-    sorted_ = different.repartition("anchor").sortWithinPartitions("anchor")
+    sorted_ = different.sortWithinPartitions("anchor")
     return sorted_.mapInArrow(run, "anchor long, piece_id long, runs array<struct<first:bigint,last:bigint,least:bigint>>")
 
 
@@ -305,8 +331,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     buckets = 1 << max(6, (total // PER_BUCKET).bit_length())
     found = cut(pieces(rows, cut(shared_anchors(rows, buckets))))
     runs = cut(repeats(found))
-    hits = found.select("anchor", "piece_id", "order", "text_key", "lo").join(runs, ["anchor", "piece_id"])
-    one = hits.select("order", "text_key", "lo", F.explode("runs").alias("r")).where(F.col("order") > F.col("r.least"))
+    hits = found.select("anchor", F.xxhash64("piece").alias("piece_id"), "places").join(runs, ["anchor", "piece_id"])
+    placed = hits.select(F.explode("places").alias("p"), "runs").select("p.*", F.explode("runs").alias("r"))
+    one = placed.where(F.col("order") > F.col("r.least"))
     spans = one.groupBy("order", "text_key").agg(F.collect_list(F.struct((F.col("lo") + F.col("r.first")).alias("start"), (F.col("lo") + F.col("r.last") + SPAN).alias("end"))).alias("spans"))
     spans = cut(spans)
 
