@@ -216,17 +216,20 @@ def repeated(docs: DataFrame) -> DataFrame:
     loses. Paragraphs of fewer than five words have no shingle and stay; null texts have no paragraphs. Rows that repeat one id
     and text are one document with one result each; a null ``doc_id`` comes last; other columns are not read.
     """
-    every = cut(paragraphs(docs).dropDuplicates(["doc_id", "text_key", "at"]).withColumn("spot", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "at")))
-    texts = cut(every.groupBy("p1", "p2").agg(F.min("spot").alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands")))
+    every = cut(paragraphs(docs).withColumn("spot", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "at")))
+    texts = cut(every.groupBy("p1", "p2").agg(F.min("spot").alias("first"), F.max("spot").alias("last"), F.first("bands").alias("bands")))
     root = roots(similar_texts(docs, texts))
     named = texts.withColumn("node", node(F.col("p1"), F.col("p2")))
-    named = named.join(root, "node", "left").select("p1", "p2", "first", "n", F.coalesce("root", "node").alias("root"))
-    groups = named.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("size")).where("size > 1")
+    named = named.join(root, "node", "left").select("p1", "p2", "first", "last", F.coalesce("root", "node").alias("root"))
+    groups = named.groupBy("root").agg(F.min("first").alias("kept"), F.max("last").alias("last")).where("kept != last").drop("last")
     in_groups = cut(named.select("p1", "p2", "root").join(groups, "root"))
     spots = every.select("doc_id", "text_key", "spot", "p1", "p2").join(in_groups, ["p1", "p2"], "left")
-    gone = F.col("size").isNotNull() & (F.col("spot") != F.col("kept"))
+    gone = F.col("kept").isNotNull() & (F.col("spot") != F.col("kept"))
+    # Rows that repeat list each of their lines more than once; the sets are as long as a document at most.
+    lines = lambda c: F.size(F.collect_set(c))
     per = spots.groupBy("doc_id", "text_key").agg(
-        F.count("*").alias("n_paragraphs"), F.count("size").alias("n_repeated"), F.sum(gone.cast("long")).alias("n_removed"),
+        lines(F.col("spot.at")).alias("n_paragraphs"), lines(F.when(F.col("kept").isNotNull(), F.col("spot.at"))).alias("n_repeated"),
+        lines(F.when(gone, F.col("spot.at"))).alias("n_removed"),
         F.array_sort(F.collect_set(F.when(gone, F.col("kept.doc_id")))).alias("kept_in"),
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text_key(F.col("text")), F.lit(0)).alias("text_key"))
