@@ -16,7 +16,7 @@ from .common import cut, text_key
 from .components import roots
 
 SEED = 42
-# Buckets up to this size are compared member by member; of larger ones only a spanning forest is found.
+# Buckets up to this size are compared member by member, all of a batch at once.
 SMALL_BUCKET = 64
 
 
@@ -54,6 +54,19 @@ def _masks(distance: int, blocks: int) -> list[int]:
     return [sum(c) for c in combinations(parts, blocks - distance)]
 
 
+def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` members the least one of its component under the links ``a``, ``b``."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _lookup_labels(fps: np.ndarray, mask: int, distance: int) -> np.ndarray:
     """Components of one sorted bucket by looking up every fingerprint that is near; time in proportion to the members."""
     free = [1 << i for i in range(64) if not mask >> i & 1]
@@ -65,15 +78,7 @@ def _lookup_labels(fps: np.ndarray, mask: int, distance: int) -> np.ndarray:
             hit = np.flatnonzero(fps[at] == other)
             left.append(hit)
             right.append(at[hit])
-    a, b = np.concatenate(left), np.concatenate(right)
-    label = np.arange(len(fps))
-    while True:
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
+    return _labels(len(fps), np.concatenate(left), np.concatenate(right))
 
 
 def _leader_labels(fps: np.ndarray, distance: int) -> np.ndarray:
@@ -127,12 +132,16 @@ def links(distinct: DataFrame, distance: int, blocks: int) -> DataFrame:
             large = size > SMALL_BUCKET
             keep = ~large[bucket]
             f, g = fps[keep], bucket[keep]
+            left, right = [], []
             for step in range(1, int(size[~large].max(initial=1))):
-                near = (g[step:] == g[:-step]) & (np.bitwise_count(f[step:] ^ f[:-step]) <= distance)
-                if near.any():
-                    yield f[step:][near], f[:-step][near]
-                elif not (g[step:] == g[:-step]).any():
+                same = g[step:] == g[:-step]
+                if not same.any():
                     break
+                near = np.flatnonzero(same & (np.bitwise_count(f[step:] ^ f[:-step]) <= distance))
+                left.append(near + step)
+                right.append(near)
+            if left:  # a forest, too: no more rows than members
+                yield f, f[_labels(len(f), np.concatenate(left), np.concatenate(right))]
             for i in np.flatnonzero(large):
                 s = slice(start[i], start[i] + size[i])
                 yield _bucket_links(fps[s], masks[int(choice[start[i]])], distance)
