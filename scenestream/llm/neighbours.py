@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from .common import cut
 # Hilbert curves of randomly rotated, shifted projections, and the size of a window of neighbouring keys.
 CURVES, DIMENSIONS, BITS, WINDOW = 16, 10, 6, 1500
 SEED = 20_240_601
+# Recall to reach, two standard errors above it, on so many asking vectors compared with all rows.
+RECALL, SAMPLE = 0.9, 200
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -55,8 +58,8 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
-def _ranked(vectors: DataFrame, spread: float, longest: float) -> DataFrame:
-    """``curve, rank, vec_id, row, embedding``: the place of each vector along each curve."""
+def _ranked(vectors: DataFrame, spread: float, longest: float, curves: range) -> DataFrame:
+    """``curve, rank, vec_id, embedding``: the place of each vector along each curve."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -70,7 +73,7 @@ def _ranked(vectors: DataFrame, spread: float, longest: float) -> DataFrame:
                 v = flat[starts[rows][:, None] + np.arange(size)]
                 # One more coordinate makes all vectors equally long, so that the largest product is the nearest point.
                 v = np.column_stack([v, np.sqrt(np.maximum(0, longest**2 - (v**2).sum(1)))])
-                for c in range(CURVES):
+                for c in curves:
                     axes, shift = _curve(c, v.shape[1])
                     at = (v @ axes) / (8 * spread) + 0.5 + (shift - 0.5) / 8
                     cells = np.clip((at * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
@@ -92,31 +95,21 @@ def _ranked(vectors: DataFrame, spread: float, longest: float) -> DataFrame:
     )
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, window: int = WINDOW) -> DataFrame:
-    """``query_id, rank, vec_id, score``: for each query its ``k`` largest inner products with other rows.
+def _best(queries: np.ndarray, candidates: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``query, id, score`` of the ``k`` largest products of each query, ties to the smaller id."""
+    # A few more than needed by the fast product; their scores are then taken pair by pair, always in one order.
+    take = min(len(candidates), k + 12)
+    which = np.argpartition(-(queries @ candidates.T), take - 1, axis=1)[:, :take].ravel()
+    who = np.repeat(np.arange(len(queries)), take)
+    score = np.einsum("ij,ij->i", queries[who], candidates[which])
+    order = np.lexsort((ids[which], -score, who))
+    who, which, score = who[order], which[order], score[order]
+    keep = np.arange(len(who)) - np.searchsorted(who, who) < k
+    return who[keep], ids[which[keep]], score[keep]
 
-    Equal vectors are indexed once, with their ``k + 1`` smallest ids (no list needs more). Blocks of ``window``
-    neighbours along each curve meet the queries of their own and both adjacent blocks. Blocks are cut by place, not by
-    key, so dense regions fill no task; a query meets ``3 * CURVES * window`` candidates at most, whatever the number
-    of rows. Each block keeps its best ``k + 1``; the blocks' lists are merged. Ties go to the smaller id. Null, zero and
-    non-finite vectors and null ids take no part; vectors of different lengths never meet; rows that repeat count once;
-    an empty table gives none; other columns are not read.
-    """
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    v = cut(v.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).distinct().withColumn("asks", is_query))
-    different = cut(v.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.max("asks").alias("asks"), F.count("*").alias("n")))
-    squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    # One row whatever the input: how far projections reach, and the longest vector.
-    scale = different.agg(F.avg(squares / F.size("embedding")).alias("s"), F.max(squares).alias("m")).first()
-    if scale["m"] is None:
-        return v.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    members = cut(v.join(different.select("embedding", "rep"), "embedding").select("rep", "vec_id", "asks"))
-    indexed = different.select(F.col("rep").alias("vec_id"), "embedding")
-    placed = cut(_ranked(indexed, max(scale["s"], 1e-300) ** 0.5, scale["m"] ** 0.5).withColumn("block", F.floor(F.col("rank") / window)))
-    asking = different.where("asks").select(F.col("rep").alias("vec_id"))
-    near = F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1))
-    asked = placed.join(asking, "vec_id", "left_semi").select("curve", near.alias("block"), F.lit(True).alias("asks"), "vec_id", "embedding")
-    both = asked.union(placed.select("curve", "block", F.lit(False), "vec_id", "embedding"))
+
+def _lists(both: DataFrame, k: int) -> DataFrame:
+    """``q_rep, rep, score``: the best ``k`` of each group ``(curve, block)`` for each vector that asks there."""
 
     def run(t: pa.Table) -> pa.Table:
         asks, ids = t["asks"].to_numpy(), t["vec_id"].to_numpy()
@@ -129,24 +122,85 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, window: int = WIN
                 continue
             candidates = flat[offsets[c][:, None] + np.arange(size)]
             for s in range(0, len(q), 512):
-                some = flat[offsets[q[s : s + 512]][:, None] + np.arange(size)]
-                # A few more than needed by the fast product; their scores are then taken pair by pair, always in one order.
-                take = min(len(c), k + 13)
-                best = np.argpartition(-(some @ candidates.T), take - 1, axis=1)[:, :take]
-                who = np.repeat(np.arange(len(some)), take)
-                score = np.einsum("ij,ij->i", some[who], candidates[best.ravel()]).reshape(best.shape)
-                order = np.lexsort((ids[c][best], -score))[:, : k + 1]
-                n = order.shape[1]
-                found[0].append(np.repeat(ids[q[s : s + 512]], n))
-                found[1].append(np.take_along_axis(ids[c][best], order, 1).ravel())
-                found[2].append(np.take_along_axis(score, order, 1).ravel())
+                who, what, score = _best(flat[offsets[q[s : s + 512]][:, None] + np.arange(size)], candidates, ids[c], k)
+                found[0].append(ids[q[s : s + 512]][who])
+                found[1].append(what)
+                found[2].append(score)
         if not found[0]:
             return pa.table({"q_rep": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         return pa.table(dict(zip(("q_rep", "rep", "score"), map(np.concatenate, found))))
 
-    lists = both.groupBy("curve", "block").applyInArrow(run, "q_rep long, rep long, score double")
+    return both.groupBy("curve", "block").applyInArrow(run, "q_rep long, rep long, score double")
+
+
+def _along_curves(indexed: DataFrame, asking: DataFrame, spread: float, longest: float, curves: range, window: int) -> DataFrame:
+    """Groups of one block and the vectors that ask in it or in an adjacent one."""
+    placed = cut(_ranked(indexed, spread, longest, curves).withColumn("block", F.floor(F.col("rank") / window)))
+    near = F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1))
+    asked = placed.join(asking.select("vec_id"), "vec_id", "left_semi").select("curve", near.alias("block"), F.lit(True).alias("asks"), "vec_id", "embedding")
+    return asked.union(placed.select("curve", "block", F.lit(False), "vec_id", "embedding"))
+
+
+def _all_pairs(indexed: DataFrame, n: int, asking: DataFrame, n_asking: int, window: int) -> DataFrame:
+    """Groups in which every vector that asks meets every row once, each of about one window of either."""
+    across, down = -(-n_asking // window) or 1, -(-n // (3 * window)) or 1
+    part = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias
+    every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias
+    asked = asking.select(part(across)("curve"), every(down)("block"), F.lit(True).alias("asks"), "vec_id", "embedding")
+    return asked.union(indexed.select(every(across)("curve"), part(down)("block"), F.lit(False), "vec_id", "embedding"))
+
+
+def _first(lists: DataFrame, k: int) -> DataFrame:
     merged = lists.groupBy("q_rep", "rep").agg(F.max("score").alias("score"))
-    top = merged.withColumn("nth", F.row_number().over(Window.partitionBy("q_rep").orderBy(F.desc("score"), "rep"))).where(F.col("nth") <= k + 1).drop("nth")
+    return merged.withColumn("nth", F.row_number().over(Window.partitionBy("q_rep").orderBy(F.desc("score"), "rep"))).where(F.col("nth") <= k).drop("nth")
+
+
+def _recall(found: DataFrame, true: DataFrame) -> tuple[float, float]:
+    """Mean share of the true entries that were found, over the sampled vectors, and its standard error."""
+    per = true.join(found.select("q_rep", "rep", F.lit(1).alias("hit")), ["q_rep", "rep"], "left").groupBy("q_rep").agg((F.count("hit") / F.count("*")).alias("share"))
+    r = per.agg(F.avg("share").alias("mean"), F.coalesce(F.stddev("share"), F.lit(0.0)).alias("dev"), F.count("*").alias("n")).first()
+    return (1.0, 0.0) if not r["n"] else (r["mean"], r["dev"] / r["n"] ** 0.5)
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, window: int = WINDOW, curves: int = CURVES) -> DataFrame:
+    """``query_id, rank, vec_id, score``: for each query its ``k`` largest inner products with other rows.
+
+    Equal vectors are indexed once, with their ``k + 1`` smallest ids (no list needs more). Blocks of ``window``
+    neighbours along each curve meet the queries of their own and both adjacent blocks. Blocks are cut by place, not by
+    key, so dense regions fill no task. Each block keeps its best ``k + 1``; the blocks' lists are merged. After the first
+    ``curves`` curves recall is measured: ``SAMPLE`` asking vectors (the smallest hashes) meet all rows. While it is not
+    ``RECALL`` by two standard errors, as many further curves follow as the recall so far asks for; once a round would cost
+    more products than comparing all, all are compared. So the work follows the number of rows. Ties go to the smaller id.
+    Null, zero and non-finite vectors and null ids take no part; vectors of different lengths never meet; rows that repeat
+    count once; an empty table gives none; other columns are not read.
+    """
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    v = cut(v.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).distinct().withColumn("asks", is_query))
+    different = cut(v.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.max("asks").alias("asks"), F.count("*").alias("n")))
+    squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    # One row whatever the input: how far projections reach, the longest vector, and how many there are.
+    scale = different.agg(F.avg(squares / F.size("embedding")).alias("s"), F.max(squares).alias("m"), F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
+    if scale["m"] is None:
+        return v.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
+    members = cut(v.join(different.select("embedding", "rep"), "embedding").select("rep", "vec_id", "asks"))
+    indexed = different.select(F.col("rep").alias("vec_id"), "embedding")
+    asking = different.where("asks").select(F.col("rep").alias("vec_id"), "embedding")
+    n, spread, longest = scale["n"], max(scale["s"], 1e-300) ** 0.5, scale["m"] ** 0.5
+    sample = cut(asking.orderBy(F.xxhash64("vec_id", F.lit("sample")), "vec_id").limit(SAMPLE))
+    true = cut(_first(_lists(_all_pairs(indexed, n, sample, SAMPLE, window), k + 1), k + 1).where("q_rep != rep"))
+    top, done, more = None, 0, curves
+    while True:
+        lists = _lists(_along_curves(indexed, asking, spread, longest, range(done, done + more), window), k + 1)
+        top, done = cut(_first(lists.union(top) if top else lists, k + 1)), done + more
+        recall, error = _recall(top, true)
+        if recall - 2 * error >= RECALL:
+            break
+        # Each curve misses about the same share of the neighbours that the ones before it missed.
+        missed, wanted = math.log(max(1 - recall, 1e-9)) / done, math.log((1 - RECALL) / 2)
+        more = max(curves // 4, 1, min(2 * done, math.ceil(wanted / missed) - done if missed < 0 else done))
+        if 3 * window * more >= n:
+            top = cut(_first(_lists(_all_pairs(indexed, n, asking, scale["q"], window), k + 1), k + 1))
+            break
     least = members.withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy("vec_id"))).where(F.col("nth") <= k + 1).select("rep", "vec_id")
     # k + 1 entries are enough for every query that shares the vector, as it leaves out only itself.
     listed = top.join(least, "rep").withColumn("nth", F.row_number().over(Window.partitionBy("q_rep").orderBy(F.desc("score"), "vec_id"))).where(F.col("nth") <= k + 1)

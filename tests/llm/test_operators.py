@@ -284,3 +284,16 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 2.0, 3.0])], "vec_id long, embedding array<double>")
     assert [(r["query_id"], r["vec_id"]) for r in neighbours.nearest(few, F.col("vec_id") == 0).collect()] == [(0, 1)]
+
+
+def test_neighbours_beyond_the_window(spark):
+    """Blocks far smaller than the table: further curves, or all pairs, until recall is met."""
+    v = np.random.default_rng(4).normal(size=(3000, 32))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    for window in (10, 200):
+        got: dict = {}
+        for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0, window=window).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        hits = sum(len(got[q] & {i for i in np.argsort(-(v @ v[q]))[:21].tolist() if i != q}) for q in got)
+        assert len(got) == 60 and hits >= 0.9 * 20 * 60
