@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, join_documents, text_key
@@ -16,6 +16,9 @@ from .components import roots
 SHINGLE, SIMILARITY = 5, 0.8
 # Tuned for recall: a pair at similarity 0.8 shares one of 9 bands of 3 minima with probability 1 - (1 - 0.8^3)^9 = 0.998.
 BANDS, ROWS = 9, 3
+# A passage of 50 words holds 26 pieces of 25 words; the least of any 26 neighbouring pieces is taken, so the same passage
+# gives at least one same piece at any offset in any line.
+PASSAGE, PIECE = 50, 25
 SEED = 42
 _RNG = np.random.default_rng(SEED)
 _MUL = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -48,23 +51,38 @@ def _bands(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out.T.view(np.int64)
 
 
+def pieces(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words and hashes of the pieces chosen in a line, from its shingle hashes in order; none below ``PASSAGE`` words."""
+    n = len(shingles) + SHINGLE - PIECE
+    if n <= PASSAGE - PIECE:
+        return np.empty(0, np.int32), np.empty(0, np.int64)
+    mixed = np.zeros(n, np.uint64)
+    for i in range(0, PIECE, SHINGLE):
+        mixed = (mixed ^ shingles[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    near = np.lib.stride_tricks.sliding_window_view(mixed, PASSAGE - PIECE + 1)
+    at = np.unique(near.argmin(1) + np.arange(len(near)))
+    return at.astype(np.int32), mixed[at].view(np.int64)
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key, at, p1, p2, bands`` for each paragraph (line) of at least ``SHINGLE`` words.
+    """``doc_id, text_key, at, p1, p2, bands, pos, piece`` for each paragraph (line) of at least ``SHINGLE`` words.
 
-    ``p1, p2`` are two hashes of its lower-cased words: 128 bits that stand for the text.
+    ``p1, p2`` are two hashes of its lower-cased words: 128 bits that stand for the text. ``pos, piece``: its chosen pieces.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signed = lambda c: pa.array(np.array(c, np.uint64).view(np.int64))
         for b in batches:
-            row, at, p1, p2, hashes, starts = [], [], [], [], [], []
+            row, at, p1, p2, hashes, starts, chosen = [], [], [], [], [], [], []
 
             def rows() -> pa.RecordBatch:
                 flat = _bands(np.array(hashes, np.uint64), np.array(starts)) if row else np.empty((0, BANDS), np.int64)
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * BANDS, pa.int32()), pa.array(np.ascontiguousarray(flat).ravel()))
                 take = pa.array(row, pa.int64())
                 cols = [b.column(0).take(take), b.column(1).take(take), pa.array(at, pa.int32()), signed(p1), signed(p2), listed]
-                return pa.record_batch(cols, names=["doc_id", "text_key", "at", "p1", "p2", "bands"])
+                cols += [pa.array([c[0] for c in chosen], pa.list_(pa.int32())), pa.array([c[1] for c in chosen], pa.list_(pa.int64()))]
+                return pa.record_batch(cols, names=["doc_id", "text_key", "at", "p1", "p2", "bands", "pos", "piece"])
 
             for r, text in enumerate(b.column(2)):
                 for n, p in enumerate(_lines(text.as_py())):
@@ -77,14 +95,16 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                     p1.append(xxhash.xxh64_intdigest(plain, 1))
                     p2.append(xxhash.xxh64_intdigest(plain, 2))
                     starts.append(len(hashes))
-                    hashes.extend(_hashes(ws))
+                    own = _hashes(ws)
+                    hashes.extend(own)
+                    chosen.append(pieces(np.array(own, np.uint64)))
                 if len(hashes) > 200_000:
                     yield rows()
-                    row, at, p1, p2, hashes, starts = [], [], [], [], [], []
+                    row, at, p1, p2, hashes, starts, chosen = [], [], [], [], [], [], []
             yield rows()
 
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text_key(F.col("text")), F.lit(0)).alias("text_key"), "text")
-    return cols.mapInArrow(run, "doc_id long, text_key long, at int, p1 long, p2 long, bands array<long>")
+    return cols.mapInArrow(run, "doc_id long, text_key long, at int, p1 long, p2 long, bands array<long>, pos array<int>, piece array<long>")
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Table]:
@@ -207,13 +227,33 @@ def node(p1, p2):
     return F.concat(F.lpad(F.hex(p1), 16, "0"), F.lpad(F.hex(p2), 16, "0"))
 
 
+def passages(lines: DataFrame) -> DataFrame:
+    """``doc_id, text_key, n_found, n_gone, found_in``: repeated passages inside the lines that stay.
+
+    Pieces are equal or not: one word edited in 25 leaves a similarity below ``SIMILARITY`` but at the ends. The first place
+    of a piece by (doc_id, position) stays. Overlapping and adjacent pieces of a line are one passage.
+    """
+    spot = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "at", "pos")
+    every = cut(lines.select("doc_id", "text_key", "at", F.explode(F.arrays_zip("pos", "piece")).alias("z")).select("doc_id", "text_key", "at", "z.pos", "z.piece"))
+    more = every.groupBy("piece").agg(F.min(spot).alias("kept"), F.max(spot).alias("last")).where("kept != last").drop("last")
+    found = every.join(more, "piece").dropDuplicates(["doc_id", "text_key", "at", "pos"]).withColumn("gone", spot != F.col("kept"))
+    before = Window.partitionBy("doc_id", "text_key", "at").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    new = lambda last: F.coalesce(F.col("pos") > last + PIECE, F.lit(True)).cast("long")
+    found = found.withColumn("starts", new(F.max("pos").over(before)))
+    found = found.withColumn("starts_gone", F.when(F.col("gone"), new(F.max(F.when(F.col("gone"), F.col("pos"))).over(before))).otherwise(0))
+    return found.groupBy("doc_id", "text_key").agg(
+        F.sum("starts").alias("n_found"), F.sum("starts_gone").alias("n_gone"), F.collect_set(F.when(F.col("gone"), F.col("kept.doc_id"))).alias("found_in")
+    )
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """Per row ``doc_id, text_key, n_paragraphs, n_repeated, n_removed, kept_in``.
 
     Paragraphs whose five-word shingles have a Jaccard similarity of 0.8 or more are linked; equal ones are one text, so
     copies cost nothing. Of each component the first paragraph by (doc_id, position) stays, all others are removed.
     ``n_repeated`` counts paragraphs in components of two or more, ``kept_in`` lists the documents that keep what this one
-    loses. Paragraphs of fewer than five words have no shingle and stay; null texts have no paragraphs. Rows that repeat one id
+    loses. Lines that stay are searched for passages of ``PASSAGE`` words or more that stand in an earlier line that stays, at any
+    offset; each counts as one more paragraph. Paragraphs of fewer than five words have no shingle and stay; null texts have no paragraphs. Rows that repeat one id
     and text are one document with one result each; a null ``doc_id`` comes last; other columns are not read.
     """
     every = cut(paragraphs(docs).withColumn("spot", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "at")))
@@ -223,7 +263,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     named = named.join(root, "node", "left").select("p1", "p2", "first", "last", F.coalesce("root", "node").alias("root"))
     groups = named.groupBy("root").agg(F.min("first").alias("kept"), F.max("last").alias("last")).where("kept != last").drop("last")
     in_groups = cut(named.select("p1", "p2", "root").join(groups, "root"))
-    spots = every.select("doc_id", "text_key", "spot", "p1", "p2").join(in_groups, ["p1", "p2"], "left")
+    spots = every.select("doc_id", "text_key", "spot", "p1", "p2", "pos", "piece").join(in_groups, ["p1", "p2"], "left")
     gone = F.col("kept").isNotNull() & (F.col("spot") != F.col("kept"))
     # Rows that repeat list each of their lines more than once; the sets are as long as a document at most.
     lines = lambda c: F.size(F.collect_set(c))
@@ -232,7 +272,12 @@ def repeated(docs: DataFrame) -> DataFrame:
         lines(F.when(gone, F.col("spot.at"))).alias("n_removed"),
         F.array_sort(F.collect_set(F.when(gone, F.col("kept.doc_id")))).alias("kept_in"),
     )
+    inside = passages(spots.where(~gone).select("doc_id", "text_key", "spot.at", "pos", "piece"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text_key(F.col("text")), F.lit(0)).alias("text_key"))
-    out = join_documents(rows, per, "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select("doc_id", "text_key", zero("n_paragraphs"), zero("n_repeated"), zero("n_removed"), F.coalesce("kept_in", F.array().cast("array<long>")).alias("kept_in"))
+    out = join_documents(join_documents(rows, per, "left"), inside, "left")
+    total = lambda c, more: (F.coalesce(c, F.lit(0)) + F.coalesce(more, F.lit(0))).cast("long").alias(c)
+    ids = lambda c: F.coalesce(c, F.array().cast("array<long>"))
+    return out.select(
+        "doc_id", "text_key", total("n_paragraphs", "n_found"), total("n_repeated", "n_found"), total("n_removed", "n_gone"),
+        F.array_sort(F.array_union(ids("kept_in"), ids("found_in"))).alias("kept_in"),
+    )

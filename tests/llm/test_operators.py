@@ -297,3 +297,12 @@ def test_neighbours_beyond_the_window(spark):
             got.setdefault(r["query_id"], set()).add(r["vec_id"])
         hits = sum(len(got[q] & {i for i in np.argsort(-(v @ v[q]))[:21].tolist() if i != q}) for q in got)
         assert len(got) == 60 and hits >= 0.9 * 20 * 60
+
+
+def test_passage_in_a_long_line(docs_of):
+    """A passage of 60 words is found inside a line of 1000, wherever it stands; one that is a line by itself, too."""
+    passage = sentence(60)
+    rows = [(1, sentence(400) + " " + passage + " " + sentence(540)), (2, "\n".join([sentence(20), sentence(7) + " " + passage.upper() + " " + sentence(933)]))]
+    rows += [(3, passage), (4, sentence(1000)), (5, sentence(200) + " " + passage + " " + sentence(100) + " " + passage)]
+    got = {r["doc_id"]: tuple(r)[2:] for r in paragraphs.repeated(docs_of(rows)).collect()}
+    assert got == {1: (2, 1, 0, []), 2: (3, 1, 1, [1]), 3: (2, 1, 1, [1]), 4: (1, 0, 0, []), 5: (3, 2, 2, [1])}
