@@ -111,10 +111,13 @@ def probability(model: Model, excess: float) -> float:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
-    """``doc_id, text, toxic`` of a bounded sample of the labelled rows that ``allowed`` admits; several labels of an id: toxic if any is."""
+    """``doc_id, text, toxic, stands_for`` of a bounded sample of the labelled rows that ``allowed`` admits; several labels of an id:
+    toxic if any is. ``stands_for``: labelled rows of the class for each one sampled."""
     known = labels.where(allowed & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit("sample"))
-    picked = [known.where(F.col("toxic") == t).orderBy(order, "doc_id").limit(per_class) for t in (0, 1)]
+    n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    rate = lambda t: F.lit(max(1.0, n.get(t, 0) / per_class))
+    picked = [known.where(F.col("toxic") == t).orderBy(order, "doc_id").limit(per_class).withColumn("stands_for", rate(t)) for t in (0, 1)]
     sample = picked[0].union(picked[1])  # at most 2 * per_class rows, so it may be broadcast
     return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
@@ -181,13 +184,14 @@ def _karlin(scores: Counter) -> float:
     return min(5.0, hi)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Ridge logistic fit on one feature by Newton steps."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Ridge logistic fit on one feature by Newton steps. Rows count by ``weight``, scaled to one on average."""
+    w = weight / weight.mean()
     beta, A = np.zeros(2), np.stack([np.ones_like(x), x], 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(A @ beta, -30, 30)))
-        grad = A.T @ (y - p) - [1e-3 * beta[0], 1e-2 * beta[1]]
-        hess = (A * (p * (1 - p))[:, None]).T @ A + np.diag([1e-3, 1e-2])
+        grad = A.T @ (w * (y - p)) - [1e-3 * beta[0], 1e-2 * beta[1]]
+        hess = (A * (w * p * (1 - p))[:, None]).T @ A + np.diag([1e-3, 1e-2])
         step = np.linalg.solve(hess, grad)
         beta += step
         if np.abs(step).max() < 1e-9:
@@ -199,7 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = SA
     """A model from at most ``2 * per_class`` labelled documents.
 
     Three quarters give token counts; the rest gives lambda (Karlin-Altschul, from clean token scores), K (from the
-    mean of the clean maxima, whose Gumbel mean is (ln(K n) + Euler's constant) / lambda) and the logistic map.
+    mean of the clean maxima, whose Gumbel mean is (ln(K n) + Euler's constant) / lambda) and the logistic map, in which each
+    row counts for those of its class that the sample leaves out, so a score means the same at every size.
     """
     sample = cut(training_rows(docs, labels, allowed, per_class))
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(CALIBRATION_MOD))
@@ -208,7 +213,10 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = SA
     totals = _counts(sample.where(part != 0)).where(F.col("feature").startswith("=")).agg(F.sum("toxic"), F.sum("clean")).first()
     counts = {r[0]: (r[1], r[2]) for r in nodes.toLocalIterator()}
     model = Model(_weights(counts, totals[0] or 0, totals[1] or 0))
-    held = [(r["toxic"], np.array([model.token(w) for w in _words(r["text"])])) for r in sample.where(part == 0).select("toxic", "text").toLocalIterator()]
+    held, weight = [], []
+    for r in sample.where(part == 0).select("toxic", "text", "stands_for").toLocalIterator():
+        held.append((r["toxic"], np.array([model.token(w) for w in _words(r["text"])])))
+        weight.append(r["stands_for"])
     clean = [s for t, s in held if t == 0 and len(s)]
     if not model.weight or not clean or not any(t for t, _ in held):
         return model  # without both classes every text scores alike
@@ -220,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = SA
     for _, s in held:
         chance = model.log_k + math.log(max(1, len(s)))
         excess.append(sum(max(0.0, model.lam * x[2] - chance) for x in segments(s)) if len(s) else 0.0)
-    model.bias, model.slope = _logistic(np.log1p(np.array(excess)), np.array([t for t, _ in held], float))
+    model.bias, model.slope = _logistic(np.log1p(np.array(excess)), np.array([t for t, _ in held], float), np.array(weight))
     return model
 
 

@@ -306,3 +306,13 @@ def test_passage_in_a_long_line(docs_of):
     rows += [(3, passage), (4, sentence(1000)), (5, sentence(200) + " " + passage + " " + sentence(100) + " " + passage)]
     got = {r["doc_id"]: tuple(r)[2:] for r in paragraphs.repeated(docs_of(rows)).collect()}
     assert got == {1: (2, 1, 0, []), 2: (3, 1, 1, [1]), 3: (2, 1, 1, [1]), 4: (1, 0, 0, []), 5: (3, 2, 2, [1])}
+
+
+def test_toxicity_of_a_cut_sample(spark, docs_of):
+    """Where text tells nothing, scores follow the share of toxic labels, however many of a class are sampled."""
+    rows = [(i, sentence(30)) for i in range(800)]
+    marks = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(800)], "doc_id long, toxic int")
+    docs = docs_of(rows).cache()
+    for per_class in (6000, 60):
+        model = toxicity.fit(docs, marks, F.lit(True), per_class)
+        assert 0.03 < toxicity.score(docs, model).agg(F.avg("toxicity")).first()[0] < 0.3
