@@ -17,6 +17,8 @@ CURVES, DIMENSIONS, BITS, WINDOW = 16, 10, 6, 1500
 SEED = 20_240_601
 # Recall to reach, two standard errors above it, on so many asking vectors compared with all rows.
 RECALL, SAMPLE = 0.9, 200
+# About so many vectors scale the axes.
+GRID = 5000
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -58,7 +60,29 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
-def _ranked(vectors: DataFrame, spread: float, longest: float, curves: range) -> DataFrame:
+def _lifted(v: np.ndarray, longest: float) -> np.ndarray:
+    """One more coordinate makes all vectors equally long, so that the largest product is the nearest point. Longer ones,
+    which only ask here, are shortened: that changes no order of products."""
+    squares = (v**2).sum(1)
+    v = v * np.minimum(1, longest / np.sqrt(np.maximum(squares, 1e-300)))[:, None]
+    return np.column_stack([v, np.sqrt(np.maximum(0, longest**2 - squares))])
+
+
+def _grid(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Middle and spread of each projected axis, by quartiles, which a few far rows do not move."""
+    low, middle, high = np.quantile(v, [0.25, 0.5, 0.75], axis=0)
+    return middle, np.maximum((high - low) / 1.349, 1e-300)
+
+
+def _cells(v: np.ndarray, c: int, sample: np.ndarray) -> np.ndarray:
+    """Grid cells of lifted vectors on curve ``c``; the axes are scaled by the lifted ``sample``."""
+    axes, shift = _curve(c, v.shape[1])
+    middle, spread = _grid(sample @ axes)
+    at = (v @ axes - middle) / (8 * spread) + 0.5 + (shift - 0.5) / 8
+    return np.clip(at * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
+
+
+def _ranked(vectors: DataFrame, samples: dict[int, np.ndarray], longest: float, curves: range) -> DataFrame:
     """``curve, rank, vec_id, embedding``: the place of each vector along each curve."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,12 +95,11 @@ def _ranked(vectors: DataFrame, spread: float, longest: float, curves: range) ->
             for size in np.unique(lengths):
                 rows = np.flatnonzero(lengths == size)
                 v = flat[starts[rows][:, None] + np.arange(size)]
-                # One more coordinate makes all vectors equally long, so that the largest product is the nearest point.
-                v = np.column_stack([v, np.sqrt(np.maximum(0, longest**2 - (v**2).sum(1)))])
+                v = _lifted(v, longest)
+                # A length that the sample lacks is rare.
+                sample = _lifted(samples[size], longest) if size in samples else v
                 for c in curves:
-                    axes, shift = _curve(c, v.shape[1])
-                    at = (v @ axes) / (8 * spread) + 0.5 + (shift - 0.5) / 8
-                    cells = np.clip((at * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
+                    cells = _cells(v, c, sample)
                     keys = hilbert_keys(cells, BITS)
                     yield pa.record_batch(
                         [pa.array(np.full(len(rows), c, np.int32)), pa.array(keys), b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows))],
@@ -133,9 +156,9 @@ def _lists(both: DataFrame, k: int) -> DataFrame:
     return both.groupBy("curve", "block").applyInArrow(run, "q_rep long, rep long, score double")
 
 
-def _along_curves(indexed: DataFrame, asking: DataFrame, spread: float, longest: float, curves: range, window: int) -> DataFrame:
+def _along_curves(indexed: DataFrame, asking: DataFrame, samples: dict[int, np.ndarray], longest: float, curves: range, window: int) -> DataFrame:
     """Groups of one block and the vectors that ask in it or in an adjacent one."""
-    placed = cut(_ranked(indexed, spread, longest, curves).withColumn("block", F.floor(F.col("rank") / window)))
+    placed = cut(_ranked(indexed, samples, longest, curves).withColumn("block", F.floor(F.col("rank") / window)))
     near = F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1))
     asked = placed.join(asking.select("vec_id"), "vec_id", "left_semi").select("curve", near.alias("block"), F.lit(True).alias("asks"), "vec_id", "embedding")
     return asked.union(placed.select("curve", "block", F.lit(False), "vec_id", "embedding"))
@@ -178,19 +201,31 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, window: int = WIN
     v = cut(v.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).distinct().withColumn("asks", is_query))
     different = cut(v.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.max("asks").alias("asks"), F.count("*").alias("n")))
     squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    # One row whatever the input: how far projections reach, the longest vector, and how many there are.
-    scale = different.agg(F.avg(squares / F.size("embedding")).alias("s"), F.max(squares).alias("m"), F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
+    # One row whatever the input: the middle length, and how many there are.
+    scale = different.agg(F.percentile_approx(squares, 0.5).alias("m"), F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
     if scale["m"] is None:
         return v.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     members = cut(v.join(different.select("embedding", "rep"), "embedding").select("rep", "vec_id", "asks"))
     indexed = different.select(F.col("rep").alias("vec_id"), "embedding")
     asking = different.where("asks").select(F.col("rep").alias("vec_id"), "embedding")
-    n, spread, longest = scale["n"], max(scale["s"], 1e-300) ** 0.5, scale["m"] ** 0.5
+    n = scale["n"]
+    # The longest, if over twice the middle length, meet every vector that asks; the lift is by the longest of the rest.
+    long = cut(indexed.where(squares > 4 * scale["m"]).orderBy(F.desc(squares), "vec_id").limit(window))
+    n_long = long.count()
+    longest = (indexed.join(long.select("vec_id"), "vec_id", "left_anti").agg(F.max(squares)).first()[0] or scale["m"]) ** 0.5
+    # A bounded sample scales the axes.
+    bit = F.pmod(F.xxhash64("vec_id", F.lit("grid")), F.lit(1 << 30)) <= F.lit(int(min(1, GRID / n) * (1 << 30)))
+    picked: dict[int, list] = {}
+    for r in indexed.where(bit).orderBy("vec_id").select("embedding").toLocalIterator():
+        picked.setdefault(len(r[0]), []).append(r[0])
+    samples = {size: np.array(rows) for size, rows in picked.items()}
     sample = cut(asking.orderBy(F.xxhash64("vec_id", F.lit("sample")), "vec_id").limit(SAMPLE))
     true = cut(_first(_lists(_all_pairs(indexed, n, sample, SAMPLE, window), k + 1), k + 1).where("q_rep != rep"))
     top, done, more = None, 0, curves
+    if n_long:
+        top = cut(_first(_lists(_all_pairs(long, n_long, asking, scale["q"], window), k + 1), k + 1))
     while True:
-        lists = _lists(_along_curves(indexed, asking, spread, longest, range(done, done + more), window), k + 1)
+        lists = _lists(_along_curves(indexed, asking, samples, longest, range(done, done + more), window), k + 1)
         top, done = cut(_first(lists.union(top) if top else lists, k + 1)), done + more
         recall, error = _recall(top, true)
         if recall - 2 * error >= RECALL:

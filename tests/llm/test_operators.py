@@ -316,3 +316,22 @@ def test_toxicity_of_a_cut_sample(spark, docs_of):
     for per_class in (6000, 60):
         model = toxicity.fit(docs, marks, F.lit(True), per_class)
         assert 0.03 < toxicity.score(docs, model).agg(F.avg("toxicity")).first()[0] < 0.3
+
+
+def test_neighbours_with_one_long_vector(spark, monkeypatch):
+    """One vector of 30 times the usual norm leaves the first curves as good as they were, and is found."""
+    v = np.random.default_rng(6).normal(size=(3000, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    v[7] *= 30
+    measured = []
+    recall = neighbours._recall
+    monkeypatch.setattr(neighbours, "_recall", lambda *a: measured.append(recall(*a)) or measured[-1])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0, window=40).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert all((7 in found) == (v[q] @ v[7] >= np.sort(np.delete(v @ v[q], q))[-20]) for q, found in got.items())
+    first = measured[0][0]
+    measured.clear()
+    neighbours.nearest(df.where("vec_id != 7"), F.col("vec_id") % 50 == 0, window=40)
+    assert first >= measured[0][0] - 0.05
