@@ -120,14 +120,15 @@ def _ranked(vectors: DataFrame, samples: dict[int, np.ndarray], longest: float,
 
 def _best(queries: np.ndarray, candidates: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``query, id, score`` of the ``k`` largest products of each query, ties to the smaller id."""
-    # A few more than needed by the fast product; their scores are then taken pair by pair, always in one order.
-    take = min(len(candidates), k + 12)
-    which = np.argpartition(-(queries @ candidates.T), take - 1, axis=1)[:, :take].ravel()
-    who = np.repeat(np.arange(len(queries)), take)
-    score = np.einsum("ij,ij->i", queries[who], candidates[which])
+    take = min(len(candidates), k)
+    fast = queries @ candidates.T
+    # All within rounding error of the last place by the fast product; their scores are then taken pair by pair, always in one order.
+    room = 4 * queries.shape[1] * np.finfo(float).eps * np.linalg.norm(queries, axis=1) * np.linalg.norm(candidates, axis=1).max()
+    who, which = np.nonzero(fast >= (np.partition(fast, -take, axis=1)[:, -take] - room)[:, None])
+    score = np.concatenate([np.einsum("ij,ij->i", queries[who[s : s + 65536]], candidates[which[s : s + 65536]]) for s in range(0, len(who), 65536)])
     order = np.lexsort((ids[which], -score, who))
     who, which, score = who[order], which[order], score[order]
-    keep = np.arange(len(who)) - np.searchsorted(who, who) < k
+    keep = np.arange(len(who)) - np.searchsorted(who, who) < take
     return who[keep], ids[which[keep]], score[keep]
 
 

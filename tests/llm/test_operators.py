@@ -335,3 +335,11 @@ def test_neighbours_with_one_long_vector(spark, monkeypatch):
     measured.clear()
     neighbours.nearest(df.where("vec_id != 7"), F.col("vec_id") % 50 == 0, window=40)
     assert first >= measured[0][0] - 0.05
+
+
+def test_ties_of_different_vectors():
+    """Many different vectors tie where the query is zero: the smaller ids come first."""
+    rng = np.random.default_rng(8)
+    ids, candidates = rng.permutation(500), np.column_stack([np.ones(500), rng.normal(size=500)])
+    _, got, score = neighbours._best(np.array([[1.0, 0.0]]), candidates, ids, 21)
+    assert got.tolist() == list(range(21)) and set(score.tolist()) == {1.0}
