@@ -117,7 +117,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     rows = cut(sizes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")))
     histogram = cut(rows.groupBy("source", "size").agg(F.count("*").alias("docs")))
     totals = histogram.groupBy("source").agg(F.sum(F.col("docs") * F.col("size")).cast("long").alias("source_size"), F.sum("docs").alias("n"))
-    goals = cut(targets(totals.select("source", "source_size")))
+    goals = cut(targets(totals.select("source", "source_size"), weights))
     tilts = tilt(histogram, goals)
     per = goals.join(tilts.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source")), "left")
     per = per.join(totals.select(F.col("source").alias("n_source"), "n"), F.col("source").eqNullSafe(F.col("n_source")))

@@ -343,3 +343,8 @@ def test_ties_of_different_vectors():
     ids, candidates = rng.permutation(500), np.column_stack([np.ones(500), rng.normal(size=500)])
     _, got, score = neighbours._best(np.array([[1.0, 0.0]]), candidates, ids, 21)
     assert got.tolist() == list(range(21)) and set(score.tolist()) == {1.0}
+
+
+def test_mixing_by_other_weights(docs_of):
+    docs = docs_of([(i, sentence(20), "ab"[i % 2]) for i in range(200)])
+    assert {(r["source"], r["target"]) for r in mixing.mix(docs, (3, 1)).collect()} == {("a", 3000.0), ("b", 1000.0)}
