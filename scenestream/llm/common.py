@@ -43,3 +43,24 @@ def join_documents(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
     b = b.withColumnsRenamed({"doc_id": "__doc_id", "text_key": "__text_key"})
     on = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("text_key") == F.col("__text_key"))
     return a.join(b, on, how).drop("__doc_id", "__text_key")
+
+
+# A key asked for by more than one in this many rows is heavy.
+HEAVY = 2000
+
+
+def join_uneven(rows: DataFrame, lookup: DataFrame, keys: list[str], uses: str, total: int) -> DataFrame:
+    """Left join of ``rows`` with a ``lookup`` of unique ``keys``, whatever share of the rows asks for one key.
+
+    ``uses`` (a column of the lookup) counts the rows that ask for it, ``total`` all rows. At most ``HEAVY`` keys are asked
+    for by more than one in ``HEAVY`` rows; these are broadcast, the others shuffled. Both inputs are read twice. Keys of the
+    rows may be null and then find nothing; ``uses`` is dropped.
+    """
+    gained = [c for c in lookup.columns if c not in keys and c != uses]
+    heavy = F.col(uses) * HEAVY > F.lit(total)
+    many = lookup.where(heavy).select(*keys, F.lit(True).alias("__heavy"))
+    marked = rows.join(F.broadcast(many), keys, "left")
+    hot = marked.where("__heavy").drop("__heavy").join(F.broadcast(lookup.where(heavy).drop(uses)), keys, "left")
+    rest = marked.where("__heavy is null").drop("__heavy").join(lookup.where(~heavy).drop(uses), keys, "left")
+    names = [*rows.columns, *gained]
+    return hot.select(names).unionByName(rest.select(names))
