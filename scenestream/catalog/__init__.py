@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("geometry", "rules", "flow", "alerts", "boxes", "evaluation", "datasets")
+MODULES = ("geometry", "rules", "flow", "alerts", "boxes", "evaluation", "datasets", "streams")
 
 
 def load():

@@ -17,15 +17,13 @@ def observations(spark, sf, roi=p.ROI, keypoints=False):
     return r.watch(p.detections(spark, sf, keypoints=keypoints), p.frames(spark, sf), roi)
 
 
-def wire_dim(spark):
+def wire_rows():
     w = p.WIRE
-    return tw.wires(
-        spark,
-        [
-            (c, w["id"], w["id"], *w["p1"], *w["p2"], w["direction"], int(w["cooldown"] * 1000))
-            for c in p.CAMERAS
-        ],
-    )
+    return [(c, w["id"], w["id"], *w["p1"], *w["p2"], w["direction"], int(w["cooldown"] * 1000)) for c in p.CAMERAS]
+
+
+def wire_dim(spark):
+    return tw.wires(spark, wire_rows())
 
 
 def cooldown_sql(source: str, keys: str, wait_ms: int, cols: str, time: str = "frame_ms") -> str:
@@ -353,41 +351,82 @@ def _fight_rows(out):
     )
 
 
-@query(
-    "rule_fight",
-    with_views(
-        "tracked",
-        _HEADS
-        + """, mv AS (SELECT *, CASE WHEN lag(frame_seq) OVER w = prev_seq THEN
-            sqrt((cx - lag(cx) OVER w)*(cx - lag(cx) OVER w) + (cy - lag(cy) OVER w)*(cy - lag(cy) OVER w))
-            / ((frame_ms - lag(frame_ms) OVER w) / 1000.0::DOUBLE) ELSE 0 END AS sp
-          FROM per WINDOW w AS (PARTITION BY camera_id, track_id ORDER BY frame_seq, det_idx)),
-        near AS (SELECT a.camera_id, a.frame_seq, a.frame_ms, a.det_idx, a.track_id, a.sp, count(b.det_idx) + 1 AS involved_count,
-            coalesce(sum(b.sp), 0) AS others_sp
-          FROM mv a LEFT JOIN mv b ON a.camera_id = b.camera_id AND a.frame_seq = b.frame_seq AND a.det_idx <> b.det_idx
-            AND sqrt((a.cx - b.cx)*(a.cx - b.cx) + (a.cy - b.cy)*(a.cy - b.cy)) < 400
-          WHERE a.heads >= 2 GROUP BY ALL),
-        judged AS (SELECT *, involved_count >= 2 AND sp > 80 AS hit FROM near),"""
-        + _first_in_frame_sql(
-            1000,
-            "j.camera_id, j.frame_seq, j.frame_ms AS ts_ms, j.det_idx, j.track_id, j.involved_count, "
-            "round((j.sp + j.others_sp) / j.involved_count, 4) AS avg_speed, false AS has_pose",
-        ),
-        True,
-    ),
+# Wrists of the sample's key points (points 9 and 10 of those that have any), and where they were last seen in the same visit.
+_MOTION = """
+  hand AS (SELECT *, fno - row_number() OVER (PARTITION BY camera_id, track_id ORDER BY fno) AS visit,
+      CASE WHEN sk % 3 = 0 THEN list_filter([
+        CASE WHEN ((pk + 9) % 10) / 10.0::DOUBLE > 0.3 THEN {'x': cx + hw / 2, 'y': CASE WHEN pk % 40 = 0 THEN y2 - 9 * h / 16 ELSE y1 + 9 * h / 16 END} END,
+        CASE WHEN ((pk + 10) % 10) / 10.0::DOUBLE > 0.3 THEN {'x': cx - hw / 2, 'y': CASE WHEN pk % 40 = 0 THEN y2 - 10 * h / 16 ELSE y1 + 10 * h / 16 END} END
+      ], lambda k: k IS NOT NULL) END AS seen FROM per),
+  memo AS (SELECT *, last_value(CASE WHEN len(seen) > 0 THEN seen END IGNORE NULLS) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old,
+      (frame_ms - lag(frame_ms) OVER v) / 1000.0::DOUBLE AS dt, cx - lag(cx) OVER v AS dx, cy - lag(cy) OVER v AS dy
+    FROM hand WINDOW v AS (PARTITION BY camera_id, track_id, visit ORDER BY fno)),
+  mv AS (SELECT *, coalesce(sqrt(dx * dx + dy * dy) / dt, 0) AS sp,
+      coalesce(list_max(flatten(list_transform(seen, lambda a: list_transform(old, lambda b: sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)))))) / dt, 0) AS limb
+    FROM memo),
+  near AS (SELECT a.camera_id, a.frame_seq, a.frame_ms, a.fno, a.det_idx, a.track_id, a.sp, a.limb, greatest(a.sp, a.limb * 0.6) AS top, count(b.det_idx) + 1 AS involved_count,
+      coalesce(sum(b.sp), 0) AS others_sp, max(greatest(a.limb, coalesce(b.limb, 0))) > 0 AS has_pose
+    FROM mv a LEFT JOIN mv b ON a.camera_id = b.camera_id AND a.frame_seq = b.frame_seq AND a.det_idx <> b.det_idx
+      AND sqrt((a.cx - b.cx)*(a.cx - b.cx) + (a.cy - b.cy)*(a.cy - b.cy)) < 400
+    WHERE a.heads >= 2 GROUP BY ALL),
+  judged AS (SELECT *, involved_count >= 2 AND top > 80 AS hit FROM near),"""
+
+
+def _confirmed_in_frame_sql(confirm: int, wait_ms: int, cols: str) -> str:
+    """Persons of a camera one by one: runs by track, which a frame outside the set ends, and the first firing of each frame."""
+    return f"""
+  ordered AS (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY frame_seq, det_idx) AS k FROM judged),
+  sc AS (
+    SELECT DISTINCT camera_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(tr BIGINT, n BIGINT)[]) AS runs,
+      CAST([] AS STRUCT(tr BIGINT, ms BIGINT)[]) AS live, CAST(-1 AS BIGINT) AS done, CAST(-1 AS BIGINT) AS last, false AS fire FROM ordered
+    UNION ALL
+    SELECT camera_id, k,
+      CASE WHEN skip THEN held WHEN hit THEN list_append(list_filter(held, lambda x: x.tr <> track_id), {{'tr': track_id, 'n': n}})
+        ELSE list_filter(held, lambda x: x.tr <> track_id) END,
+      CASE WHEN fires THEN list_append(live, {{'tr': track_id, 'ms': frame_ms}}) ELSE live END,
+      CASE WHEN fires THEN frame_seq ELSE done END, fno, fires
+    FROM (SELECT *, NOT skip AND hit AND n >= {confirm} AND NOT list_contains(list_transform(live, lambda y: y.tr), track_id) AS fires
+      FROM (SELECT *, coalesce(list_filter(held, lambda x: x.tr = track_id)[1].n, 0) + 1 AS n
+        FROM (SELECT o.camera_id, o.k, o.frame_seq, o.frame_ms, o.fno, o.track_id, o.hit, s.done, s.done = o.frame_seq AS skip,
+            CASE WHEN o.fno > s.last + 1 THEN CAST([] AS STRUCT(tr BIGINT, n BIGINT)[]) ELSE s.runs END AS held,
+            list_filter(s.live, lambda x: o.frame_ms - x.ms < {wait_ms}) AS live
+          FROM sc s JOIN ordered o ON o.camera_id = s.camera_id AND o.k = s.k + 1))))
+  SELECT {cols} FROM ordered j JOIN sc ON sc.camera_id = j.camera_id AND sc.k = j.k AND sc.fire"""
+
+
+_FIGHT_COLS = (
+    "j.camera_id, j.frame_seq, j.frame_ms AS ts_ms, j.det_idx, j.track_id, j.involved_count, "
+    "round((j.sp + j.others_sp) / j.involved_count, 4) AS avg_speed, j.has_pose"
 )
+
+
+@query("rule_fight", with_views("tracked", _HEADS + "," + _MOTION + _first_in_frame_sql(1000, _FIGHT_COLS), True))
 def rule_fight(spark, sf):
-    obs = observations(spark, sf).withColumn("keypoints", F.lit(None).cast("array<struct<x:double,y:double,conf:double>>"))
-    return _fight_rows(r.fight(obs, radius=400.0, min_speed=80.0, confirm=1, cooldown_s=1.0))
+    return _fight_rows(r.fight(observations(spark, sf, keypoints=True), radius=400.0, min_speed=80.0, confirm=1, cooldown_s=1.0))
 
 
-@query("rule_fight_pose")
+@query("rule_fight_pose", with_views("tracked", _HEADS + "," + _MOTION + _confirmed_in_frame_sql(2, 1000, _FIGHT_COLS), True))
 def rule_fight_pose(spark, sf):
     """With key points and confirmation over two observations."""
     obs = observations(spark, sf, keypoints=True)
     return _fight_rows(r.fight(obs, radius=400.0, min_speed=80.0, confirm=2, cooldown_s=1.0))
 
 
+_CROWDED = """, near AS (SELECT a.camera_id, a.frame_seq, a.frame_ms, a.fno, a.det_idx, a.track_id, count(b.det_idx) + 1 AS nearby
+          FROM per a LEFT JOIN per b ON a.camera_id = b.camera_id AND a.frame_seq = b.frame_seq AND a.det_idx <> b.det_idx
+            AND sqrt((a.cx - b.cx)*(a.cx - b.cx) + (a.cy - b.cy)*(a.cy - b.cy)) < 400
+          WHERE a.heads > 1 GROUP BY ALL),
+        judged AS (SELECT *, nearby > 1 AS hit FROM near),"""
+_CROWD_COLS = "j.camera_id, j.frame_seq, j.frame_ms AS ts_ms, j.det_idx, j.track_id, j.nearby"
+
+
+@query("rule_crowd_confirmed", with_views("tracked", _HEADS + _CROWDED + _confirmed_in_frame_sql(2, 60_000, _CROWD_COLS), True))
+def rule_crowd_confirmed(spark, sf):
+    """Two observations in a row and the default wait of a minute."""
+    out = r.crowd(observations(spark, sf), max_count=1, radius=400.0, confirm=2, cooldown_s=60.0)
+    return out.select("camera_id", "frame_seq", F.col("frame_ms").alias("ts_ms"), "det_idx", "track_id", "nearby")
+
+
 def sample_cameras():
     from ..plans.ruleset import Camera
 

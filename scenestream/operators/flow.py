@@ -51,10 +51,11 @@ def flow_windows(crossings: DataFrame, seconds: int = 60) -> DataFrame:
 
 
 def recovered_today(windows: DataFrame, now_ms: int, zone: str = "UTC") -> DataFrame:
-    """Today's counts per camera from stored windows; 0 where nothing was stored since midnight."""
+    """Today's counts per camera from stored windows, with the ``day``; 0 where nothing was stored since midnight."""
     today = F.to_date(local_time(F.lit(now_ms), zone))
     current = F.to_date(local_time(F.col("window_end"), zone)) == today
     return windows.groupBy("camera_id").agg(
+        F.first(today.cast("string")).alias("day"),
         F.coalesce(F.sum(F.when(current, F.col("window_in"))), F.lit(0)).alias("today_in"),
         F.coalesce(F.sum(F.when(current, F.col("window_out"))), F.lit(0)).alias("today_out"),
     )

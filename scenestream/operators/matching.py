@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from .folds import scan_sorted
+from ..session import cut
 from .neighbours import touching_pairs
-from .sequence import running
 
 THRESHOLDS = [0.5 + 0.05 * i for i in range(10)]
 
@@ -75,54 +74,56 @@ def _reach(tolerance: float) -> tuple[Column, Column]:
 
 
 def event_candidates(pred: DataFrame, truth: DataFrame, keys: Sequence[str], tolerance: float) -> DataFrame:
-    """Prediction/truth pairs close in time: keys, pred_idx, gt_idx, dist.
+    """Prediction/truth pairs close in time: keys, pred_idx, gt_idx, t, dist.
 
     An instant matches within the tolerance; a duration matches when the prediction lies in it, widened
-    by the tolerance, and the distance is that to its middle. The range join runs on time buckets.
+    by the tolerance, and the distance is that to its middle. The range join runs on time buckets whose width doubles from
+    level to level: a truth lies in the three buckets at most of the level that fits its length, a prediction in one bucket of each
+    level that occurs.
     """
     width = max(float(tolerance), 1e-3)
     lo, hi = _reach(tolerance)
-    t = truth.withColumns({"_lo": lo, "_hi": hi}).where("_lo is not null")
-    t = t.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))))
+    t = truth.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi")
+    # The logarithm of nothing is NULL, which ``greatest`` passes over.
+    level = F.greatest(F.lit(0), F.ceil(F.log2((F.col("_hi") - F.col("_lo")) / width)).cast("int"))
+    t = t.withColumn("_level", level)
+    size = F.lit(width) * F.pow(F.lit(2.0), F.col("_level"))
+    t = t.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / size), F.floor(F.col("_hi") / size))))
     mid = F.when(F.col("t_start").isNotNull(), (F.col("t_start") + F.col("t_end")) / 2).otherwise(F.col("time_sec"))
-    t = t.select(*keys, "gt_idx", "_b", "_lo", "_hi", mid.alias("_mid"))
-    p = pred.select(*keys, "pred_idx", "t").withColumn("_b", F.floor(F.col("t") / width))
+    t = t.select(*keys, "gt_idx", "_level", "_b", "_lo", "_hi", mid.alias("_mid"))
+    # As many levels as the span of times has doublings.
+    levels = sorted(r[0] for r in t.select("_level").distinct().collect())
+    p = pred.select(*keys, "pred_idx", "t", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>")).alias("_level"))
+    p = p.withColumn("_b", F.floor(F.col("t") / size))
     return (
-        p.join(t, [*keys, "_b"])
+        p.join(t, [*keys, "_level", "_b"])
         .where((F.col("t") >= F.col("_lo")) & (F.col("t") <= F.col("_hi")))
         .select(*keys, "pred_idx", "gt_idx", "t", F.abs(F.col("t") - F.col("_mid")).alias("dist"))
     )
 
 
-def match_events(pred: DataFrame, truth: DataFrame, keys: Sequence[str], tolerance: float) -> DataFrame:
-    """Greedy matches (keys, pred_idx, gt_idx, dist): closest pair first, one-to-one, earlier rows win ties.
+def mutually_first(pairs: DataFrame, keys: Sequence[str], left: str, right: str, cost: str) -> DataFrame:
+    """Greedy one-to-one matches of ``pairs``: least ``cost`` first, then least ``left``, then least ``right``.
 
-    Time is cut where no truth event reaches, since no pair spans such a gap. Each stretch is scanned in
-    order of distance, batch by batch.
+    A pair that comes first for both its sides is sure to match, whatever the others do. Each round keeps these and drops all
+    pairs of a side that has one: two aggregations and two anti joins, so neither a key nor a stretch of time meets in one
+    task. Rounds end when no pair is left, after as many as the longest run of ever closer pairs that share a side.
     """
-    keys = list(keys)
-    pairs = event_candidates(pred, truth, keys, tolerance)
-    lo, hi = _reach(tolerance)
-    spans = truth.select(*keys, lo.alias("lo"), hi.alias("hi"), "gt_idx").where("lo is not null")
-    seen = running(spans, keys, ["lo", "gt_idx"], {"reach": F.col("hi")}, how="max", exclusive=True)
-    fresh = F.when(F.col("reach").isNull() | (F.col("lo") > F.col("reach")), F.col("lo"))
-    starts = running(
-        seen.withColumn("_f", fresh), keys, ["lo", "gt_idx"], {"stretch": F.col("_f")}, how="max"
-    ).select(*keys, "gt_idx", "stretch")
-    rows = pairs.join(starts, [*keys, "gt_idx"]).select(*keys, "stretch", "dist", "pred_idx", "gt_idx")
-    cols = [*keys, "pred_idx", "gt_idx", "dist"]
-
-    def scanner() -> Callable[[int, int], bool]:
-        used_p: set[int] = set()
-        used_g: set[int] = set()
-
-        def accept(p: int, t: int) -> bool:
-            if p in used_p or t in used_g:
-                return False
-            used_p.add(p)
-            used_g.add(t)
-            return True
-
-        return accept
-
-    return scan_sorted(rows, [*keys, "stretch"], ["dist", "pred_idx", "gt_idx"], scanner, ["pred_idx", "gt_idx"], cols)
+    keys, sides = list(keys), [*keys, left, right, cost]
+    order = F.min(F.struct(cost, left, right)).alias("b")
+    left_over, found = cut(pairs.select(*sides)), []
+    while not left_over.isEmpty():
+        by_left = left_over.groupBy(*keys, left).agg(order).select(*keys, "b.*")
+        by_right = left_over.groupBy(*keys, right).agg(order).select(*keys, "b.*")
+        sure = cut(by_left.join(by_right, sides))
+        found.append(sure)
+        left_over = cut(left_over.join(sure.select(*keys, left), [*keys, left], "left_anti").join(sure.select(*keys, right), [*keys, right], "left_anti"))
+    out = found[0] if found else left_over
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.select(*sides)
+
+
+def match_events(pred: DataFrame, truth: DataFrame, keys: Sequence[str], tolerance: float) -> DataFrame:
+    """Greedy matches (keys, pred_idx, gt_idx, dist): closest pair first, one-to-one, earlier rows win ties."""
+    return mutually_first(event_candidates(pred, truth, keys, tolerance), keys, "pred_idx", "gt_idx", "dist")

@@ -99,6 +99,12 @@ def visibility_spells(obs: DataFrame) -> DataFrame:
     return link_rows(tracked(obs), TRACK, ORDER, ["frame_seq", "prev_seq"], same_spell)
 
 
+def visits(obs: DataFrame) -> DataFrame:
+    """``start_ms, end_ms, n_frames`` of each unbroken visibility of a track."""
+    spells = visibility_spells(obs).groupBy(*TRACK, F.col("spell_ms").alias("start_ms"))
+    return spells.agg(F.max("frame_ms").alias("end_ms"), F.count("*").alias("n_frames"))
+
+
 def dwell(obs: DataFrame, max_seconds: float = 120.0, confirm: int = 5, cooldown_s: float = 60.0) -> DataFrame:
     """Visible without a break for at least ``max_seconds``."""
 

@@ -36,12 +36,20 @@ ORDER = ["frame_ms", "frame_seq", "det_idx"]
 # --- frames ---------------------------------------------------------------------------------------
 
 
+# A detection's clock and that of its frame differ by at most this. A detection without a frame of its number so near has none.
+FRAME_SLACK_MS = 2_000
+
+
 def processed_frames(frames: DataFrame) -> DataFrame:
     """Frames the rules see (those with motion), each with its slice and the frame seen before it on its camera.
 
     Adds ``prev_seq`` (NULL for a camera's first frame).
     """
     f = with_slice(frames.where("has_motion").select("camera_id", "frame_seq", "frame_ms")).repartition("camera_id", SLICE)
+    return _with_previous(f)
+
+
+def _with_previous(f: DataFrame) -> DataFrame:
     lag = f"lag(frame_seq) over (partition by camera_id, {SLICE} order by frame_ms, frame_seq) as prev_seq"
     last = f.groupBy("camera_id", SLICE).agg(F.max_by("frame_seq", F.struct("frame_ms", "frame_seq")).alias("last_seq"))
     before = last.selectExpr("camera_id", SLICE, f"lag(last_seq) over (partition by camera_id order by {SLICE}) as before_seq")
@@ -53,16 +61,43 @@ def processed_frames(frames: DataFrame) -> DataFrame:
     )
 
 
+def framed(frames: DataFrame) -> DataFrame:
+    """Processed frames (see ``processed_frames``) with the span of detection times that are theirs: from ``lo`` until before ``hi``.
+
+    A camera's counter may start again, so several frames have one number. A detection belongs to the nearest of
+    them, frames without motion included, and to none beyond the clock slack. Frames near the border of a slice are shown to
+    the next slice for that; a detection is then looked up in the slice of its frame.
+    """
+    width, reach = session_slice_ms(frames.sparkSession), 2 * FRAME_SLACK_MS
+    ms = F.col("frame_ms")
+    span = F.sequence(F.floor((ms - reach) / F.lit(width)), F.floor((ms + reach) / F.lit(width)))
+    shown = frames.select("camera_id", "frame_seq", "frame_ms", "has_motion", F.explode(span).alias(SLICE)).repartition("camera_id", SLICE)
+    same = f"over (partition by camera_id, {SLICE}, frame_seq order by frame_ms)"
+    edges = shown.selectExpr("*", f"lag(frame_ms) {same} as _was", f"lead(frame_ms) {same} as _next").where(
+        f"has_motion and floor(frame_ms / {width}) = {SLICE}"
+    )
+    near = _with_previous(edges.drop("has_motion"))
+    # Halfway between two frames the later one has the detection.
+    return near.selectExpr(
+        "camera_id", SLICE, "frame_seq", "frame_ms", "prev_seq",
+        f"greatest(frame_ms - {FRAME_SLACK_MS}, coalesce((_was + frame_ms + 1) div 2, frame_ms - {FRAME_SLACK_MS})) as _lo",
+        f"least(frame_ms + {FRAME_SLACK_MS} + 1, coalesce((frame_ms + _next + 1) div 2, frame_ms + {FRAME_SLACK_MS} + 1)) as _hi",
+    )
+
+
 def observe(detections: DataFrame, frames: DataFrame) -> DataFrame:
     """Detections on processed frames, with the time of their frame and its ``prev_seq``.
 
-    The frame decides on time and slice: a detection whose own clock is a little off stays with its frame. All that
-    follows, per frame, per track and slice, is clustered by (camera_id, slice) once, here.
+    The frame decides on time and slice: a detection whose own clock is a little off stays with its frame (see ``framed``). All that
+    follows, per frame, per track and slice, is clustered by (camera_id, slice) once, here. A detection near the border of
+    a slice goes to both and finds its frame in one; a detection without a time has no frame.
     """
     cols = detections.columns
-    seen = processed_frames(frames)
-    both = detections.drop("frame_ms").join(seen, ["camera_id", "frame_seq"]).select(*cols, "prev_seq", SLICE)
-    return both.repartition("camera_id", SLICE)
+    width, ms = session_slice_ms(detections.sparkSession), F.col("frame_ms")
+    homes = F.sequence(*[F.floor((ms + d) / F.lit(width)) for d in (-FRAME_SLACK_MS, FRAME_SLACK_MS)])
+    sent = detections.withColumn(SLICE, F.explode(homes)).withColumnRenamed("frame_ms", "_own_ms").repartition("camera_id", SLICE)
+    seen = framed(frames)
+    return sent.join(seen, ["camera_id", SLICE, "frame_seq"]).where("_own_ms >= _lo and _own_ms < _hi").select(*cols, "prev_seq", SLICE)
 
 
 # --- numbering ------------------------------------------------------------------------------------

@@ -30,6 +30,12 @@ def flow_windows(crossings: DataFrame, width: str = "60 seconds", slide: str | N
     return _start(crossings.groupBy("camera_id", w).agg(_n(d == "in").alias("window_in"), _n(d == "out").alias("window_out")))
 
 
+def sessions(rows: DataFrame, gap: str = "10 seconds", keys: Sequence[str] = ("camera_id", "track_id")) -> DataFrame:
+    """Start, end and number of rows of each key's sessions: rows less than ``gap`` apart. Sessions that a late row joins are merged."""
+    out = rows.groupBy(*keys, F.session_window("ts", gap).alias("s")).agg(F.min("ts").alias("_from"), F.max("ts").alias("_to"), F.count(F.lit(1)).alias("n"))
+    return out.select(*keys, F.unix_millis("_from").alias("start_ms"), F.unix_millis("_to").alias("end_ms"), "n")
+
+
 def alert_trend(alerts: DataFrame, width: str = "60 minutes") -> DataFrame:
     key = alert_key(F.col("type"), F.col("sub_type")).alias("key")
     return _start(alerts.groupBy(F.window("ts", width), key).agg(F.count(F.lit(1)).alias("n")))

@@ -18,46 +18,34 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 # step(state, row) -> (new state, emit?). State and row are dicts; state starts empty.
 Step = Callable[[dict, dict], tuple[dict, bool]]
-FRAME_STATE = "last bigint, before bigint, open bigint"
 
 
 class InOrder(StatefulProcessor):
-    """Buffers a key's rows and steps through them once the watermark allows.
+    """Buffers a key's rows and steps through them once the watermark allows. A key without rows for ``keep_ms`` is forgotten."""
 
-    With ``sub`` the key holds many sequences (the tracks of a camera), each with its own state. With
-    ``linked`` the rows include frame markers (``det_idx`` -1); a detection then runs only when its frame
-    had motion, and sees the frame processed before as ``prev_seq``.
-    """
-
-    def __init__(self, columns, row_schema, state_schema, step, time, order, emit, sub, linked):
+    def __init__(self, columns, row_schema, state_schema, step, time, order, emit, keep_ms):
         self.columns, self.row_schema, self.state_schema = list(columns), row_schema, state_schema
-        self.step, self.time, self.order, self.emit = step, time, list(order), emit
-        self.sub, self.linked = sub, linked
+        self.step, self.time, self.order, self.emit, self.keep_ms = step, time, list(order), emit, keep_ms
         self.whole = [isinstance(f.dataType, (IntegerType, LongType)) for f in row_schema]
         # Parsed here: workers have no Spark context to parse them with.
-        self.frame_schema, self.key_schema = StructType.fromDDL(FRAME_STATE), StructType.fromDDL("sub bigint")
+        self.seen_schema = StructType.fromDDL("ms bigint")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.row_schema)
-        self.frame = handle.getValueState("frame", self.frame_schema) if self.linked else None
-        self.states = handle.getMapState("states", self.key_schema, self.state_schema)
+        self.state = handle.getValueState("state", self.state_schema)
+        self.seen = handle.getValueState("seen", self.seen_schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest = None
         items = []
         for pdf in rows:
             items += [
                 tuple(_plain(v, whole) for v, whole in zip(r, self.whole))
                 for r in pdf[self.columns].itertuples(index=False, name=None)
             ]
-            if len(pdf):
-                top = int(pdf[self.time].max())
-                latest = top if latest is None else max(latest, top)
         if items:
-            held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-            self.waiting.put(held + items)
-            self.handle.registerTimer(latest + 1)
+            self.waiting.appendList(items)
+            self._wake(items)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -65,41 +53,40 @@ class InOrder(StatefulProcessor):
         rows = [dict(zip(self.columns, r)) for r in self.waiting.get()] if self.waiting.exists() else []
         ready = sorted((r for r in rows if r[self.time] <= until), key=lambda r: tuple(r[c] for c in self.order))
         rest = [tuple(r[c] for c in self.columns) for r in rows if r[self.time] > until]
-        if not ready:
-            yield pd.DataFrame()
-            return
         if rest:
             self.waiting.put(rest)
-        else:
+            self._wake(rest)
+        elif rows:
             self.waiting.clear()
+        out = self._stepped(ready) if ready else []
+        if not rest and self.keep_ms is not None and self.seen.exists() and self.seen.get()[0] + self.keep_ms < until:
+            self.state.clear()
+            self.seen.clear()
+        yield pd.DataFrame(out)
+
+    def _wake(self, items: list[tuple]) -> None:
+        """A timer for the earliest of the waiting rows."""
+        at = self.columns.index(self.time)
+        self.handle.registerTimer(min(i[at] for i in items) + 1)
+
+    def _stepped(self, ready: list[dict]) -> list[dict]:
         names = [f.name for f in self.state_schema]
-        frame = {}
-        if self.linked and self.frame.exists():
-            frame = dict(zip(("last", "before", "open"), self.frame.get()))
-        states: dict[int, dict] = {}
+        state = dict(zip(names, self.state.get())) if self.state.exists() else {}
         out = []
+        last = self.seen.get()[0] if self.seen.exists() else None
         for r in ready:
-            if self.linked:
-                if r["det_idx"] < 0:
-                    if r["has_motion"]:
-                        frame = {"before": frame.get("last"), "last": r["frame_seq"], "open": r["frame_seq"]}
-                    continue
-                if frame.get("open") != r["frame_seq"]:
-                    continue
-                r["prev_seq"] = frame["before"]
-            k = r[self.sub] if self.sub else 0
-            if k not in states:
-                kept = self.states.getValue((k,)) if self.states.containsKey((k,)) else None
-                states[k] = dict(zip(names, kept)) if kept is not None else {}
-            states[k], fire = self.step(states[k], r)
+            # A pause ends a key's memory whether or not a batch fell into it.
+            if last is not None and self.keep_ms is not None and r[self.time] - last > self.keep_ms:
+                state = {}
+            last = r[self.time]
+            state, fire = self.step(state, r)
             if fire:
-                row = self.emit(states[k], r) if self.emit else r
-                out.append(row)
-        for k, st in states.items():
-            self.states.updateValue((k,), tuple(st.get(n) for n in names))
-        if self.linked and frame:
-            self.frame.update((frame.get("last"), frame.get("before"), frame.get("open")))
-        yield pd.DataFrame(out)
+                out.append(self.emit(state, r) if self.emit else r)
+        self.state.update(tuple(state.get(n) for n in names))
+        self.seen.update((last,))
+        if self.keep_ms is not None:
+            self.handle.registerTimer(last + self.keep_ms + 1)
+        return out
 
     def close(self) -> None:
         pass
@@ -120,17 +107,17 @@ def in_order(
     step: Step,
     state_schema: str,
     time: str = "frame_ms",
-    order: Sequence[str] = ("frame_seq", "det_idx"),
+    order: Sequence[str] = ("frame_ms", "frame_seq", "det_idx"),
     add: str | None = None,
     emit: Callable[[dict, dict], dict] | None = None,
-    sub: str | None = None,
-    linked: bool = False,
+    keep_ms: int | None = None,
 ) -> DataFrame:
     """Run ``step`` over each key's rows in time order; rows it accepts come out.
 
     ``add`` is the schema of columns that ``emit(state, row)`` puts beside the row. The input carries a
     watermark. Rows come out after the watermark passed them, so the output has none of its own: end the
-    query here, or write it and start another. Nested columns are dropped (state holds plain values).
+    query here, or write it and start another. Nested columns are dropped (state holds plain values). A key that pauses for
+    more than ``keep_ms`` starts anew and leaves no state behind.
     """
     nested = [f.name for f in stream.schema if isinstance(f.dataType, (ArrayType, MapType, StructType))]
     stream = stream.drop(*nested)
@@ -143,7 +130,7 @@ def in_order(
         full = emit(state, row) if emit else row
         return {n: full.get(n) for n in names}
 
-    proc = InOrder(stream.columns, StructType(fields), StructType.fromDDL(state_schema), step, time, order, shaped, sub, linked)
+    proc = InOrder(stream.columns, StructType(fields), StructType.fromDDL(state_schema), step, time, order, shaped, keep_ms)
     return stream.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=proc, outputStructType=out, outputMode="Append", timeMode="EventTime"
     )
