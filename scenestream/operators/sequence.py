@@ -298,19 +298,22 @@ STRETCH = 256
 def cooldown(
     candidates: DataFrame,
     keys: Sequence[str],
-    wait_ms: int,
+    wait_ms: int | Column,
     time: str = "frame_ms",
     order: Sequence[str] = (),
     slice_width: int | None = None,
 ) -> DataFrame:
     """Greedy spacing: keep a candidate when at least ``wait_ms`` passed since the last kept one of its key.
 
+    The wait may be a column, the same on all rows of a key; without a wait every candidate stays.
+
     A slice's candidates form one sorted array. Each knows the position of the first candidate it no
     longer blocks, so keeping is a walk of at most slice/wait steps. Where a slice can be affected by
     the one before, it publishes which last firing follows from each possible entry; chaining these
-    short tables gives every slice its starting state. Candidates themselves are never gathered per key.
+    short tables gives every slice its starting state. Candidates themselves are never gathered per key. The arrays are
+    written once, since they are read twice.
     """
-    if wait_ms <= 0:
+    if not isinstance(wait_ms, Column) and wait_ms <= 0:
         return candidates
     keys = list(keys)
     part = [*keys, SLICE]
@@ -318,45 +321,50 @@ def cooldown(
     cols = candidates.columns
     c = candidates if SLICE in cols and slice_width is None else with_slice(candidates, time, width)
     payload = [x for x in cols if x not in part]
-    key_sql, by_time = ", ".join(part), f"order by {time}"
-    c = c.repartition(*part).selectExpr(
+    key_sql = ", ".join(part)
+    wait = wait_ms.cast("bigint") if isinstance(wait_ms, Column) else F.lit(wait_ms).cast("bigint")
+    # Time in waits since the slice began: a range frame has one length for all rows. Just under one wait, by less than a
+    # millisecond is of any wait.
+    waits = f"double({time} - {SLICE} * {width}L) / greatest(_w, 1L)"
+    by_waits = f"partition by {key_sql} order by _u"
+    c = c.withColumn("_w", wait).repartition(*part).selectExpr("*", f"{waits} as _u").selectExpr(
         "*",
         f"row_number() over (partition by {key_sql} order by {', '.join([time, *order])}) as _i",
-        f"rank() over (partition by {key_sql} {by_time}) + count(1) over (partition by {key_sql} {by_time} "
-        f"range between current row and {wait_ms - 1} following) as _nx",
+        f"rank() over ({by_waits}) + count(1) over ({by_waits} range between current row and 0.999999999D following) as _nx",
     )
     row = ", ".join(f"'{x}', {x}" for x in payload)
-    item = f"named_struct('i', _i, 'nx', int(_nx), 't', {time}, 'row', named_struct({row}))"
-    piece = c.groupBy(*part).agg(F.expr(f"sort_array(collect_list({item}))").alias("c"))
+    item = f"named_struct('i', _i, 'nx', int(if(_w > 0, _nx, _i + 1)), 't', {time}, 'row', named_struct({row}))"
+    piece = cut(c.groupBy(*part).agg(F.expr(f"sort_array(collect_list({item}))").alias("c"), F.max("_w").alias("w")))
 
     # Position of the next candidate that a firing at i does not block; NULL past the end.
-    budget = f"sequence(1, least({width // wait_ms + 2}, size(c)))"
+    budget = f"sequence(1, if(w > 0, int(least({width} div greatest(w, 1L) + 2, size(c))), size(c)))"
     hop = "if(element_at(c, {i}).nx <= size(c), element_at(c, {i}).nx, null)"
     last_fire = f"element_at(c, aggregate({budget}, int(x.i), (s, k) -> coalesce({hop.format(i='s')}, s))).t"
     # Only a slice's first candidates can be the first to fire in it: those an earlier firing may still block,
     # and the one after them.
-    entries = f"slice(c, 1, size(filter(c, x -> x.t < {SLICE} * {width}L + {wait_ms}L)) + 1)"
+    entries = f"slice(c, 1, size(filter(c, x -> x.t < {SLICE} * {width}L + w)) + 1)"
     by_key = f"partition by {', '.join(keys)} order by {SLICE}"
     table = (
         piece.selectExpr(
             *part,
+            "w",
             "c[0].t as first_t",
             "element_at(c, -1).t as last_t",
             f"transform({entries}, x -> named_struct('t', x.t, 'last', {last_fire})) as map",
         )
-        .selectExpr("*", f"coalesce(first_t - lag(last_t) over ({by_key}) < {wait_ms}, false) as tied")
+        .selectExpr("*", f"coalesce(first_t - lag(last_t) over ({by_key}) < w, false) as tied")
         .selectExpr("*", f"sum(int(not tied)) over ({by_key}) as chain")
     )
     chains = (
         table.groupBy(*keys, "chain")
-        .agg(F.expr(f"sort_array(collect_list(named_struct('{SLICE}', {SLICE}, 'map', map)))").alias("m"))
+        .agg(F.expr(f"sort_array(collect_list(named_struct('{SLICE}', {SLICE}, 'map', map)))").alias("m"), F.max("w").alias("w"))
         .where("size(m) > 1")
     )
     # The chain is followed in stretches, so that no growing array is copied for every slice.
     steps = f"cast(array() as array<struct<{SLICE}:bigint,s:bigint>>)"
     stretch = (
         f"aggregate(q, named_struct('s', a.s, 'out', {steps}), (b, p) -> named_struct("
-        f"'s', coalesce(get(filter(p.map, e -> b.s is null or e.t >= b.s + {wait_ms}L), 0).last, b.s), "
+        f"'s', coalesce(get(filter(p.map, e -> b.s is null or e.t >= b.s + w), 0).last, b.s), "
         f"'out', array_append(b.out, named_struct('{SLICE}', p.{SLICE}, 's', b.s))))"
     )
     follow = (
@@ -369,7 +377,7 @@ def cooldown(
         .selectExpr(*keys, f"o.{SLICE} as {SLICE}", "o.s as state")
         .where("state is not null")
     )
-    first = f"int(get(filter(c, x -> state is null or x.t >= state + {wait_ms}L), 0).i)"
+    first = "int(get(filter(c, x -> state is null or x.t >= state + w), 0).i)"
     walk = (
         f"aggregate({budget}, named_struct('at', {first}, 'out', cast(array() as array<int>)), (a, k) -> "
         f"if(a.at is null, a, named_struct('at', {hop.format(i='a.at')}, 'out', array_append(a.out, a.at)))).out"
