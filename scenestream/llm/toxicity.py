@@ -35,6 +35,8 @@ PER_DOCUMENT = 3
 LEAST_TOXIC, LEAST_CLEAN = 3, 20
 # Fall of the running score over a token without evidence, and the largest rise of one token.
 DRIFT, CEILING = 0.1, 6.0
+# The highest score where nothing tells toxic texts from clean ones.
+UNKNOWN = 0.49
 
 
 @dataclass
@@ -205,6 +207,9 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = SA
     Three quarters give token counts; the rest gives lambda (Karlin-Altschul, from clean token scores), K (from the
     mean of the clean maxima, whose Gumbel mean is (ln(K n) + Euler's constant) / lambda) and the logistic map, in which each
     row counts for those of its class that the sample leaves out, so a score means the same at every size.
+
+    Several labels of an id count as toxic if one is; rows that repeat count as often. Null ids, texts and labels, and labels without
+    a document, teach nothing. With labels of one class only, or none (an empty table), no text is toxic: see ``UNKNOWN``.
     """
     sample = cut(training_rows(docs, labels, allowed, per_class))
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(CALIBRATION_MOD))
@@ -219,7 +224,10 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = SA
         weight.append(r["stands_for"])
     clean = [s for t, s in held if t == 0 and len(s)]
     if not model.weight or not clean or not any(t for t, _ in held):
-        return model  # without both classes every text scores alike
+        # Without both classes no text can be told from another: all score the share of toxic labels, as not toxic.
+        n = sample.agg(F.coalesce(F.sum("stands_for"), F.lit(0.0)), F.coalesce(F.sum(F.col("stands_for") * F.col("toxic")), F.lit(0.0))).first()
+        share = min(UNKNOWN, (n[1] + 1) / (n[0] + 2))
+        return Model(bias=math.log(share) - math.log1p(-share))
     model.lam = _karlin(Counter(np.round(np.concatenate(clean), 2).tolist()))
     best = lambda s: max((x[2] for x in segments(s)), default=0.0)
     maxima = np.array([model.lam * best(s) - math.log(len(s)) for s in clean])
@@ -235,8 +243,9 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = SA
 def score(docs: DataFrame, model: Model, out: str = "toxicity", passages: str = "toxic_passages") -> DataFrame:
     """``docs`` with ``out`` (0 to 1) and ``passages``: ``array<struct<start, end, excess>>`` in words, each significant segment.
 
-    One narrow pass; whole texts of any length. Null and empty texts have no evidence, which has a score too. Other columns
-    pass through, those named like the results are replaced.
+    One narrow pass; whole texts of any length. Null and empty texts have no evidence, which has a score too. Equal texts score alike
+    and all rows come back, repeated ones as well; an empty table gives none. Other columns pass through, those named like the
+    results are replaced.
     """
     docs = docs.drop(out, passages)
     place, shared = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
