@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +37,13 @@ def word_count(c: Column, pattern: str = WORD) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(pattern)), F.lit(0)).cast("long")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
 def text_key(c: Column) -> Column:
     """With the id, tells rows of one document from those of another that has the same id."""
     return F.xxhash64(c)
@@ -64,3 +75,28 @@ def join_uneven(rows: DataFrame, lookup: DataFrame, keys: list[str], uses: str,
     rest = marked.where("__heavy is null").drop("__heavy").join(lookup.where(~heavy).drop(uses), keys, "left")
     names = [*rows.columns, *gained]
     return hot.select(names).unionByName(rest.select(names))
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Table]:
+    """Runs of rows, sorted by their first ``columns`` columns, in whole buckets."""
+    held: list[pa.RecordBatch] = []
+    key = lambda b, i: tuple(b.column(c)[i].as_py() for c in range(columns))
+    for b in batches:
+        if not b.num_rows:
+            continue
+        last = key(b, b.num_rows - 1)
+        if held and key(held[-1], 0) == last and key(b, 0) == last:
+            held.append(b)
+            continue
+        # All before the bucket that is still open at the end of this batch is whole.
+        same = np.ones(b.num_rows, bool)
+        for c, v in enumerate(last):
+            same &= b.column(c).to_numpy(zero_copy_only=False) == v
+        cut_at = int(np.argmax(same))
+        done = [*held, b.slice(0, cut_at)] if cut_at or held and key(held[-1], 0) != last else []
+        if done:
+            yield pa.Table.from_batches(done)
+            held = []
+        held.append(b.slice(cut_at))
+    if held:
+        yield pa.Table.from_batches(held)

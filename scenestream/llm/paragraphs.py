@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_documents, text_key
+from .common import by_bucket, cut, join_documents, text_key
 from .components import roots
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -107,36 +107,11 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return cols.mapInArrow(run, "doc_id long, text_key long, at int, p1 long, p2 long, bands array<long>, pos array<int>, piece array<long>")
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Table]:
-    """Runs of rows, sorted by their first ``columns`` columns, in whole buckets."""
-    held: list[pa.RecordBatch] = []
-    key = lambda b, i: tuple(b.column(c)[i].as_py() for c in range(columns))
-    for b in batches:
-        if not b.num_rows:
-            continue
-        last = key(b, b.num_rows - 1)
-        if held and key(held[-1], 0) == last and key(b, 0) == last:
-            held.append(b)
-            continue
-        # All before the bucket that is still open at the end of this batch is whole.
-        same = np.ones(b.num_rows, bool)
-        for c, v in enumerate(last):
-            same &= b.column(c).to_numpy(zero_copy_only=False) == v
-        cut_at = int(np.argmax(same))
-        done = [*held, b.slice(0, cut_at)] if cut_at or held and key(held[-1], 0) != last else []
-        if done:
-            yield pa.Table.from_batches(done)
-            held = []
-        held.append(b.slice(cut_at))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def colliding(texts: DataFrame) -> DataFrame:
     """``band, value, p1`` of the buckets that hold more than one text, from ``p1, bands``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _by_bucket(batches, 2):
+        for t in by_bucket(batches, 2):
             band, value, p1 = (t[c].to_numpy() for c in ("band", "value", "p1"))
             new = np.concatenate([[True], (band[1:] != band[:-1]) | (value[1:] != value[:-1])])
             more = np.bincount(np.cumsum(new) - 1) > 1
@@ -200,7 +175,7 @@ def similar_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
     sets = found.mapInArrow(extract, "p1 long, p2 long, shingles array<long>")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _by_bucket(batches, 2):
+        for t in by_bucket(batches, 2):
             t = t.combine_chunks()
             band, value = t["band"].to_numpy(), t["value"].to_numpy()
             begin = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (value[1:] != value[:-1])]))
@@ -227,14 +202,17 @@ def node(p1, p2):
     return F.concat(F.lpad(F.hex(p1), 16, "0"), F.lpad(F.hex(p2), 16, "0"))
 
 
-def passages(lines: DataFrame) -> DataFrame:
+def passages(lines: DataFrame, every: DataFrame) -> DataFrame:
     """``doc_id, text_key, n_found, n_gone, found_in``: repeated passages inside the lines that stay.
 
     Pieces are equal or not: one word edited in 25 leaves a similarity below ``SIMILARITY`` but at the ends. The first place
-    of a piece by (doc_id, position) stays. Overlapping and adjacent pieces of a line are one passage.
+    of a piece by (doc_id, position) stays. Overlapping and adjacent pieces of a line are one passage. Only pieces that occur
+    twice among ``every`` paragraph are written.
     """
     spot = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "at", "pos")
-    every = cut(lines.select("doc_id", "text_key", "at", F.explode(F.arrays_zip("pos", "piece")).alias("z")).select("doc_id", "text_key", "at", "z.pos", "z.piece"))
+    twice = every.select(F.explode("piece").alias("piece")).groupBy("piece").agg(F.count("*").alias("n")).where("n > 1").select("piece")
+    spread = lines.select("doc_id", "text_key", "at", F.explode(F.arrays_zip("pos", "piece")).alias("z")).select("doc_id", "text_key", "at", "z.pos", "z.piece")
+    every = cut(spread.join(twice, "piece", "left_semi").select("doc_id", "text_key", "at", "pos", "piece"))
     more = every.groupBy("piece").agg(F.min(spot).alias("kept"), F.max(spot).alias("last")).where("kept != last").drop("last")
     found = every.join(more, "piece").dropDuplicates(["doc_id", "text_key", "at", "pos"]).withColumn("gone", spot != F.col("kept"))
     before = Window.partitionBy("doc_id", "text_key", "at").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -272,7 +250,7 @@ def repeated(docs: DataFrame) -> DataFrame:
         lines(F.when(gone, F.col("spot.at"))).alias("n_removed"),
         F.array_sort(F.collect_set(F.when(gone, F.col("kept.doc_id")))).alias("kept_in"),
     )
-    inside = passages(spots.where(~gone).select("doc_id", "text_key", "spot.at", "pos", "piece"))
+    inside = passages(spots.where(~gone).select("doc_id", "text_key", "spot.at", "pos", "piece"), every)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text_key(F.col("text")), F.lit(0)).alias("text_key"))
     out = join_documents(join_documents(rows, per, "left"), inside, "left")
     total = lambda c, more: (F.coalesce(c, F.lit(0)) + F.coalesce(more, F.lit(0))).cast("long").alias(c)

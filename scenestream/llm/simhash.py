@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_key
+from .common import by_bucket, cut, text_key, unused
 from .components import roots
 
 SEED = 42
@@ -197,10 +197,171 @@ def groups(docs: DataFrame, shingle: int = 3, distance: int = 2, blocks: int = 5
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2, blocks: int = 5) -> DataFrame:
-    """One document of each group, the one with the smallest id (then the smallest text key); all columns as they were."""
-    found = groups(docs, shingle, distance, blocks)
+    """One document of each group, the one with the smallest id (then the smallest text key); all columns as they were.
+
+    A null id is larger than all. Rows that repeat one id and text are one document. Null texts are empty ones, an empty table stays empty.
+    """
+    return _keep_first(docs, groups(docs, shingle, distance, blocks))
+
+
+def _keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")).alias("k")).select("k.doc_id", "k.text_key")
-    marked = docs.withColumn("__key", F.coalesce(text_key(F.col("text")), F.lit(0))).withColumn("__id", F.col("doc_id").cast("long"))
-    first = first.withColumnsRenamed({"doc_id": "__first", "text_key": "__first_key"})
-    on = F.col("__id").eqNullSafe(F.col("__first")) & (F.col("__key") == F.col("__first_key"))
-    return marked.join(first, on, "left_semi").dropDuplicates(["__id", "__key"]).drop("__id", "__key")
+    own_id, own_key, first_id, first_key = (unused(docs, n) for n in ("__id", "__key", "__first", "__first_key"))
+    marked = docs.withColumn(own_key, F.coalesce(text_key(F.col("text")), F.lit(0))).withColumn(own_id, F.col("doc_id").cast("long"))
+    first = first.withColumnsRenamed({"doc_id": first_id, "text_key": first_key})
+    on = F.col(own_id).eqNullSafe(F.col(first_id)) & (F.col(own_key) == F.col(first_key))
+    return marked.join(first, on, "left_semi").dropDuplicates([own_id, own_key]).drop(own_id, own_key)
+
+
+# --- verified by similarity -----------------------------------------------------------------------
+
+# Near copies share this much of their five-word shingles. Their three-word fingerprints then differ in some eight of 64 bits, too many
+# for one fingerprint and few blocks: two fingerprints are looked up, each by all choices of two of seven blocks, and members of a bucket
+# may differ in up to twelve bits. Similarity decides.
+SIMILARITY, WORDS = 0.8, 5
+PRINTS, PRINT_DISTANCE, PRINT_BLOCKS, PRINT_BITS = 2, 5, 7, 12
+SKETCH = "doc_id long, text_key long, node string, n long, " + ", ".join(f"f{i} long" for i in range(PRINTS))
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """Sorted different hashes of the five-word shingles; of fewer words the whole sequence, of none nothing."""
+    ws = text.lower().split()
+    if not ws:
+        return np.empty(0, np.uint64)
+    grams = [b" ".join(ws)] if len(ws) < WORDS else map(b" ".join, zip(*(ws[i:] for i in range(WORDS))))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64))
+
+
+def prints(text: bytes, k: int = 3) -> list[int]:
+    """Fingerprints of the same shingles by ``PRINTS`` independent hashes."""
+    ws = text.lower().split()
+    if not ws:
+        return [0] * PRINTS
+    grams = [b" ".join(ws)] if len(ws) < k else map(b" ".join, zip(*(ws[i:] for i in range(k))))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64)
+    out = []
+    for _ in range(PRINTS):
+        counts = np.zeros(64, np.int64)
+        for s in range(0, len(h), 4096):
+            counts += np.unpackbits(h[s : s + 4096].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * counts > len(h), bitorder="little").view(np.int64)[0]))
+        h = h * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+    return out
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """Per row its key, the name of its shingle set (``node``, 128 bits), the set's size and the fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, sizes, found = [], [], []
+            for t in b.column(2).cast(pa.large_binary()):
+                text = t.as_py() or b""
+                own = shingle_set(text)
+                nodes.append(xxhash.xxh3_128_hexdigest(own.tobytes()))
+                sizes.append(len(own))
+                found.append(prints(text))
+            columns = [pa.array([f[i] for f in found], pa.int64()) for i in range(PRINTS)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(nodes, pa.string()), pa.array(sizes, pa.int64()), *columns], names=[f.split()[0] for f in SKETCH.split(", ")]
+            )
+
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text_key(F.col("text")), F.lit(0)).alias("text_key"), "text")
+    return cols.mapInArrow(run, SKETCH)
+
+
+def _nearest_before(fps: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each member of a bucket the nearest one before it that may be similar: by bits, and by the sizes of their sets."""
+    left, right = [], []
+    for j in range(1, len(fps)):
+        apart = np.bitwise_count(fps[:j] ^ fps[j]).astype(np.int64)
+        small, large = np.minimum(sizes[:j], sizes[j]), np.maximum(sizes[:j], sizes[j])
+        apart[small < SIMILARITY * large] = 65
+        i = int(apart.argmin())
+        if apart[i] <= PRINT_BITS:
+            left.append(i)
+            right.append(j)
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
+def candidates(distinct: DataFrame) -> DataFrame:
+    """``u, v``: pairs of nodes to be verified, from ``node, n, f0 ...``.
+
+    Each node goes to one bucket for each fingerprint and choice of blocks. There it meets all members before it and proposes
+    the nearest one, so a bucket gives no more pairs than members; a pair that is lost in one bucket meets in others, or
+    is joined through a nearer third one.
+    """
+    masks = _masks(PRINT_DISTANCE, PRINT_BLOCKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_bucket(batches, 2):
+            choice, bits = (t[c].to_numpy() for c in ("choice", "bits"))
+            fps, sizes = t["fp"].to_numpy().view(np.uint64), t["n"].to_numpy()
+            start = np.flatnonzero(np.concatenate([[True], (choice[1:] != choice[:-1]) | (bits[1:] != bits[:-1])]))
+            left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for s, e in zip(start.tolist(), np.append(start[1:], len(fps)).tolist()):
+                if e - s > 1:
+                    i, j = _nearest_before(fps[s:e], sizes[s:e])
+                    left.append(i + s)
+                    right.append(j + s)
+            u, v = t["node"].take(pa.array(np.concatenate(left))).combine_chunks(), t["node"].take(pa.array(np.concatenate(right))).combine_chunks()
+            pairs = pa.table([u, v], names=["u", "v"]).group_by(["u", "v"]).aggregate([])  # the same pair meets in many buckets
+            yield from pairs.combine_chunks().to_batches()
+
+    keys = [
+        F.struct(F.lit(i * len(masks) + k).cast("long").alias("choice"), F.col(f"f{i}").bitwiseAND(F.lit(_signed(m))).alias("bits"), F.col(f"f{i}").alias("fp"))
+        for i in range(PRINTS) for k, m in enumerate(masks)
+    ]
+    spread = distinct.select(F.explode(F.array(*keys)).alias("k"), "node", "n").select("k.choice", "k.bits", "k.fp", "node", "n")
+    return spread.repartition("choice", "bits").sortWithinPartitions("choice", "bits", "node").mapInArrow(run, "u string, v string").distinct()
+
+
+def similar(docs: DataFrame, pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Those ``pairs`` whose sets have a Jaccard similarity of ``SIMILARITY`` or more; the sets are made again from one document each."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [shingle_set(t.as_py() or b"").tobytes() for t in b.column(1).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["node", "shingles"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3)):
+                p, q = (np.frombuffer(s.as_buffer() or b"", np.uint64) for s in (x, y))
+                shared = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(shared >= SIMILARITY * (len(p) + len(q) - shared) - 1e-9)
+            yield b.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
+
+    asked = pairs.select("u").union(pairs.select(F.col("v").alias("u"))).distinct()
+    places = distinct.join(asked, distinct["node"] == asked["u"], "left_semi").select("node", "first.doc_id", "first.text_key")
+    texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.coalesce(text_key(F.col("text")), F.lit(0)).alias("k"), "text").dropDuplicates(["d", "k"])
+    found = texts.join(places, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("text_key"))).select("node", "text")
+    made = cut(found.mapInArrow(sets, "node string, shingles binary"))
+    both = pairs.join(made.withColumnsRenamed({"node": "u", "shingles": "a"}), "u").join(made.withColumnsRenamed({"node": "v", "shingles": "b"}), "v")
+    return both.select("u", "v", "a", "b").mapInArrow(judge, "u string, v string")
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_key, root`` for each row: groups of documents connected by pairs of a five-word Jaccard similarity of 0.8 or more.
+
+    SimHash finds the pairs, exact similarity decides. Documents with one set of shingles are one node, whatever the number of copies.
+    Texts of fewer than five words are similar to equal ones only, as are texts without words, null ones among them. Rows may repeat; a
+    null ``doc_id`` is a document like any other; an empty table gives none; other columns are not read.
+    """
+    rows = cut(sketches(docs))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
+    kept = [F.min(c).alias(c) for c in ("n", *(f"f{i}" for i in range(PRINTS)))]
+    distinct = cut(rows.groupBy("node").agg(first, *kept))
+    pairs = cut(candidates(distinct.select("node", "n", *(f"f{i}" for i in range(PRINTS)))))
+    named = roots(similar(docs, pairs, distinct)).withColumnRenamed("node", "member")
+    named = cut(distinct.select("node").join(named, F.col("node") == F.col("member"), "left").select("node", F.coalesce("root", "node").alias("root")))
+    return rows.select("doc_id", "text_key", "node").join(named, "node").select("doc_id", "text_key", "root")
+
+
+def keep_one_similar(docs: DataFrame) -> DataFrame:
+    """One document of each of the ``similar_groups``, chosen as in ``keep_one``; all columns as they were."""
+    return _keep_first(docs, similar_groups(docs))

@@ -51,6 +51,26 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
+def five_words(text):
+    ws = blank_words(text)
+    return frozenset(" ".join(ws[i : i + 5]) for i in range(len(ws) - 4)) if len(ws) >= 5 else frozenset([" ".join(ws)] if ws else [])
+
+
+def similar(a, b):
+    return a == b or len(a & b) >= 0.8 * len(a | b) - 1e-9
+
+
+def similar_groups(rows):
+    """Component (least id) of each document under a five-word Jaccard similarity of 0.8."""
+    held = [(i, five_words(t)) for i, t in rows]
+    sets = Sets()
+    for n, (i, a) in enumerate(held):
+        for j, b in held[:n]:
+            if similar(a, b):
+                sets.join(i, j)
+    return {i: sets.find(i) for i, _ in held}
+
+
 def components(rows, bits):
     prints = [(i, fingerprint(t)) for i, t in rows]
     sets = Sets()

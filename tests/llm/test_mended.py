@@ -6,10 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scenestream.llm import licenses, toxicity
+from scenestream.llm import licenses, simhash, toxicity
 from scenestream.llm.licenses import Template
 from tests.conftest import SF
 
+from . import brute
+
 RNG = random.Random(11)
 
 
@@ -59,3 +61,32 @@ def test_stage_without_labels_keeps_all(spark, tmp_path):
     spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     kept = corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path))
     assert kept.columns == docs.columns and kept.count() == docs.count()
+
+
+def test_near_copies_are_verified(docs_of):
+    """No document goes without a similar one that stays, by all pairs; of those that should go, nine in ten do.
+    Texts that only share a word said many times are not similar."""
+    vocabulary = [f"v{i}" for i in range(400)]
+
+    def prose(n):
+        return [RNG.choice(vocabulary) for _ in range(n)]
+
+    rows = []
+    for base in range(25):
+        ws = prose(RNG.randint(60, 200))
+        for copy in range(RNG.randint(1, 5)):
+            own = list(ws)
+            for _ in range(RNG.randint(0, len(ws) // 45)):
+                own[RNG.randrange(len(own))] = f"edit{RNG.randint(0, 99)}"
+            rows.append((100 * base + copy, " ".join(own).upper() if copy == 2 else " ".join(own)))
+    rows += [(9000 + i, " ".join(["same"] * 300 + prose(60))) for i in range(4)]  # one fingerprint, little in common
+    rows += [(9100, None), (9101, ""), (9102, " \n"), (9103, "a b"), (9104, "A  b"), (9105, "a b c"), (9106, " ".join(prose(30_000)))]
+    docs = docs_of([*rows, rows[0], rows[0]])
+    want = brute.similar_groups(rows)
+    kept = simhash.keep_one_similar(docs.withColumn("__key", F.lit(1)).withColumn("__id", F.lit(2)))
+    assert {"__key", "__id"} <= set(kept.columns)
+    left, due = {r["doc_id"] for r in kept.collect()}, set(want.values())
+    assert kept.count() == len(left) and due <= left and len(left - due) <= 0.1 * (len(rows) - len(due)) and len(due) < len(rows) - 20
+    assert {9100, 9103, 9105, 9106, *range(9000, 9004)} <= left and not {9101, 9102, 9104} & left
+    assert simhash.keep_one_similar(docs_of([])).count() == 0
+    assert sorted(str(r["doc_id"]) for r in simhash.keep_one_similar(docs_of([(None, "x y"), (None, "z"), (3, "x  y")])).collect()) == ["3", "None"]
