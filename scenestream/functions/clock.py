@@ -27,16 +27,15 @@ def ntz_millis(ts: str) -> Column:
 
 
 def in_active_hours(
-    ms: Column, start: str, end: str, days: Sequence[int], zone: Column | str = "UTC"
+    ms: Column, start: str | Column, end: str | Column, days: Sequence[int] | Column, zone: Column | str = "UTC"
 ) -> Column:
-    """Weekday (0 = Monday) and inclusive HH:MM range; a range with start > end passes midnight."""
+    """Weekday (0 = Monday) and inclusive HH:MM range; a range with start > end passes midnight. The limits may be columns (days an array)."""
     t = local_time(ms, zone)
     hhmm = F.date_format(t, "HH:mm")
-    if start <= end:
-        hours = (hhmm >= start) & (hhmm <= end)
-    else:
-        hours = (hhmm >= start) | (hhmm <= end)
-    return hours & F.weekday(t).isin(*[int(d) for d in days])
+    lo, hi = (x if isinstance(x, Column) else F.lit(x) for x in (start, end))
+    hours = F.when(lo <= hi, (hhmm >= lo) & (hhmm <= hi)).otherwise((hhmm >= lo) | (hhmm <= hi))
+    listed = days if isinstance(days, Column) else F.array(*[F.lit(int(d)) for d in days]).cast("array<int>")
+    return hours & F.array_contains(listed, F.weekday(t))
 
 
 def sample_interval(fps: Column, fps_sample: Column) -> Column:

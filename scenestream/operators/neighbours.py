@@ -14,7 +14,7 @@ def near_pairs(
     left: DataFrame,
     right: DataFrame,
     on: Sequence[str],
-    radius: float,
+    radius: float | Column,
     left_at: tuple[str, str],
     right_at: tuple[str, str],
     inclusive: bool = False,
@@ -22,7 +22,8 @@ def near_pairs(
     """Join rows of a frame that lie closer than ``radius`` (adds ``dist``).
 
     Both sides meet in grid cells of twice the radius, so only the surroundings of a point are
-    compared, not the whole frame. Column names of the two sides must differ outside ``on``.
+    compared, not the whole frame. Column names of the two sides must differ outside ``on``, but for the settings (``s_...``) that a
+    radius may be made of; both sides have them, and the left one's stay.
     """
     cell = 2.0 * radius
 
@@ -33,6 +34,7 @@ def near_pairs(
 
     a = left.withColumn("_gx", lo_hi(left_at[0])).withColumn("_gy", lo_hi(left_at[1]))
     b = right.withColumns({"_gx": F.floor(F.col(right_at[0]) / cell), "_gy": F.floor(F.col(right_at[1]) / cell)})
+    b = b.drop(*[c for c in b.columns if c.startswith("s_")])
     p: Point = (F.col(left_at[0]), F.col(left_at[1]))
     q: Point = (F.col(right_at[0]), F.col(right_at[1]))
     pairs = a.join(b, [*on, "_gx", "_gy"]).withColumn("dist", distance(p, q)).drop("_gx", "_gy")

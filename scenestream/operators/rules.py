@@ -9,17 +9,19 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import naming, pose
 from ..schema import PRESENCE_LABELS, VEHICLES, WATCHED_CLASS_IDS
+from ..session import cut
 from .folds import first_in_frame
 from .neighbours import near_pairs
 from .sequence import (
     FRAME,
     ORDER,
+    SLICE,
     confirmed,
     confirmed_unbroken,
     cooldown,
@@ -31,8 +33,17 @@ from .sequence import (
 TRACK = ["camera_id", "track_id"]
 
 
-def seconds(s: float) -> int:
-    return int(round(s * 1000))
+# A setting of a rule: one number for all cameras, or a column with that of each row's camera. Such columns are named ``s_...`` and stay
+# with the rows of their camera.
+Setting = float | Column
+
+
+def seconds(s: Setting) -> int | Column:
+    return F.round(s * 1000).cast("bigint") if isinstance(s, Column) else int(round(s * 1000))
+
+
+def _settings(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c.startswith("s_")]
 
 
 def watch(detections: DataFrame, frames: DataFrame, roi: Sequence[Sequence[float]] | Column | None = None) -> DataFrame:
@@ -61,32 +72,34 @@ class Rule:
     """A rule made of candidates, a confirmation and a cooldown per key.
 
     ``candidates`` maps observations to rows with a boolean ``hit``: one row per observation of the
-    key. Subclass or instantiate to add rules; batch plans come from ``run``.
+    key. Subclass or instantiate to add rules; batch plans come from ``run``. Where the confirmation is a column, ``longest`` is
+    its largest value.
     """
 
     name: str
     candidates: Callable[[DataFrame], DataFrame]
-    confirm: int
-    cooldown_s: float
+    confirm: Setting
+    cooldown_s: Setting
+    longest: int | None = None
     keys: Sequence[str] = field(default_factory=lambda: list(TRACK))
     order: Sequence[str] = tuple(ORDER)
 
     def run(self, obs: DataFrame) -> DataFrame:
-        held = confirmed(self.candidates(obs), self.keys, self.order, "hit", self.confirm).drop("hit")
+        held = confirmed(self.candidates(obs), self.keys, self.order, "hit", self.confirm, self.longest).drop("hit")
         return cooldown(held, self.keys, seconds(self.cooldown_s), order=["det_idx"])
 
 
-def intrusion(obs: DataFrame, confirm: int = 5, cooldown_s: float = 30.0) -> DataFrame:
+def intrusion(obs: DataFrame, confirm: Setting = 5, cooldown_s: Setting = 30.0, longest: int | None = None) -> DataFrame:
     """Foot inside the region in ``confirm`` consecutive processed frames."""
     inside = obs.where((F.col("track_id") >= 0) & F.col("in_roi"))
-    return cooldown(confirmed_unbroken(inside, TRACK, confirm), TRACK, seconds(cooldown_s), order=["det_idx"])
+    return cooldown(confirmed_unbroken(inside, TRACK, confirm, longest=longest), TRACK, seconds(cooldown_s), order=["det_idx"])
 
 
 def presence(
     obs: DataFrame,
     watch_classes: Sequence[int] = WATCHED_CLASS_IDS,
-    cooldown_s: float = 10.0,
-    min_confidence: float = 0.5,
+    cooldown_s: Setting = 10.0,
+    min_confidence: Setting = 0.5,
 ) -> DataFrame:
     """A watched class is seen with enough confidence."""
     seen = tracked(obs).where(F.col("class_id").isin(*watch_classes) & (F.col("confidence") >= min_confidence))
@@ -105,7 +118,7 @@ def visits(obs: DataFrame) -> DataFrame:
     return spells.agg(F.max("frame_ms").alias("end_ms"), F.count("*").alias("n_frames"))
 
 
-def dwell(obs: DataFrame, max_seconds: float = 120.0, confirm: int = 5, cooldown_s: float = 60.0) -> DataFrame:
+def dwell(obs: DataFrame, max_seconds: Setting = 120.0, confirm: Setting = 5, cooldown_s: Setting = 60.0, longest: int | None = None) -> DataFrame:
     """Visible without a break for at least ``max_seconds``."""
 
     def candidates(o: DataFrame) -> DataFrame:
@@ -116,7 +129,7 @@ def dwell(obs: DataFrame, max_seconds: float = 120.0, confirm: int = 5, cooldown
             .withColumns({"dwell_ms": stay, "hit": stay >= seconds(max_seconds)})
         )
 
-    return Rule("dwell", candidates, confirm, cooldown_s).run(obs)
+    return Rule("dwell", candidates, confirm, cooldown_s, longest).run(obs)
 
 
 def steps(obs: DataFrame) -> DataFrame:
@@ -138,26 +151,30 @@ def track_speed(obs: DataFrame) -> DataFrame:
     )
 
 
-def wrong_way(obs: DataFrame, expected: str = "positive", confirm: int = 5, cooldown_s: float = 60.0) -> DataFrame:
+def wrong_way(
+    obs: DataFrame, expected: str | Column = "positive", confirm: Setting = 5, cooldown_s: Setting = 60.0, longest: int | None = None
+) -> DataFrame:
     """Moves against the expected x direction by more than five pixels per step."""
 
     def candidates(o: DataFrame) -> DataFrame:
-        against = F.col("dx") < -5 if expected == "positive" else F.col("dx") > 5
+        right = (expected if isinstance(expected, Column) else F.lit(expected)) == "positive"
+        against = F.when(right, F.col("dx") < -5).otherwise(F.col("dx") > 5)
         return steps(o).withColumn("hit", against).drop("prev")
 
-    return Rule("wrong_way", candidates, confirm, cooldown_s).run(obs)
+    return Rule("wrong_way", candidates, confirm, cooldown_s, longest).run(obs)
 
 
-def speed(obs: DataFrame, max_pixel_speed: float = 100.0, confirm: int = 3, cooldown_s: float = 30.0) -> DataFrame:
+def speed(obs: DataFrame, max_pixel_speed: Setting = 100.0, confirm: Setting = 3, cooldown_s: Setting = 30.0, longest: int | None = None) -> DataFrame:
     return Rule(
         "speed",
         lambda o: track_speed(o).withColumn("hit", F.col("pixel_speed") > max_pixel_speed),
         confirm,
         cooldown_s,
+        longest,
     ).run(obs)
 
 
-def proximity_pairs(obs: DataFrame, min_distance: float = 50.0) -> DataFrame:
+def proximity_pairs(obs: DataFrame, min_distance: Setting = 50.0) -> DataFrame:
     """Person and vehicle of one frame whose feet are closer than ``min_distance``."""
     p, v = _pair_sides(obs)
     return near_pairs(p, v, [*FRAME, "frame_ms"], min_distance, ("p_x", "p_y"), ("v_x", "v_y"))
@@ -176,27 +193,38 @@ def _pair_sides(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.col("class_name").alias(f"{k}_class"),
             F.col("cx").alias(f"{k}_x"),
             F.col("y2").alias(f"{k}_y"),
+            *_settings(rows),
         )
 
     return side(t.where("class_name = 'person'"), "p"), side(t.where(F.col("class_name").isin(*VEHICLES)), "v")
 
 
-def proximity(obs: DataFrame, min_distance: float = 50.0, confirm: int = 3, cooldown_s: float = 30.0) -> DataFrame:
-    """A person and a vehicle stay closer than ``min_distance`` over ``confirm`` shared frames in a row."""
+def proximity(
+    obs: DataFrame, min_distance: Setting = 50.0, confirm: Setting = 3, cooldown_s: Setting = 30.0, longest: int | None = None
+) -> DataFrame:
+    """A person and a vehicle stay closer than ``min_distance`` over ``confirm`` shared frames in a row.
+
+    A frame in which a pair is apart ends its run. It matters only between two slices in which the pair is close, so pairs meet by slice
+    there, and no track brings together all it ever met.
+    """
     keys = ["camera_id", "p_track", "v_track"]
     close = proximity_pairs(obs, min_distance)
-    if confirm > 1:
-        # Frames in which a pair is apart end its run, but only pairs that are ever close matter.
+    if isinstance(confirm, Column) or confirm > 1:
+        close = cut(close)
         p, v = _pair_sides(obs)
-        once = close.select(*keys).distinct()
-        both = p.join(once, ["camera_id", "p_track"]).join(v, [*FRAME, "frame_ms", "v_track"])
+        v = v.drop(*_settings(v))
+        # The slices that can matter to a pair: from one in which it is close up to the next such one.
+        again = F.lead(SLICE).over(Window.partitionBy(*keys).orderBy(SLICE))
+        near = close.select(*keys, SLICE).distinct().withColumn("_to", F.coalesce(again - 1, F.col(SLICE)))
+        near = near.select(*keys, F.explode(F.sequence(SLICE, "_to")).alias(SLICE))
+        both = p.join(near, ["camera_id", SLICE, "p_track"]).join(v, [*FRAME, "frame_ms", "v_track"])
         dist = g.distance((F.col("p_x"), F.col("p_y")), (F.col("v_x"), F.col("v_y")))
         both = both.withColumn("dist", dist).withColumn("hit", F.col("dist") < min_distance)
-        close = confirmed(both, keys, ["frame_ms", "frame_seq", "p_idx", "v_idx"], "hit", confirm).drop("hit")
+        close = confirmed(both, keys, ["frame_ms", "frame_seq", "p_idx", "v_idx"], "hit", confirm, longest).drop("hit")
     return cooldown(close, keys, seconds(cooldown_s), order=["p_idx", "v_idx"])
 
 
-def company(persons: DataFrame, radius: float, extra: Sequence[str] = ()) -> DataFrame:
+def company(persons: DataFrame, radius: Setting, extra: Sequence[str] = ()) -> DataFrame:
     """For each person, how many others of the frame are within ``radius`` and sums of their ``extra``.
 
     A window ordered by x brings up the persons in a vertical strip around each one; only the strip is
@@ -204,20 +232,24 @@ def company(persons: DataFrame, radius: float, extra: Sequence[str] = ()) -> Dat
     """
     frame = ", ".join(FRAME)
     fields = ", ".join(["det_idx", "cx", "cy", *extra])
-    r = repr(float(radius))
-    strip = (
-        f"collect_list(struct({fields})) over (partition by {frame} order by cx "
-        f"range between {r}D preceding and {r}D following)"
-    )
+    cols = persons.columns
+    if isinstance(radius, Column):
+        # A strip has one width in a window, so places are counted in radii, and a rounding error more is looked at.
+        persons, r = persons.withColumn("_r", radius.cast("double")), "_r"
+        span = "order by cx / greatest(_r, 1e-9D) range between 1.000001D preceding and 1.000001D following"
+    else:
+        r = f"{float(radius)!r}D"
+        span = f"order by cx range between {r} preceding and {r} following"
+    strip = f"collect_list(struct({fields})) over (partition by {frame} {span})"
     near = (
         f"filter(_strip, o -> o.det_idx <> det_idx and "
-        f"sqrt((cx - o.cx) * (cx - o.cx) + (cy - o.cy) * (cy - o.cy)) < {r}D)"
+        f"sqrt((cx - o.cx) * (cx - o.cx) + (cy - o.cy) * (cy - o.cy)) < {r})"
     )
     sums = [f"aggregate(_near, 0.0D, (s, o) -> s + o.{e}) as sum_{e}" for e in extra]
     return (
         persons.selectExpr("*", f"{strip} as _strip")
         .selectExpr("*", f"{near} as _near")
-        .selectExpr(*persons.columns, "size(_near) as others", *sums)
+        .selectExpr(*cols, "size(_near) as others", *sums)
     )
 
 
@@ -225,7 +257,7 @@ def _with_head_count(persons: DataFrame) -> DataFrame:
     return persons.selectExpr("*", f"count(1) over (partition by {', '.join(FRAME)}) as heads")
 
 
-def crowd(obs: DataFrame, max_count: int = 5, radius: float = 200.0, confirm: int = 5, cooldown_s: float = 60.0) -> DataFrame:
+def crowd(obs: DataFrame, max_count: Setting = 5, radius: Setting = 200.0, confirm: Setting = 5, cooldown_s: Setting = 60.0) -> DataFrame:
     """More than ``max_count`` persons within ``radius`` of one of them; one firing per frame."""
     full = _with_head_count(_persons(obs)).where(F.col("heads") > max_count)
     flagged = company(full, radius).withColumns(
@@ -259,11 +291,11 @@ def person_motion(obs: DataFrame) -> DataFrame:
 
 def fight(
     obs: DataFrame,
-    radius: float = 150.0,
-    min_speed: float = 60.0,
-    min_persons: int = 2,
-    confirm: int = 3,
-    cooldown_s: float = 30.0,
+    radius: Setting = 150.0,
+    min_speed: Setting = 60.0,
+    min_persons: Setting = 2,
+    confirm: Setting = 3,
+    cooldown_s: Setting = 30.0,
 ) -> DataFrame:
     """A fast person with enough others near; one firing per frame."""
     full = _with_head_count(person_motion(obs)).where(F.col("heads") >= min_persons)
@@ -281,7 +313,7 @@ def fight(
     return first_in_frame(flagged, confirm, seconds(cooldown_s))
 
 
-def fall_signs(obs: DataFrame, ratio_threshold: float = 1.0, min_ratio_change: float = 0.5, min_y_drop: float = 20.0) -> DataFrame:
+def fall_signs(obs: DataFrame, ratio_threshold: Setting = 1.0, min_ratio_change: Setting = 0.5, min_y_drop: Setting = 20.0) -> DataFrame:
     """Person observations that say something about a fall: a static sign, or a frame before to compare with."""
     ratio = g.aspect_ratio(g.box())
     shaped = _persons(obs).withColumn("ratio", ratio)
@@ -303,14 +335,15 @@ def fall_signs(obs: DataFrame, ratio_threshold: float = 1.0, min_ratio_change: f
 
 def fall(
     obs: DataFrame,
-    ratio_threshold: float = 1.0,
-    min_ratio_change: float = 0.5,
-    min_y_drop: float = 20.0,
-    confirm: int = 2,
-    cooldown_s: float = 30.0,
+    ratio_threshold: Setting = 1.0,
+    min_ratio_change: Setting = 0.5,
+    min_y_drop: Setting = 20.0,
+    confirm: Setting = 2,
+    cooldown_s: Setting = 30.0,
+    longest: int | None = None,
 ) -> DataFrame:
     return Rule(
-        "fall", lambda o: fall_signs(o, ratio_threshold, min_ratio_change, min_y_drop), confirm, cooldown_s
+        "fall", lambda o: fall_signs(o, ratio_threshold, min_ratio_change, min_y_drop), confirm, cooldown_s, longest
     ).run(obs)
 
 

@@ -254,8 +254,20 @@ def seamed(
     return main.unionByName(edge).drop("_rn", "_left")
 
 
-def confirmed(obs: DataFrame, keys: Sequence[str], order: Sequence[str], cond: str, n: int) -> DataFrame:
-    """Rows at which ``cond`` has held on the last ``n`` observations of the key in a row."""
+def run_length(cond: Column, win: WindowSpec) -> Column:
+    """Number of rows up to this one on which ``cond`` has held without a break."""
+    at = F.row_number().over(win)
+    broken = F.max(F.when(~cond, F.col("_at"))).over(win.rowsBetween(Window.unboundedPreceding, 0))
+    return at - F.coalesce(broken, F.lit(0))
+
+
+def confirmed(obs: DataFrame, keys: Sequence[str], order: Sequence[str], cond: str, n: int | Column, longest: int | None = None) -> DataFrame:
+    """Rows at which ``cond`` has held on the last ``n`` observations of the key in a row.
+
+    ``n`` may be a column, the same on all rows of a key and ``longest`` at most.
+    """
+    if isinstance(n, Column):
+        return _confirmed_by(obs, list(keys), list(order), cond, n, longest)
     if n <= 1:
         return obs.where(F.col(cond))
     keys, order = list(keys), list(order)
@@ -271,11 +283,24 @@ def confirmed(obs: DataFrame, keys: Sequence[str], order: Sequence[str], cond: s
     return seamed(thin, keys, order, n - 1, runs)
 
 
-def confirmed_unbroken(hits: DataFrame, keys: Sequence[str], n: int, frame: str = "frame_seq", prev: str = "prev_seq") -> DataFrame:
+def _confirmed_by(obs: DataFrame, keys: list[str], order: list[str], cond: str, n: Column, longest: int | None) -> DataFrame:
+    def runs(df: DataFrame, win: WindowSpec) -> DataFrame:
+        counted = df.withColumn("_at", F.row_number().over(win))
+        return counted.withColumn("_run", run_length(F.col(cond), win)).where(F.col(cond) & (F.col("_run") >= n)).drop("_run", "_at")
+
+    # Beyond ``longest`` rows back nothing matters, and a run that seems longer across a gap in the rows near a seam is long enough.
+    return seamed(obs.repartition(*keys, SLICE), keys, order, max(1, (longest or 1) - 1), runs)
+
+
+def confirmed_unbroken(
+    hits: DataFrame, keys: Sequence[str], n: int | Column, frame: str = "frame_seq", prev: str = "prev_seq", longest: int | None = None
+) -> DataFrame:
     """Rows at which the key has been a hit in ``n`` consecutive processed frames.
 
-    ``hits`` holds hit rows only; a frame without a hit row of the key breaks the run.
+    ``hits`` holds hit rows only; a frame without a hit row of the key breaks the run. ``n`` may be a column as in ``confirmed``.
     """
+    if isinstance(n, Column):
+        return _unbroken_by(hits, list(keys), n, frame, prev, longest)
     if n <= 1:
         return hits
     keys = list(keys)
@@ -289,6 +314,16 @@ def confirmed_unbroken(hits: DataFrame, keys: Sequence[str], n: int, frame: str
     return seamed(pinned, keys, ["frame_ms", frame], n - 1, runs)
 
 
+def _unbroken_by(hits: DataFrame, keys: list[str], n: Column, frame: str, prev: str, longest: int | None) -> DataFrame:
+    def runs(df: DataFrame, win: WindowSpec) -> DataFrame:
+        linked = F.coalesce(F.lag(frame).over(win) == F.col(prev), F.lit(False))
+        counted = df.withColumns({"_at": F.row_number().over(win), "_link": linked})
+        # A row without a link starts a run of one.
+        return counted.withColumn("_run", run_length(F.col("_link"), win) + 1).where(F.col("_run") >= n).drop("_run", "_at", "_link")
+
+    return seamed(hits.repartition(*keys, SLICE), keys, ["frame_ms", frame], max(1, (longest or 1) - 1), runs)
+
+
 # --- cooldown -------------------------------------------------------------------------------------
 
 # Slices of one key that are followed in one go.
