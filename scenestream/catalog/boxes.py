@@ -75,7 +75,28 @@ def _motion(spark, sf):
     )
 
 
-@query("boxes_merge")
+# A frame's boxes one by one: ``cur`` grows by the boxes of ``todo`` that are near, the others go to ``apart``; a pass that
+# leaves as many boxes as it found ends it.
+_B = "STRUCT(x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, area DOUBLE)"
+_MERGED = f"""
+  st AS (
+    SELECT camera_id, frame_seq, CAST(NULL AS {_B}) AS cur, boxes AS todo, CAST([] AS {_B}[]) AS apart, CAST([] AS {_B}[]) AS out, len(boxes) AS n, false AS done
+    FROM (SELECT camera_id, frame_seq, list(CAST({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'area': (x2 - x1) * (y2 - y1)}} AS {_B}) ORDER BY det_idx) AS boxes
+      FROM det GROUP BY camera_id, frame_seq)
+    UNION ALL
+    SELECT camera_id, frame_seq,
+      CASE WHEN cur IS NULL THEN b WHEN b IS NULL THEN NULL WHEN near THEN CAST({{'x1': least(cur.x1, b.x1), 'y1': least(cur.y1, b.y1),
+        'x2': greatest(cur.x2, b.x2), 'y2': greatest(cur.y2, b.y2), 'area': cur.area + b.area}} AS {_B}) ELSE cur END,
+      CASE WHEN b IS NOT NULL THEN todo[2:] WHEN cur IS NOT NULL THEN apart ELSE out END,
+      CASE WHEN b IS NULL THEN CAST([] AS {_B}[]) WHEN cur IS NOT NULL AND NOT near THEN list_append(apart, b) ELSE apart END,
+      CASE WHEN b IS NULL AND cur IS NOT NULL THEN list_append(out, cur) WHEN b IS NULL AND len(out) < n THEN CAST([] AS {_B}[]) ELSE out END,
+      CASE WHEN b IS NULL AND cur IS NULL THEN len(out) ELSE n END, b IS NULL AND cur IS NULL AND len(out) = n
+    FROM (SELECT *, cur.x1 - 50 <= b.x2 AND b.x1 - 50 <= cur.x2 AND cur.y1 - 50 <= b.y2 AND b.y1 - 50 <= cur.y2 AS near FROM (SELECT *, todo[1] AS b FROM st WHERE NOT done)))
+  SELECT camera_id, frame_seq, i - 1 AS box_idx, out[i].x1 AS x1, out[i].y1 AS y1, out[i].x2 AS x2, out[i].y2 AS y2, out[i].area AS area
+  FROM (SELECT *, unnest(range(1, len(out) + 1)) AS i FROM st WHERE done)"""
+
+
+@query("boxes_merge", with_views("det", _MERGED, True))
 def boxes_merge(spark, sf):
     return bx.merge_boxes(_motion(spark, sf), 50.0)
 

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,43 +44,42 @@ def merge_sources(sources: Sequence[DataFrame], iou: float = 0.5) -> DataFrame:
     return suppress(union, iou)
 
 
-def _joined(boxes: list[tuple], margin: float) -> list[tuple]:
-    """Grow each box by every later box within the margin, until nothing changes."""
-    while True:
-        rest, out = boxes, []
-        while rest:
-            x1, y1, x2, y2, area = rest[0]
-            apart = []
-            for b in rest[1:]:
-                if x1 - margin <= b[2] and b[0] - margin <= x2 and y1 - margin <= b[3] and b[1] - margin <= y2:
-                    x1, y1, x2, y2, area = min(x1, b[0]), min(y1, b[1]), max(x2, b[2]), max(y2, b[3]), area + b[4]
-                else:
-                    apart.append(b)
-            out.append((x1, y1, x2, y2, area))
-            rest = apart
-        if len(out) == len(boxes):
-            return out
-        boxes = out
+BOX_TYPE = "struct<x1:double,y1:double,x2:double,y2:double,area:double>"
+
+
+def _to_fixpoint(margin: float) -> str:
+    """``boxes`` after each has grown by every later one within the margin, until nothing changes."""
+    m = f"{float(margin)!r}D"
+    near = f"h.hull.x1 - {m} <= b.x2 and b.x1 - {m} <= h.hull.x2 and h.hull.y1 - {m} <= b.y2 and b.y1 - {m} <= h.hull.y2"
+    grown = (
+        "named_struct('x1', least(h.hull.x1, b.x1), 'y1', least(h.hull.y1, b.y1), 'x2', greatest(h.hull.x2, b.x2), "
+        "'y2', greatest(h.hull.y2, b.y2), 'area', h.hull.area + b.area)"
+    )
+    # The first box takes in what is near, in order, and grows as it does; the others stand apart.
+    absorbed = (
+        "aggregate(slice(a.rest, 2, size(a.rest)), named_struct('hull', get(a.rest, 0), 'apart', slice(a.rest, 1, 0)), (h, b) -> "
+        f"if({near}, named_struct('hull', {grown}, 'apart', h.apart), named_struct('hull', h.hull, 'apart', array_append(h.apart, b))))"
+    )
+    once = (
+        "aggregate(sequence(1, size(p.boxes)), named_struct('out', slice(p.boxes, 1, 0), 'rest', p.boxes), (a, k) -> if(size(a.rest) = 0, a, "
+        f"get(transform(array({absorbed}), s -> named_struct('out', array_append(a.out, s.hull), 'rest', s.apart)), 0))).out"
+    )
+    return (
+        "aggregate(sequence(1, size(boxes)), named_struct('boxes', boxes, 'done', false), (p, k) -> if(p.done, p, "
+        f"get(transform(array({once}), o -> named_struct('boxes', o, 'done', size(o) = size(p.boxes))), 0))).boxes"
+    )
 
 
 def merge_boxes(motion: DataFrame, margin: float = 50.0, order: str = "box_idx") -> DataFrame:
     """Merge motion boxes of a frame that lie within ``margin`` of each other.
 
-    Input: camera_id, frame_seq, box_idx, x1..y2, area. Frames travel as rows, so any number of them
-    shares one Arrow batch.
+    Input: camera_id, frame_seq, box_idx, x1..y2, area. The boxes of a frame are one row.
     """
-    per = motion.groupBy(*FRAME).agg(F.expr(f"sort_array(collect_list(struct({order}, x1, y1, x2, y2, area)))").alias("boxes"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for cam, seq, boxes in zip(pdf.camera_id, pdf.frame_seq, pdf.boxes):
-                flat = [(b["x1"], b["y1"], b["x2"], b["y2"], b["area"]) for b in boxes]
-                out += [(cam, seq, i, *m) for i, m in enumerate(_joined(flat, margin))]
-            yield pd.DataFrame(out, columns=["camera_id", "frame_seq", "box_idx", "x1", "y1", "x2", "y2", "area"])
-
-    schema = "camera_id string, frame_seq bigint, box_idx bigint, x1 double, y1 double, x2 double, y2 double, area double"
-    return per.mapInPandas(run, schema)
+    sides = ", ".join(f"'{c}', double({c})" for c in ("x1", "y1", "x2", "y2", "area"))
+    listed = f"transform(sort_array(collect_list(struct({order} as i, named_struct({sides}) as box))), x -> x.box)"
+    per = motion.groupBy(*FRAME).agg(F.expr(f"cast({listed} as array<{BOX_TYPE}>)").alias("boxes"))
+    merged = per.selectExpr(*FRAME, f"posexplode({_to_fixpoint(margin)}) as (box_idx, box)")
+    return merged.selectExpr(*FRAME, "bigint(box_idx) as box_idx", "box.*")
 
 
 def motion_extent(motion: DataFrame, width: int, height: int, margin: int = 50) -> DataFrame:

@@ -54,12 +54,28 @@ def match_boxes(dets: DataFrame, truth: DataFrame, iou: float = 0.5, by_class: b
     return greedy_boxes(iou_pairs(dets, truth, iou, by_class), keys)
 
 
-def match_boxes_at(dets: DataFrame, truth: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
-    """Class-aware matches at several IoU thresholds; overlaps are computed once."""
-    pairs = iou_pairs(dets, truth, min(thresholds), True)
-    levels = F.array(*[F.lit(t) for t in thresholds])
-    each = pairs.withColumn("threshold", F.explode(F.filter(levels, lambda t: t <= F.col("iou"))))
-    return greedy_boxes(each, ["threshold", "image_id", "class_id"])
+def match_levels(dets: DataFrame, truth: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
+    """Class-aware matches at several IoU thresholds: image_id, class_id, det_idx, ``hits`` (a flag for each threshold).
+
+    Overlaps are computed once and boxes are not repeated: an image's boxes are walked through once for each threshold.
+    Detections that match at none of them may be left out.
+    """
+    keys = ["image_id", "class_id"]
+    options = iou_pairs(dets, truth, min(thresholds), True).groupBy(*keys, "det_idx", "confidence").agg(
+        F.expr("sort_array(collect_list(struct(-iou as miss, gt_idx)))").alias("options")
+    )
+    image = options.groupBy(*keys).agg(F.expr("sort_array(collect_list(struct(-confidence as rank, det_idx, options)))").alias("dets"))
+    pick = "get(filter(d.options, o -> -o.miss >= l and not array_contains(a.used, o.gt_idx)), 0)"
+    none = "cast(array() as array<bigint>)"
+    fold = (
+        f"aggregate(dets, named_struct('used', {none}, 'out', {none}), (a, d) -> if({pick} is null, a, "
+        f"named_struct('used', array_append(a.used, {pick}.gt_idx), 'out', array_append(a.out, bigint(d.det_idx))))).out"
+    )
+    levels = ", ".join(f"{float(t)!r}D" for t in thresholds)
+    matched = image.selectExpr(*keys, "dets", f"transform(array({levels}), l -> {fold}) as levels")
+    return matched.selectExpr(
+        *keys, "inline(transform(dets, d -> struct(d.det_idx, transform(levels, m -> array_contains(m, bigint(d.det_idx))) as hits)))"
+    )
 
 
 # --- events ---------------------------------------------------------------------------------------

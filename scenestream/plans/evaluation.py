@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import count_error, with_prf
 from ..operators import curves
-from ..operators.matching import THRESHOLDS, match_boxes, match_boxes_at, match_events
+from ..operators.matching import THRESHOLDS, match_boxes, match_events, match_levels
+from ..operators.sequence import running
 from ..schema import EVENT_TYPES
+from ..session import cut
 
 BACKGROUND = -1
 
@@ -86,7 +88,7 @@ def class_curve(dets: DataFrame, truth: DataFrame) -> DataFrame:
 
 def class_metrics(dets: DataFrame, truth: DataFrame) -> DataFrame:
     """Per class: AP, precision, recall, counts. A class without truth has NULL AP and only false positives."""
-    marks = scored(dets, match_boxes(dets, truth, 0.5, by_class=True))
+    marks = cut(scored(dets, match_boxes(dets, truth, 0.5, by_class=True)))  # read by the curve and by the counts
     counts = truth_counts(truth)
     ap = curves.average_precision(curves.pr_curve(marks, counts, ["class_id"]), ["class_id"])
     found = marks.groupBy("class_id").agg(F.count_if("is_tp").alias("hit"), F.count_if(~F.col("is_tp")).alias("fp"))
@@ -115,17 +117,24 @@ def map50(metrics: DataFrame) -> DataFrame:
 
 
 def map_by_threshold(dets: DataFrame, truth: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
-    """mAP at each IoU threshold."""
+    """mAP at each IoU threshold.
+
+    All thresholds share one order of detections, so their true positives are summed up along one curve. Only a true positive
+    can raise a precision; these alone are then looked at threshold by threshold.
+    """
+    counts = truth_counts(truth)
+    hits = match_levels(dets, truth, thresholds)
+    rows = dets.select("class_id", "image_id", "det_idx", "confidence").join(hits, ["image_id", "class_id", "det_idx"], "left")
+    marked = rows.join(counts.where("gt_count > 0"), "class_id").selectExpr("*", "-confidence as neg_conf")
+    flags = {f"tp_{k}": F.coalesce(F.get("hits", F.lit(k)), F.lit(False)).cast("bigint") for k in range(len(thresholds))}
+    curve = running(marked, ["class_id"], curves.ORDER, {**flags, "rank": F.lit(1).cast("bigint")})
+    each = [F.struct(F.lit(t).alias("threshold"), F.get("hits", F.lit(k)).alias("hit"), F.col(f"tp_{k}").alias("tp")) for k, t in enumerate(thresholds)]
+    points = curve.where("exists(hits, h -> h)").select("class_id", "gt_count", "rank", F.explode(F.filter(F.array(*each), lambda x: x["hit"])).alias("p"))
     key = ["threshold", "class_id"]
-    hits = match_boxes_at(dets, truth, thresholds).select(
-        "threshold", "image_id", "class_id", "det_idx", F.lit(True).alias("is_tp")
-    )
-    levels = F.explode(F.array(*[F.lit(t) for t in thresholds]))
-    rows = dets.select("class_id", "image_id", "det_idx", "confidence", levels.alias("threshold"))
-    marks = rows.join(hits, [*key, "image_id", "det_idx"], "left").withColumn("is_tp", F.coalesce("is_tp", F.lit(False)))
-    counts = truth_counts(truth).withColumn("threshold", levels)
-    ap = curves.average_precision(curves.pr_curve(marks, counts, key), key)
-    return curves.mean_ap(curves.with_all_classes(ap, counts, key), ["threshold"])
+    shaped = points.select("p.threshold", "class_id", (F.col("p.tp") / F.col("rank")).alias("precision"), (F.col("p.tp") / F.col("gt_count")).alias("recall"))
+    ap = curves.average_precision(shaped, key)
+    by_level = counts.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
+    return curves.mean_ap(curves.with_all_classes(ap, by_level, key), ["threshold"])
 
 
 def map50_95(by_threshold: DataFrame) -> DataFrame:
