@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import SPACED_WORD, cut, text_key, word_count
 
@@ -13,7 +14,9 @@ from .common import SPACED_WORD, cut, text_key, word_count
 MOST = 3
 # Documents rounded together; more of them are cut into pieces by hash.
 PIECE = 1_000
-STEPS, TOLERANCE = 40, 1e-10
+STEPS, TOLERANCE = 60, 1e-10
+# A tilt beyond all others, at which every document with words is capped.
+CAPPED = 1e12
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -52,40 +55,43 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFram
 
 
 def tilt(histogram: DataFrame, goals: DataFrame) -> DataFrame:
-    """``source, a, b``: rates ``exp(a + b * u)`` with ``u = size / mean size``, nearest in entropy to taking all once.
+    """``source, mean, b``: rates ``exp(b * u)`` with ``u = size / mean size``, at most ``MOST``, nearest in entropy to taking all once.
 
-    Two constraints a source, words and documents in proportion (so that length keeps its mix), make the dual
-    ``sum exp(a + b u) - a N' - b U'`` convex; each Newton step sums gradient and Hessian over the histogram of
-    sizes, for all sources at once, and damps itself so that it never overshoots. Sources without words keep rate zero.
+    The words of a source are its only constraint, so the dual has one unknown a source and is convex: the words taken grow with
+    ``b``. Each Newton step sums them and their slope over the histogram of sizes, for all sources at once; the cap is part
+    of both. A step that leaves the bracket found so far is replaced by its middle. Sources that take ``MOST`` times their words have no finite
+    ``b`` and get one that caps every document; sources without words have none.
     """
-    mean = F.col("source_size") / F.col("n_docs")
     per_source = histogram.groupBy("source").agg(F.sum("docs").alias("n_docs"), F.sum(F.col("docs") * F.col("size")).cast("double").alias("source_size"))
     goal = goals.select(F.col("source").alias("g_source"), F.col("target"))
+    full = F.col("target") >= F.lit(float(MOST) * (1 - 1e-12)) * F.col("source_size")
     at = cut(
         per_source.join(goal, F.col("source").eqNullSafe(F.col("g_source"))).where("source_size > 0")
-        .select("source", mean.alias("mean"), (F.col("n_docs") * F.col("target") / F.col("source_size")).alias("want_n"), (F.col("target") / mean).alias("want_u"),
-                F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(1.0).alias("gap"))
-    )
+        .select("source", (F.col("source_size") / F.col("n_docs")).alias("mean"), F.col("target").alias("want"), F.when(full, F.lit(CAPPED)).otherwise(0.0).alias("b"),
+                F.lit(-CAPPED).alias("lo"), F.lit(CAPPED).alias("hi"))
+    )
     for _ in range(STEPS):
         t = at.withColumnRenamed("source", "t_source")
         u = F.col("size") / F.col("mean")
-        r = F.col("docs") * F.exp(F.least(F.col("a") + F.col("b") * u, F.lit(30.0)))
+        r = F.least(F.lit(float(MOST)), F.exp(F.least(F.col("b") * u, F.lit(30.0))))
+        words = F.col("docs") * F.col("size") * r
         sums = (
             histogram.join(t, F.col("source").eqNullSafe(F.col("t_source")))
-            .groupBy("source", "mean", "want_n", "want_u", "a", "b")
-            .agg(F.sum(r).alias("h0"), F.sum(r * u).alias("h1"), F.sum(r * u * u).alias("h2"))
+            .groupBy("source", "mean", "want", "b", "lo", "hi")
+            .agg(F.sum(words).alias("taken"), F.sum(F.when(r < MOST, words * u).otherwise(0.0)).alias("slope"))
         )
-        g0, g1 = F.col("h0") - F.col("want_n"), F.col("h1") - F.col("want_u")
-        det = F.col("h0") * F.col("h2") - F.col("h1") * F.col("h1")
-        flat = det <= F.lit(1e-12) * F.col("h0") * F.col("h2")  # all sizes alike: one unknown is enough
-        da = F.when(flat, g0 / F.col("h0")).otherwise((F.col("h2") * g0 - F.col("h1") * g1) / det)
-        db = F.when(flat, F.lit(0.0)).otherwise((F.col("h0") * g1 - F.col("h1") * g0) / det)
-        damp = F.least(F.lit(1.0), F.lit(1.0) / F.greatest(F.abs(da) + F.abs(db), F.lit(1e-300)))
-        at = cut(sums.select("source", "mean", "want_n", "want_u", (F.col("a") - damp * da).alias("a"), (F.col("b") - damp * db).alias("b"),
-                             (F.abs(g0) / F.greatest("want_n", F.lit(1e-300)) + F.abs(g1) / F.greatest("want_u", F.lit(1e-300))).alias("gap")))
+        gap = F.col("taken") - F.col("want")
+        lo, hi = F.when(gap < 0, F.col("b")).otherwise(F.col("lo")), F.when(gap > 0, F.col("b")).otherwise(F.col("hi"))
+        newton = F.col("b") - gap / F.col("slope")
+        # A bracket that is still open on one side is closed by doubling.
+        open_ = F.greatest(F.lit(-CAPPED), F.least(F.lit(CAPPED), F.col("b") * 2 - F.signum(gap)))
+        middle = F.when((lo > -CAPPED) & (hi < CAPPED), (lo + hi) / 2).otherwise(open_)
+        inside = (F.col("slope") > 0) & (newton > lo) & (newton < hi) & (F.abs(newton - F.col("b")) <= 4 + 2 * F.abs("b"))
+        step = F.when(F.abs(gap) <= TOLERANCE * F.col("want"), F.col("b")).when(inside, newton).otherwise(middle)
+        at = cut(sums.select("source", "mean", "want", step.alias("b"), lo.alias("lo"), hi.alias("hi"), (F.abs(gap) / F.col("want")).alias("gap")))
         if (at.agg(F.max("gap")).first()[0] or 0.0) <= TOLERANCE:
             break
-    return at.select("source", "mean", "a", "b")
+    return at.select("source", "mean", "b")
 
 
 def _round(rows: DataFrame) -> DataFrame:
@@ -121,8 +127,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     tilts = tilt(histogram, goals)
     per = goals.join(tilts.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source")), "left")
     per = per.join(totals.select(F.col("source").alias("n_source"), "n"), F.col("source").eqNullSafe(F.col("n_source")))
-    per = cut(per.select(F.col("source").alias("p_source"), "source_size", "target", "mean", "a", "b", "n"))
-    rate = F.least(F.lit(float(MOST)), F.exp(F.col("a") + F.col("b") * F.col("size") / F.col("mean")))
+    per = cut(per.select(F.col("source").alias("p_source"), "source_size", "target", "mean", "b", "n"))
+    rate = F.least(F.lit(float(MOST)), F.exp(F.least(F.col("b") * F.col("size") / F.col("mean"), F.lit(30.0))))
     pieces = F.ceil(F.col("n") / PIECE).cast("long")
     asked = rows.join(per, F.col("source").eqNullSafe(F.col("p_source"))).select(
         "doc_id", "text_key", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce(rate, F.lit(0.0))).otherwise(0.0).alias("rate"),
@@ -134,7 +140,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
 def repeat_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), copy: str = "copy") -> DataFrame:
     """The mixed corpus: each document as many times as it was given copies, with all its columns, and ``copy`` from 1.
 
-    A column of that name is replaced.
+    A column of that name is replaced. Rows that repeat share the copies of all of them, the remainder goes to the first by a hash of all
+    columns. Null texts and texts without words have no copies; an empty table stays empty.
     """
     docs = docs.drop(copy)
     keys = ["__id", "__key", "__source", "__no_source"]
@@ -146,7 +153,8 @@ def repeat_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), copy
     n = keyed(mix(docs, weights), F.col("text_key")).groupBy(keys).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
     # Rows that repeat share their copies: all but the remainder alike, the remainder to the first.
     each = F.floor(F.col("__copies") / F.col("__rows"))
-    nth = F.row_number().over(Window.partitionBy(keys).orderBy(F.lit(0)))
+    columns = F.xxhash64(*[F.to_json(F.struct(c)) if isinstance(docs.schema[c].dataType, T.MapType) else F.col(c) for c in docs.columns])
+    nth = F.row_number().over(Window.partitionBy(keys).orderBy(columns))
     found = keyed(docs, F.coalesce(text_key(F.col("text")), F.lit(0))).join(n, keys).withColumn("__nth", nth)
     found = found.withColumn("__n", (each + (F.col("__nth") <= F.col("__copies") - each * F.col("__rows")).cast("long")).cast("int")).where("__n > 0")
     return found.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias(copy))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scenestream.llm import licenses, simhash, toxicity
+from scenestream.llm import licenses, mixing, simhash, toxicity
 from scenestream.llm.licenses import Template
 from tests.conftest import SF
 
@@ -90,3 +90,22 @@ def test_near_copies_are_verified(docs_of):
     assert {9100, 9103, 9105, 9106, *range(9000, 9004)} <= left and not {9101, 9102, 9104} & left
     assert simhash.keep_one_similar(docs_of([])).count() == 0
     assert sorted(str(r["doc_id"]) for r in simhash.keep_one_similar(docs_of([(None, "x y"), (None, "z"), (3, "x  y")])).collect()) == ["3", "None"]
+
+
+def test_rates_are_tilted_by_size(spark, docs_of):
+    """Rates differ within a source as exp(b * size), totals meet their targets, saturated sources take three times all."""
+    import math
+
+    rows = [(i, "w " * RNG.choice([3, 10, 40, 200]), "abcd"[i % 4] if i % 7 else "d") for i in range(800)] + [(900 + i, "w " * 5, "small") for i in range(4)]
+    got = mixing.mix(docs_of(rows), (1, 2, 3)).collect()
+    for source in "abcd":
+        own = [r for r in got if r["source"] == source]
+        rates = {r["size"]: r["rate"] for r in own}
+        assert len(rates) == len(set(rates.values())) == 4
+        tilts = [math.log(v) / n for n, v in rates.items() if v < 3]
+        assert max(tilts) - min(tilts) < 1e-6 * abs(tilts[0]) and abs(tilts[0]) > 1e-6
+        target = own[0]["target"]
+        assert abs(sum(r["rate"] * r["size"] for r in own) - target) <= 1e-6 * target
+        assert abs(sum(r["copies"] * r["size"] for r in own) - target) <= 300
+    small = [r for r in got if r["source"] == "small"]
+    assert all(r["rate"] == 3 == r["copies"] for r in small)
