@@ -285,6 +285,40 @@ def match_events(spark, sf):
     return matching.match_events(pr, tr, ev.EVENT_KEYS, TOL).drop("dist")
 
 
+_MISSES = (
+    _EM
+    + """, ms AS (
+    SELECT video, type, sub_type, 'fp' AS kind, pred_idx AS idx, t FROM sp
+      WHERE EXISTS (SELECT 1 FROM st WHERE st.video = sp.video AND st.type = sp.type AND st.sub_type = sp.sub_type)
+        AND NOT EXISTS (SELECT 1 FROM em WHERE em.video = sp.video AND em.type = sp.type AND em.sub_type = sp.sub_type AND em.pred_idx = sp.pred_idx)
+    UNION ALL
+    SELECT video, type, sub_type, 'fn', gt_idx, coalesce(t_start, time_sec) FROM st
+      WHERE NOT EXISTS (SELECT 1 FROM em WHERE em.video = st.video AND em.type = st.type AND em.sub_type = st.sub_type AND em.gt_idx = st.gt_idx))"""
+)
+
+
+def _misses(spark, sf):
+    return ev.event_misses(p.predicted_events(spark, sf), p.truth_events(spark, sf), TOL)
+
+
+@query("event_misses", with_views("pred truth", _MISSES + "SELECT * FROM ms", True))
+def event_misses(spark, sf):
+    return _misses(spark, sf)
+
+
+@query(
+    "report_details",
+    with_views(
+        "pred truth",
+        _MISSES + """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video, type, sub_type, kind ORDER BY t, idx) AS rank FROM ms) WHERE rank <= 20""",
+        True,
+    ),
+)
+def report_details(spark, sf):
+    """The first 20 false positives and negatives of each rule, as a report shows them."""
+    return ev.detail_items(_misses(spark, sf), [*ev.EVENT_KEYS, "kind"], ["t", "idx"])
+
+
 _ER = (
     _EM
     + """, mk AS (SELECT video, type, sub_type, sum(g) AS gt, sum(p) AS pr, sum(m) AS tp FROM (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import count_error, with_prf
@@ -190,6 +190,24 @@ def unmatched(rows: DataFrame, matches: DataFrame, keys: Sequence[str], idx: str
     return rows.join(matches.select(*keys, idx), [*keys, idx], "left_anti")
 
 
+def event_misses(
+    pred: DataFrame, truth: DataFrame, tolerance: float, types: Sequence[str] = ("intrusion", "presence", "anomaly")
+) -> DataFrame:
+    """Events without a partner: video, type, sub_type, ``kind`` (``fp`` or ``fn``), ``idx`` (pred_idx or gt_idx) and their time ``t``.
+
+    As in the scores, predictions of a rule without truth in a video are no false positives.
+    """
+    p = _scoped(pred.where(F.col("type").isin(*types)))
+    t = _scoped(truth.where(F.col("type").isin(*types)))
+    m = cut(match_events(p, t, EVENT_KEYS, tolerance))
+    extra = unmatched(p.join(t.select(*EVENT_KEYS).distinct(), EVENT_KEYS, "left_semi"), m, EVENT_KEYS, "pred_idx")
+    missed = unmatched(t, m, EVENT_KEYS, "gt_idx")
+    at = F.coalesce("t_start", "time_sec")
+    return extra.select(*EVENT_KEYS, F.lit("fp").alias("kind"), F.col("pred_idx").alias("idx"), "t").unionByName(
+        missed.select(*EVENT_KEYS, F.lit("fn").alias("kind"), F.col("gt_idx").alias("idx"), at.alias("t"))
+    )
+
+
 def evaluate_tripwire(pred: DataFrame, truth: DataFrame, tolerance: float) -> DataFrame:
     """Scores per video and wire, with direction accuracy, and per video over its wires ("overall")."""
     keys = ["video", "tripwire_id"]
@@ -256,12 +274,10 @@ def report_overview(metrics: DataFrame, types: Sequence[str] = EVENT_TYPES) -> D
     )
 
 
-def detail_items(rows: DataFrame, keys: Sequence[str], order: str, limit: int = 20) -> DataFrame:
-    """First ``limit`` detail rows of each metric (a report shows no more)."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys).orderBy(order)
-    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
+def detail_items(rows: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int = 20) -> DataFrame:
+    """First ``limit`` detail rows of each metric (a report shows no more), numbered by ``rank``."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
 def report_json(class_rows: DataFrame, rule_rows: DataFrame) -> DataFrame:
