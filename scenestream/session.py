@@ -44,11 +44,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+# Removes the shuffle files of an execution when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Write a result to the shared folder and read it again: it is computed once and survives lost executors."""
+    """Write a result to the shared folder and read it again: it is computed once and survives lost executors.
+
+    Nothing reads the shuffle files behind a written table again, so they go as soon as it is written.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
