@@ -29,6 +29,7 @@ def conversations():
     rows += [(300, None, None, None), (300, 1, "a", None), (300, 1, None, "a"), (300, 1, None, "a"), (301, None, "", ""), (-5, 0, "user", "below zero"), (-40, 1, "u", "x")]
     rows += [(None, 0, "user", "nobody's"), (None, None, None, None)]
     rows += [(400, t, "user", f"long {t % 7}") for t in range(900)]
+    rows += [(505 + i, 0, "user", "nothing to borrow") for i in range(12)]  # their group's first one is absent
     return rows
 
 
@@ -146,7 +147,7 @@ def test_gradient():
         for i in np.ndindex(t.shape):
             near = []
             for step in (1e-5, -1e-5):
-                moved = {n: v.copy() for n, v in w.items()}
+                moved = {n: np.array(v) for n, v in w.items()}
                 moved[k][i] += step
                 near.append(quality.loss_and_gradient(moved, x, first, y, weight)[0])
             assert abs((near[0] - near[1]) / 2e-5 - grad[k][i]) < 1e-6
