@@ -26,7 +26,7 @@ def test_against_sql(spark, name):
 
 def test_one_query_for_each_operator():
     names = set(entry_module.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
 
 
 def test_pipeline(spark):
