@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from scenestream.operators import datasets, quality, rules
+from scenestream.operators import datasets, quality, rules, tripwire
 from scenestream.plans import evaluation
 from scenestream.sources import labels, readers, sinks
 
@@ -59,3 +59,13 @@ def test_long_lineage_and_circles(spark):
     up = datasets.lineage(spark.createDataFrame(chain, "model_id bigint, parent_id bigint"))
     assert up.where("model_id = 150").agg(F.count("*"), F.max("steps")).first() == (150, 150)
     assert sorted((r.ancestor_id, r.steps) for r in up.where("model_id = 1000").collect()) == [(1000, 2), (1001, 1)]
+
+
+def test_a_tracked_crossing_silences_the_next_slice(short_slices):
+    def rows(ms):
+        return [("c", "w", "car", ms // 3000, ms // 200, ms, 1, 2000)]
+
+    schema = "camera_id string, tripwire_id string, class_name string, slice bigint, frame_seq bigint, frame_ms bigint, det_idx bigint, cooldown_ms bigint"
+    tracked = short_slices.createDataFrame(rows(5800), schema)
+    firsts = short_slices.createDataFrame(rows(6200) + rows(7800), schema)
+    assert [r.frame_ms for r in tripwire._silenced(firsts, tracked, ["camera_id", "tripwire_id", "class_name"]).collect()] == [7800]
