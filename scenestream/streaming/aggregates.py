@@ -32,7 +32,9 @@ def flow_windows(crossings: DataFrame, width: str = "60 seconds", slide: str | N
 
 def sessions(rows: DataFrame, gap: str = "10 seconds", keys: Sequence[str] = ("camera_id", "track_id")) -> DataFrame:
     """Start, end and number of rows of each key's sessions: rows less than ``gap`` apart. Sessions that a late row joins are merged."""
-    out = rows.groupBy(*keys, F.session_window("ts", gap).alias("s")).agg(F.min("ts").alias("_from"), F.max("ts").alias("_to"), F.count(F.lit(1)).alias("n"))
+    # Session windows that touch are merged: a microsecond less keeps rows apart that are exactly ``gap`` from each other.
+    shorter = F.expr(f"cast('{gap}' as interval) - cast('1 microsecond' as interval)")
+    out = rows.groupBy(*keys, F.session_window("ts", shorter).alias("s")).agg(F.min("ts").alias("_from"), F.max("ts").alias("_to"), F.count(F.lit(1)).alias("n"))
     return out.select(*keys, F.unix_millis("_from").alias("start_ms"), F.unix_millis("_to").alias("end_ms"), "n")
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from scenestream.operators import datasets, quality, rules, tripwire
 from scenestream.plans import evaluation
 from scenestream.sources import labels, readers, sinks
+from scenestream.streaming import aggregates
 
 
 def test_label_rows_read_back(spark, scratch):
@@ -69,3 +70,9 @@ def test_a_tracked_crossing_silences_the_next_slice(short_slices):
     tracked = short_slices.createDataFrame(rows(5800), schema)
     firsts = short_slices.createDataFrame(rows(6200) + rows(7800), schema)
     assert [r.frame_ms for r in tripwire._silenced(firsts, tracked, ["camera_id", "tripwire_id", "class_name"]).collect()] == [7800]
+
+
+def test_rows_a_whole_gap_apart_are_two_sessions(spark):
+    rows = spark.createDataFrame([("c", 1, 0), ("c", 1, 2999), ("c", 1, 5999)], "camera_id string, track_id bigint, frame_ms bigint")
+    got = aggregates.sessions(rows.withColumn("ts", F.timestamp_millis("frame_ms")), "3 seconds").collect()
+    assert sorted((r.start_ms, r.end_ms, r.n) for r in got) == [(0, 2999, 2), (5999, 5999, 1)]
