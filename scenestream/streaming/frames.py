@@ -12,14 +12,23 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import ArrayType, MapType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, MapType, StructField, StructType
 
 from ..operators.sequence import FRAME_SLACK_MS
 from .ordered import STATE_STORE
 
+# Event time of one block of waiting rows, rows held before they go to their blocks, and rows put out at a time.
+SPAN_MS = 30_000
+HELD_ROWS = 200_000
+OUT_ROWS = 10_000
+
 MEMORY_KEY = "part string, id bigint, name string"
 Key = tuple[str, int, str]
 
@@ -36,24 +45,55 @@ class Memory:
     """What a judge remembers of one camera, by (part, id, name). Every entry carries ``seen``, the time of its last change."""
 
     def __init__(self, entries: dict[Key, dict]):
-        self.entries, self.changed, self.gone = entries, set(), set()
+        self.entries, self.stored, self.changed, self.gone = {}, set(entries), set(), set()
+        self.runs: dict[tuple[str, int], set[str]] = {}  # names of the entries with a run, by part and id
+        self.parts: dict[str, set[Key]] = {}
+        for key, entry in entries.items():
+            self._enter(key, entry)
+
+    def _enter(self, key: Key, entry: dict) -> None:
+        if key not in self.entries:
+            self.parts.setdefault(key[0], set()).add(key)
+        self.entries[key] = entry
+        if entry.get("run"):
+            self.runs.setdefault(key[:2], set()).add(key[2])
+        else:
+            self._end_run(key)
+
+    def _end_run(self, key: Key) -> None:
+        names = self.runs.get(key[:2])
+        if names is not None:
+            names.discard(key[2])
+            if not names:
+                del self.runs[key[:2]]
 
     def get(self, part: str, id: int = 0, name: str = "") -> dict | None:
         return self.entries.get((part, id, name))
 
     def put(self, ms: int, part: str, id: int = 0, name: str = "", /, **values: Any) -> None:
         key = (part, id, name)
-        self.entries[key] = {**values, "seen": ms}
+        self._enter(key, {**values, "seen": ms})
         self.changed.add(key)
         self.gone.discard(key)
 
     def drop(self, key: Key) -> None:
-        self.entries.pop(key, None)
+        if self.entries.pop(key, None) is not None:
+            self.parts[key[0]].discard(key)
+            self._end_run(key)
         self.changed.discard(key)
-        self.gone.add(key)
+        if key in self.stored:
+            self.gone.add(key)
 
     def part(self, part: str) -> list[tuple[Key, dict]]:
-        return [(k, e) for k, e in self.entries.items() if k[0] == part]
+        return [(k, self.entries[k]) for k in self.parts.get(part, ())]
+
+    def running(self, part: str) -> list[tuple[Key, dict]]:
+        """The entries of a part with a run."""
+        found = [(*k, name) for k, names in self.runs.items() if k[0] == part for name in names]
+        return [(k, self.entries[k]) for k in found]
+
+    def running_names(self, part: str, id: int) -> Iterable[str]:
+        return self.runs.get((part, id), ())
 
     def forget(self, before: int) -> list[tuple[Key, dict]]:
         old = [(k, e) for k, e in self.entries.items() if e["seen"] < before]
@@ -79,87 +119,135 @@ class Judge:
 
 
 class FrameByFrame(StatefulProcessor):
-    def __init__(self, judge: Judge, row_schema: StructType, out_names: list[str], slack_ms: int):
-        self.judge, self.row_schema, self.out_names, self.slack_ms = judge, row_schema, out_names, slack_ms
+    """Rows wait in blocks by span of event time, and spans are judged one after the other, as if the watermark had reached their ends
+    one by one: neither the rows that wait nor what is remembered meet in memory, however much comes in one batch."""
+
+    def __init__(self, judge: Judge, row_schema: StructType, out_schema: StructType, slack_ms: int):
+        self.judge, self.slack_ms = judge, slack_ms
         self.columns = row_schema.names
+        self.row_schema, self.out_schema = to_arrow_schema(row_schema), to_arrow_schema(out_schema)
         # Parsed here: workers have no Spark context to parse them with.
         self.key_schema = StructType.fromDDL(MEMORY_KEY)
         self.memory_schema = StructType.fromDDL(judge.state + ", seen bigint")
         self.last_schema = StructType.fromDDL("seq bigint, ms bigint")
+        self.span_schema, self.parts_schema = StructType.fromDDL("span bigint"), StructType.fromDDL("parts bigint")
+        self.block_key, self.block_schema = StructType.fromDDL("span bigint, part bigint"), StructType.fromDDL("rows binary")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.row_schema)
+        self.spans = handle.getMapState("spans", self.span_schema, self.parts_schema)
+        self.blocks = handle.getMapState("blocks", self.block_key, self.block_schema)
         self.memory = handle.getMapState("memory", self.key_schema, self.memory_schema)
         self.last = handle.getValueState("last", self.last_schema)
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        items = [tuple(r[c] for c in self.columns) for r in rows]
-        if items:
-            self.waiting.appendList(items)
-            self._wake(items)
-        return iter(())
-
-    def _wake(self, items: list[tuple]) -> None:
-        """A timer for the earliest of the waiting rows: when its frame can be closed, or no frame can come for it any more."""
-        ms, det = self.columns.index("frame_ms"), self.columns.index("det_idx")
-        self.handle.registerTimer(min(i[ms] + (2 if i[det] < 0 else 3) * self.slack_ms for i in items) + 1)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held, n, due = [], 0, None
+        for pdf in rows:
+            if not len(pdf):
+                continue
+            held.append(pa.RecordBatch.from_pandas(pdf[self.columns], schema=self.row_schema, preserve_index=False))
+            n += len(pdf)
+            ready = pdf["frame_ms"] + self.slack_ms * np.where(pdf["det_idx"] < 0, 2, 3) + 1
+            due = int(ready.min()) if due is None else min(due, int(ready.min()))
+            if n >= HELD_ROWS:
+                self._wait(held)
+                held, n = [], 0
+        if held:
+            self._wait(held)
+        if due is not None:
+            self.handle.registerTimer(due)
+        yield pd.DataFrame()
+
+    def _wait(self, held: list[pa.RecordBatch]) -> None:
+        """Put rows into the blocks of their spans."""
+        rows = pa.Table.from_batches(held).combine_chunks()
+        span = rows["frame_ms"].to_numpy() // SPAN_MS
+        order = np.argsort(span, kind="stable")
+        rows, span = rows.take(pa.array(order)), span[order]
+        starts = np.flatnonzero(np.concatenate([[True], span[1:] != span[:-1]]))
+        for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(span)]):
+            s = int(span[at])
+            known = self.spans.getValue((s,)) if self.spans.containsKey((s,)) else None
+            part = known[0] if known else 0
+            block = rows.slice(at, end - at).combine_chunks().to_batches()[0]
+            self.blocks.updateValue((s, part), (block.serialize().to_pybytes(),))
+            self.spans.updateValue((s,), (part + 1,))
+
+    def _taken(self, span: int, parts: int) -> list[dict]:
+        """The rows of a span, which leave their blocks."""
+        rows = []
+        for part in range(parts):
+            rows += pa.ipc.read_record_batch(pa.py_buffer(bytes(self.blocks.getValue((span, part))[0])), self.row_schema).to_pylist()
+            self.blocks.removeKey((span, part))
+        self.spans.removeKey((span,))
+        return rows
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        frames, rest = self._closed(now)
+        spans = sorted((k[0], v[0]) for k, v in self.spans.iterator())
+        later = min((s for s, _ in spans if s * SPAN_MS > now), default=None)
+        spans = [s for s in spans if s[0] * SPAN_MS <= now]
         last = self.last.get() if self.last.exists() else None
         seq, ms = last if last else (None, None)
         names = self.memory_schema.names
         memory = Memory({tuple(k): dict(zip(names, v)) for k, v in self.memory.iterator()})
-        out = []
-        for marker, rows in frames:
-            frame = Frame(marker["frame_seq"], marker["frame_ms"], seq, ms)
-            out += self.judge.frame(frame, rows, memory)
-            seq, ms = frame.seq, frame.ms
-        # Frames are judged up to here, so what was seen ``keep_ms`` before cannot be asked for in time.
-        judged = now - 2 * self.slack_ms
-        for gone, was in sorted(memory.forget(judged - self.judge.keep_ms), key=lambda e: e[0]):
-            out += self.judge.forgotten(gone, was)
-        self._store(memory, names, seq, ms, judged)
-        if rest:
-            self.waiting.put(rest)
-            self._wake(rest)
-        elif frames or self.waiting.exists():
-            self.waiting.clear()
-        own = {"camera_id": key[0]}
-        return iter([Row(**{n: o.get(n, own.get(n)) for n in self.out_names}) for o in out])
-
-    def _closed(self, now: int) -> tuple[list[tuple[dict, list[dict]]], list[tuple]]:
+        own, waiting, out = {"camera_id": key[0]}, [], []
+        # The end is a step of its own where nothing waits: what is remembered may be old by now.
+        steps = [(*s, min(now, n * SPAN_MS - 1)) for s, (n, _) in zip(spans, spans[1:])] + [(*(spans[-1] if spans else (0, 0)), now)]
+        for span, parts, until in steps:
+            waiting += self._taken(span, parts) if parts else []
+            frames, waiting = self._closed(waiting, until)
+            for marker, rows in frames:
+                frame = Frame(marker["frame_seq"], marker["frame_ms"], seq, ms)
+                out += self.judge.frame(frame, rows, memory)
+                seq, ms = frame.seq, frame.ms
+            # Frames are judged up to here, so what was seen ``keep_ms`` before cannot be asked for in time.
+            for gone, was in sorted(memory.forget(until - 2 * self.slack_ms - self.judge.keep_ms), key=lambda e: e[0]):
+                out += self.judge.forgotten(gone, was)
+            if len(out) >= OUT_ROWS:
+                yield self._rows(out, own)
+                out = []
+        self._store(memory, names, seq, ms, now - 2 * self.slack_ms)
+        if waiting:
+            self._wait([pa.RecordBatch.from_pylist(waiting, schema=self.row_schema)])
+            self.handle.registerTimer(min(r["frame_ms"] + (2 if r["det_idx"] < 0 else 3) * self.slack_ms for r in waiting) + 1)
+        if later is not None:
+            self.handle.registerTimer(max(later * SPAN_MS + 2 * self.slack_ms, now) + 1)
+        yield self._rows(out, own)
+
+    def _rows(self, out: list[dict], own: dict) -> pd.DataFrame:
+        shaped = [{n: o.get(n, own.get(n)) for n in self.out_schema.names} for o in out]
+        # Whole numbers with gaps stay whole numbers.
+        return pa.Table.from_pylist(shaped, schema=self.out_schema).to_pandas(integer_object_nulls=True) if shaped else pd.DataFrame()
+
+    def _closed(self, waiting: list[dict], now: int) -> tuple[list[tuple[dict, list[dict]]], list[dict]]:
         """Processed frames that are complete, in order of time, with their detections; and the rows that wait on."""
-        waiting = [dict(zip(self.columns, r)) for r in self.waiting.get()] if self.waiting.exists() else []
-        markers = defaultdict(list)
-        for r in waiting:
+        markers, found = defaultdict(list), {}
+        for i, r in enumerate(waiting):
             if r["det_idx"] < 0:
-                r["_rows"] = []
-                markers[r["frame_seq"]].append(r)
+                markers[r["frame_seq"]].append((r, i))
+                found[i] = []
         rest = []
         for r in waiting:
             if r["det_idx"] >= 0:
-                near = [m for m in markers[r["frame_seq"]] if abs(m["frame_ms"] - r["frame_ms"]) <= self.slack_ms]
-                home = min(near, key=lambda m: (abs(m["frame_ms"] - r["frame_ms"]), -m["frame_ms"]), default=None)
-                if home and home["frame_ms"] + 2 * self.slack_ms <= now:
-                    home["_rows"].append(r)
+                near = [m for m in markers[r["frame_seq"]] if abs(m[0]["frame_ms"] - r["frame_ms"]) <= self.slack_ms]
+                home = min(near, key=lambda m: (abs(m[0]["frame_ms"] - r["frame_ms"]), -m[0]["frame_ms"]), default=None)
+                if home and home[0]["frame_ms"] + 2 * self.slack_ms <= now:
+                    found[home[1]].append(r)
                 elif home or r["frame_ms"] + 3 * self.slack_ms > now:
-                    rest.append(tuple(r[c] for c in self.columns))
+                    rest.append(r)
         closed = []
-        for m in sorted((m for same in markers.values() for m in same), key=lambda m: (m["frame_ms"], m["frame_seq"])):
+        for m, i in sorted((m for same in markers.values() for m in same), key=lambda m: (m[0]["frame_ms"], m[0]["frame_seq"])):
             if m["frame_ms"] + 2 * self.slack_ms > now:
-                rest.append(tuple(m[c] for c in self.columns))
+                rest.append(m)
             elif m["has_motion"]:
-                rows = sorted(m["_rows"], key=lambda r: r["det_idx"])
+                rows = sorted(found[i], key=lambda r: r["det_idx"])
                 closed.append((m, [{**r, "frame_ms": m["frame_ms"]} for r in rows]))
         return closed, rest
 
     def _store(self, memory: Memory, names: list[str], seq: int | None, ms: int | None, judged: int) -> None:
         for k in memory.gone:
-            if self.memory.containsKey(k):
-                self.memory.removeKey(k)
+            self.memory.removeKey(k)
         for k in memory.changed:
             self.memory.updateValue(k, tuple(memory.entries[k].get(n) for n in names))
         until = self.judge.keep_ms + 2 * self.slack_ms + 1
@@ -181,7 +269,11 @@ def with_markers(detections: DataFrame, frames: DataFrame, delay: str = "10 seco
     Streams without a watermark get one here, over both kinds of rows, so a quiet region or class does not hold up the time.
     """
     marks = frames.select("camera_id", "frame_seq", "frame_ms", F.lit(-1).cast("bigint").alias("det_idx"), "has_motion", *(["ts"] if "ts" in frames.columns else []))
-    both = detections.drop("keypoints").withColumn("has_motion", F.lit(None).cast("boolean")).unionByName(marks, allowMissingColumns=True)
+    plain = detections.drop("keypoints")
+    # Whole numbers without gaps stay whole on their way through pandas.
+    missing = [f.name for f in plain.schema if isinstance(f.dataType, (IntegerType, LongType)) and f.name not in marks.columns]
+    marks = marks.withColumns({c: F.lit(-1).cast(plain.schema[c].dataType) for c in missing}) if missing else marks
+    both = plain.withColumn("has_motion", F.lit(None).cast("boolean")).unionByName(marks, allowMissingColumns=True)
     return both if "ts" in both.columns else both.withColumn("ts", F.timestamp_millis("frame_ms")).withWatermark("ts", delay)
 
 
@@ -197,5 +289,6 @@ def judged(detections: DataFrame, frames: DataFrame, judge: Judge, delay: str =
     fields = [StructField(f.name, f.dataType, True) for f in stream.schema]
     kept = [f for f in fields if f.name not in ("has_motion", "ts")]
     out = StructType(kept + (list(StructType.fromDDL(judge.adds)) if judge.adds else []))
-    proc = FrameByFrame(judge, StructType(fields), out.names, slack_ms)
-    return stream.groupBy("camera_id").transformWithState(statefulProcessor=proc, outputStructType=out, outputMode="Append", timeMode="EventTime")
+    held = StructType([f for f in fields if f.name != "ts"])
+    proc = FrameByFrame(judge, held, out, slack_ms)
+    return stream.groupBy("camera_id").transformWithStateInPandas(statefulProcessor=proc, outputStructType=out, outputMode="Append", timeMode="EventTime")

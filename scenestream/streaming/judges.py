@@ -94,14 +94,10 @@ class Close(Judge):
         persons = [r for r in rows if r["class_name"] == "person"]
         vehicles = sorted((r for r in rows if r["class_name"] != "person"), key=lambda r: r["cx"])
         by_track = {r["track_id"]: r for r in vehicles}
-        running = {}
-        for key, was in memory.part("pair"):
-            if was["run"]:
-                running.setdefault(key[1], []).append(int(key[2]))
         for p in persons:
             # Vehicles in the strip around the person, and those it was near to before: only these can start or end a run.
             seen = {v["track_id"]: v for v in _strip(vehicles, p["cx"], self.distance)}
-            seen |= {t: by_track[t] for t in running.get(p["track_id"], ()) if t in by_track}
+            seen |= {t: by_track[t] for t in map(int, memory.running_names("pair", p["track_id"])) if t in by_track}
             for v in sorted(seen.values(), key=lambda v: v["det_idx"]):
                 dx, dy = p["cx"] - v["cx"], p["y2"] - v["y2"]
                 dist = sqrt(dx * dx + dy * dy)
@@ -162,9 +158,8 @@ class FirstInFrame(Judge):
     def frame(self, frame: Frame, rows: list[dict], memory: Memory) -> Iterable[dict]:
         hits = self.hits(frame, rows, memory)
         if len(rows) < self.least:
-            for key, was in memory.part("run"):
-                if was["run"]:
-                    memory.put(was["seen"], *key, run=0, fired=was["fired"])
+            for key, was in memory.running("run"):
+                memory.put(was["seen"], *key, run=0, fired=was["fired"])
             return
         for hit, out in hits:
             was = memory.get("run", out["track_id"]) or {}

@@ -6,6 +6,7 @@ from scenestream.operators import datasets, quality, rules, tripwire
 from scenestream.plans import evaluation
 from scenestream.sources import labels, readers, sinks
 from scenestream.streaming import aggregates
+from scenestream.streaming.frames import Judge, judged
 
 
 def test_label_rows_read_back(spark, scratch):
@@ -76,3 +77,29 @@ def test_rows_a_whole_gap_apart_are_two_sessions(spark):
     rows = spark.createDataFrame([("c", 1, 0), ("c", 1, 2999), ("c", 1, 5999)], "camera_id string, track_id bigint, frame_ms bigint")
     got = aggregates.sessions(rows.withColumn("ts", F.timestamp_millis("frame_ms")), "3 seconds").collect()
     assert sorted((r.start_ms, r.end_ms, r.n) for r in got) == [(0, 2999, 2), (5999, 5999, 1)]
+
+
+class Holding(Judge):
+    """Says of each frame how many tracks are remembered."""
+
+    state, adds, keep_ms = "x bigint", "held bigint", 1000
+
+    def frame(self, frame, rows, memory):
+        for r in rows:
+            memory.put(frame.ms, "track", r["track_id"], x=0)
+            yield {**r, "held": len(memory.entries)}
+
+
+def test_a_stream_forgets_within_one_batch(spark, scratch):
+    rows = spark.range(1000).selectExpr("'c' as camera_id", "id as frame_seq", "id * 200 + 1000 as frame_ms", "id as track_id", "1L as det_idx")
+    rows.drop("track_id", "det_idx").withColumn("has_motion", F.lit(True)).write.parquet(scratch + "/frames")
+    end = spark.createDataFrame([("c", 10**9, 10**9, True)], "camera_id string, frame_seq bigint, frame_ms bigint, has_motion boolean")
+    end.write.mode("append").parquet(scratch + "/frames")
+    rows.write.parquet(scratch + "/dets")
+    dets, frames = (spark.readStream.schema(spark.read.parquet(f"{scratch}/{n}").schema).parquet(f"{scratch}/{n}") for n in ("dets", "frames"))
+    q = judged(dets, frames, Holding()).writeStream.format("memory").queryName("holding").option("checkpointLocation", scratch + "/cp").start()
+    q.processAllAvailable()
+    q.stop()
+    got = spark.table("holding").collect()
+    assert sorted(r.track_id for r in got) == list(range(1000))
+    assert max(r.held for r in got) < 300
