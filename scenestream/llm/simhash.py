@@ -273,43 +273,48 @@ def sketches(docs: DataFrame) -> DataFrame:
     return cols.mapInArrow(run, SKETCH)
 
 
-def _nearest_before(fps: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each member of a bucket the nearest one before it that may be similar: by bits, and by the sizes of their sets."""
-    left, right = [], []
+# Pairs of one batch put out at a time.
+PAIRS_AT_ONCE = 500_000
+
+
+def _near_before(fps: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each member of a bucket those before it that may be similar: by bits, and by the sizes of their sets."""
     for j in range(1, len(fps)):
-        apart = np.bitwise_count(fps[:j] ^ fps[j]).astype(np.int64)
         small, large = np.minimum(sizes[:j], sizes[j]), np.maximum(sizes[:j], sizes[j])
-        apart[small < SIMILARITY * large] = 65
-        i = int(apart.argmin())
-        if apart[i] <= PRINT_BITS:
-            left.append(i)
-            right.append(j)
-    return np.array(left, np.int64), np.array(right, np.int64)
+        i = np.flatnonzero((np.bitwise_count(fps[:j] ^ fps[j]) <= PRINT_BITS) & (small >= SIMILARITY * large))
+        if len(i):
+            yield i, np.full(len(i), j)
 
 
 def candidates(distinct: DataFrame) -> DataFrame:
     """``u, v``: pairs of nodes to be verified, from ``node, n, f0 ...``.
 
     Each node goes to one bucket for each fingerprint and choice of blocks. There it meets all members before it and proposes
-    the nearest one, so a bucket gives no more pairs than members; a pair that is lost in one bucket meets in others, or
-    is joined through a nearer third one.
+    every one within ``PRINT_BITS`` bits whose set is of a fitting size: no link between different texts is lost to a nearer one.
     """
     masks = _masks(PRINT_DISTANCE, PRINT_BLOCKS)
 
+    def named(node: pa.ChunkedArray, left: list[np.ndarray], right: list[np.ndarray]) -> list[pa.RecordBatch]:
+        u, v = (node.take(pa.array(np.concatenate(x))).combine_chunks() for x in (left, right))
+        pairs = pa.table([u, v], names=["u", "v"]).group_by(["u", "v"]).aggregate([])  # the same pair meets in many buckets
+        return pairs.combine_chunks().to_batches()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_bucket(batches, 2):
             choice, bits = (t[c].to_numpy() for c in ("choice", "bits"))
             fps, sizes = t["fp"].to_numpy().view(np.uint64), t["n"].to_numpy()
             start = np.flatnonzero(np.concatenate([[True], (choice[1:] != choice[:-1]) | (bits[1:] != bits[:-1])]))
-            left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            left, right, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
             for s, e in zip(start.tolist(), np.append(start[1:], len(fps)).tolist()):
-                if e - s > 1:
-                    i, j = _nearest_before(fps[s:e], sizes[s:e])
+                for i, j in _near_before(fps[s:e], sizes[s:e]):
                     left.append(i + s)
                     right.append(j + s)
-            u, v = t["node"].take(pa.array(np.concatenate(left))).combine_chunks(), t["node"].take(pa.array(np.concatenate(right))).combine_chunks()
-            pairs = pa.table([u, v], names=["u", "v"]).group_by(["u", "v"]).aggregate([])  # the same pair meets in many buckets
-            yield from pairs.combine_chunks().to_batches()
+                    n += len(i)
+                    if n >= PAIRS_AT_ONCE:
+                        yield from named(t["node"], left, right)
+                        left, right, n = [], [], 0
+            if left:
+                yield from named(t["node"], left, right)
 
     keys = [
         F.struct(F.lit(i * len(masks) + k).cast("long").alias("choice"), F.col(f"f{i}").bitwiseAND(F.lit(_signed(m))).alias("bits"), F.col(f"f{i}").alias("fp"))

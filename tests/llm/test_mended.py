@@ -109,3 +109,8 @@ def test_rates_are_tilted_by_size(spark, docs_of):
         assert abs(sum(r["copies"] * r["size"] for r in own) - target) <= 300
     small = [r for r in got if r["source"] == "small"]
     assert all(r["rate"] == 3 == r["copies"] for r in small)
+
+
+def test_a_nearer_partner_hides_no_other(spark):
+    rows = spark.createDataFrame([("a", 10, 0, 0), ("b", 10, 1, 1), ("c", 10, 3, 3)], "node string, n long, f0 long, f1 long")
+    assert {(r.u, r.v) for r in simhash.candidates(rows).collect()} == {("a", "b"), ("a", "c"), ("b", "c")}
