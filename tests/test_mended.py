@@ -1,8 +1,10 @@
 """One test for each answer that was once wrong."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from scenestream.operators import datasets, quality, rules, tripwire
+from scenestream.operators import datasets, matching, quality, rules, tripwire
 from scenestream.plans import evaluation
 from scenestream.sources import labels, readers, sinks
 from scenestream.streaming import aggregates
@@ -103,3 +105,24 @@ def test_a_stream_forgets_within_one_batch(spark, scratch):
     got = spark.table("holding").collect()
     assert sorted(r.track_id for r in got) == list(range(1000))
     assert max(r.held for r in got) < 300
+
+
+def test_dense_events_are_matched_without_storing_their_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    preds = [("a", i, float(rng.randrange(3000))) for i in range(400)]
+    truth = [("a", i, float(rng.randrange(3000)), None, None) for i in range(300)] + [("a", 300 + i, None, 90.0 * i, 90.0 * i + 60) for i in range(30)]
+    stored = []
+    plain = matching.mutually_first
+    monkeypatch.setattr(matching, "mutually_first", lambda pairs, *a: stored.append(pairs.count()) or plain(pairs, *a))
+    p = spark.createDataFrame(preds, "video string, pred_idx long, t double")
+    t = spark.createDataFrame(truth, "video string, gt_idx long, time_sec double, t_start double, t_end double")
+    got = {(r.pred_idx, r.gt_idx, r.dist) for r in matching.match_events(p, t, ["video"], 200.0).collect()}
+    spans = [(g, (s + e) / 2, s - 200, e + 200) if s is not None else (g, at, at - 200, at + 200) for _, g, at, s, e in truth]
+    pairs = sorted((abs(at - mid), i, g) for _, i, at in preds for g, mid, lo, hi in spans if lo <= at <= hi)
+    used, want = set(), set()
+    for d, i, g in pairs:
+        if not {("p", i), ("g", g)} & used:
+            used |= {("p", i), ("g", g)}
+            want.add((i, g, d))
+    assert got == want
+    assert sum(stored) < len(pairs) / 20
