@@ -24,9 +24,10 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, MapType, StructF
 from ..operators.sequence import FRAME_SLACK_MS
 from .ordered import STATE_STORE
 
-# Event time of one block of waiting rows, rows held before they go to their blocks, and rows put out at a time.
+# Event time judged at a time, rows held before they go to blocks, least rows of a block that others follow, and rows put out at a time.
 SPAN_MS = 30_000
 HELD_ROWS = 200_000
+BLOCK_ROWS = 10_000
 OUT_ROWS = 10_000
 
 MEMORY_KEY = "part string, id bigint, name string"
@@ -118,8 +119,22 @@ class Judge:
         return ()
 
 
+def _values(column: pa.Array) -> list:
+    """Python values of a column, converted all at once; nulls are None."""
+    if not column.null_count or not (pa.types.is_integer(column.type) or pa.types.is_floating(column.type)):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    missing = column.is_null().to_numpy(zero_copy_only=False).tolist()
+    filled = column.fill_null(0).to_numpy(zero_copy_only=False).tolist()
+    return [None if m else v for m, v in zip(missing, filled)]
+
+
+def _dicts(rows: pa.RecordBatch) -> list[dict]:
+    names = rows.schema.names
+    return [dict(zip(names, r)) for r in zip(*map(_values, rows.columns))]
+
+
 class FrameByFrame(StatefulProcessor):
-    """Rows wait in blocks by span of event time, and spans are judged one after the other, as if the watermark had reached their ends
+    """Rows wait in blocks sorted by span of event time, each known by its first span, and spans are judged one after the other, as if the watermark had reached their ends
     one by one: neither the rows that wait nor what is remembered meet in memory, however much comes in one batch."""
 
     def __init__(self, judge: Judge, row_schema: StructType, out_schema: StructType, slack_ms: int):
@@ -159,43 +174,70 @@ class FrameByFrame(StatefulProcessor):
         yield pd.DataFrame()
 
     def _wait(self, held: list[pa.RecordBatch]) -> None:
-        """Put rows into the blocks of their spans."""
+        """Put rows into blocks: as many as the rows need, however many spans they are of."""
         rows = pa.Table.from_batches(held).combine_chunks()
         span = rows["frame_ms"].to_numpy() // SPAN_MS
         order = np.argsort(span, kind="stable")
         rows, span = rows.take(pa.array(order)), span[order]
-        starts = np.flatnonzero(np.concatenate([[True], span[1:] != span[:-1]]))
-        for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(span)]):
+        at = 0
+        while at < len(span):
+            # A span is not cut, so that a block holds whole spans.
+            end = int(np.searchsorted(span, span[min(at + BLOCK_ROWS, len(span)) - 1], side="right"))
             s = int(span[at])
             known = self.spans.getValue((s,)) if self.spans.containsKey((s,)) else None
             part = known[0] if known else 0
             block = rows.slice(at, end - at).combine_chunks().to_batches()[0]
             self.blocks.updateValue((s, part), (block.serialize().to_pybytes(),))
             self.spans.updateValue((s,), (part + 1,))
+            at = end
 
-    def _taken(self, span: int, parts: int) -> list[dict]:
-        """The rows of a span, which leave their blocks."""
-        rows = []
+    def _taken(self, span: int, parts: int) -> Iterator[pa.RecordBatch]:
+        """The blocks that begin with a span; they leave the state."""
         for part in range(parts):
-            rows += pa.ipc.read_record_batch(pa.py_buffer(bytes(self.blocks.getValue((span, part))[0])), self.row_schema).to_pylist()
+            yield pa.ipc.read_record_batch(pa.py_buffer(bytes(self.blocks.getValue((span, part))[0])), self.row_schema)
             self.blocks.removeKey((span, part))
         self.spans.removeKey((span,))
-        return rows
+
+    def _begun(self, now: int, pool: list[list]) -> Iterator[tuple[int, list[dict]]]:
+        """Spans that have begun, in order, with their rows. ``pool`` holds the open blocks (spans, place reached, rows); what is left
+        in it in the end is of later spans."""
+        starts, at = sorted((k[0], v[0]) for k, v in self.spans.iterator()), 0
+        while True:
+            heads = [int(spans[place]) for spans, place, _ in pool] + [s for s, _ in starts[at : at + 1]]
+            if not heads or min(heads) * SPAN_MS > now:
+                return
+            n = min(heads)
+            if at < len(starts) and starts[at][0] == n:
+                pool += [[b.column("frame_ms").to_numpy() // SPAN_MS, 0, b] for b in self._taken(*starts[at])]
+                at += 1
+            found = []
+            for block in pool:
+                end = int(np.searchsorted(block[0], n, side="right"))
+                if end > block[1]:
+                    found.append(block[2].slice(block[1], end - block[1]))
+                    block[1] = end
+            pool[:] = [b for b in pool if b[1] < len(b[0])]
+            yield n, _dicts(pa.Table.from_batches(found).combine_chunks().to_batches()[0])
+
+    def _steps(self, now: int, pool: list[list]) -> Iterator[tuple[list[dict], int]]:
+        """Rows of each span that has begun, and the time up to which to judge then."""
+        held = None
+        for n, rows in self._begun(now, pool):
+            if held is not None:
+                yield held, min(now, n * SPAN_MS - 1)
+            held = rows
+        # The end is a step of its own where nothing waits: what is remembered may be old by now.
+        yield held or [], now
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        spans = sorted((k[0], v[0]) for k, v in self.spans.iterator())
-        later = min((s for s, _ in spans if s * SPAN_MS > now), default=None)
-        spans = [s for s in spans if s[0] * SPAN_MS <= now]
         last = self.last.get() if self.last.exists() else None
         seq, ms = last if last else (None, None)
         names = self.memory_schema.names
         memory = Memory({tuple(k): dict(zip(names, v)) for k, v in self.memory.iterator()})
-        own, waiting, out = {"camera_id": key[0]}, [], []
-        # The end is a step of its own where nothing waits: what is remembered may be old by now.
-        steps = [(*s, min(now, n * SPAN_MS - 1)) for s, (n, _) in zip(spans, spans[1:])] + [(*(spans[-1] if spans else (0, 0)), now)]
-        for span, parts, until in steps:
-            waiting += self._taken(span, parts) if parts else []
+        own, waiting, out, pool = {"camera_id": key[0]}, [], [], []
+        for rows, until in self._steps(now, pool):
+            waiting += rows
             frames, waiting = self._closed(waiting, until)
             for marker, rows in frames:
                 frame = Frame(marker["frame_seq"], marker["frame_ms"], seq, ms)
@@ -207,6 +249,9 @@ class FrameByFrame(StatefulProcessor):
             if len(out) >= OUT_ROWS:
                 yield self._rows(out, own)
                 out = []
+        if pool:
+            self._wait([rows.slice(place) for _, place, rows in pool])
+        later = min((k[0] for k, _ in self.spans.iterator()), default=None)
         self._store(memory, names, seq, ms, now - 2 * self.slack_ms)
         if waiting:
             self._wait([pa.RecordBatch.from_pylist(waiting, schema=self.row_schema)])
@@ -230,8 +275,8 @@ class FrameByFrame(StatefulProcessor):
         rest = []
         for r in waiting:
             if r["det_idx"] >= 0:
-                near = [m for m in markers[r["frame_seq"]] if abs(m[0]["frame_ms"] - r["frame_ms"]) <= self.slack_ms]
-                home = min(near, key=lambda m: (abs(m[0]["frame_ms"] - r["frame_ms"]), -m[0]["frame_ms"]), default=None)
+                near = [m for m in markers.get(r["frame_seq"], ()) if abs(m[0]["frame_ms"] - r["frame_ms"]) <= self.slack_ms]
+                home = near[0] if len(near) == 1 else min(near, key=lambda m: (abs(m[0]["frame_ms"] - r["frame_ms"]), -m[0]["frame_ms"]), default=None)
                 if home and home[0]["frame_ms"] + 2 * self.slack_ms <= now:
                     found[home[1]].append(r)
                 elif home or r["frame_ms"] + 3 * self.slack_ms > now:
@@ -242,7 +287,9 @@ class FrameByFrame(StatefulProcessor):
                 rest.append(m)
             elif m["has_motion"]:
                 rows = sorted(found[i], key=lambda r: r["det_idx"])
-                closed.append((m, [{**r, "frame_ms": m["frame_ms"]} for r in rows]))
+                for r in rows:
+                    r["frame_ms"] = m["frame_ms"]
+                closed.append((m, rows))
         return closed, rest
 
     def _store(self, memory: Memory, names: list[str], seq: int | None, ms: int | None, judged: int) -> None:

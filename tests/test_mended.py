@@ -2,13 +2,16 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from scenestream.operators import datasets, matching, quality, rules, tripwire
 from scenestream.plans import evaluation
 from scenestream.sources import labels, readers, sinks
 from scenestream.streaming import aggregates
-from scenestream.streaming.frames import Judge, judged
+from scenestream.streaming.frames import FrameByFrame, Judge, judged
+from scenestream.streaming.judges import Unbroken
 
 
 def test_label_rows_read_back(spark, scratch):
@@ -126,3 +129,26 @@ def test_dense_events_are_matched_without_storing_their_pairs(spark, monkeypatch
             want.add((i, g, d))
     assert got == want
     assert sum(stored) < len(pairs) / 20
+
+
+class _Map(dict):
+    """A map state without a stream."""
+
+    containsKey, getValue, updateValue, removeKey = dict.__contains__, dict.__getitem__, dict.__setitem__, dict.pop
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
+def test_waiting_rows_need_few_blocks_however_many_spans_they_are_of(spark):
+    rows = StructType.fromDDL("camera_id string, frame_seq bigint, frame_ms bigint, det_idx bigint, x1 double, has_motion boolean")
+    proc = FrameByFrame(Unbroken(1, 1), rows, rows, 2000)
+    proc.spans, proc.blocks = _Map(), _Map()
+    sent = [{"camera_id": "a", "frame_seq": i, "frame_ms": i * 60_000, "det_idx": i % 2 - 1, "x1": None if i % 3 else 0.5, "has_motion": None if i % 2 else True} for i in range(600)]
+    for part in range(3):
+        proc._wait([pa.RecordBatch.from_pylist(sent[part::3][::-1], schema=proc.row_schema)])
+    assert len(proc.blocks) == 3
+    pool = []
+    got = [r for _, rows in proc._begun(299 * 60_000, pool) for r in rows]
+    assert got == sent[:300] and len(proc.blocks) == 0
+    assert sum(len(spans) - place for spans, place, _ in pool) == 300
