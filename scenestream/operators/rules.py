@@ -267,10 +267,13 @@ def crowd(obs: DataFrame, max_count: Setting = 5, radius: Setting = 200.0, confi
 
 
 def person_motion(obs: DataFrame) -> DataFrame:
-    """Persons with centre speed, wrist speed and the larger of centre and 0.6 x wrist speed."""
+    """Persons with centre speed, wrist speed and the larger of centre and 0.6 x wrist speed.
+
+    The key points are many times the rest of a row; only the wrists are carried on.
+    """
     hands = pose.wrists(F.col("keypoints"))
     p = link_rows(
-        _persons(obs).withColumn("hands", hands),
+        _persons(obs).withColumn("hands", hands).drop("keypoints"),
         TRACK,
         ORDER,
         ["frame_seq", "prev_seq", "frame_ms", "cx", "cy"],

@@ -6,13 +6,15 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from scenestream.operators import datasets, matching, quality, rules, tripwire
+from scenestream.operators import datasets, matching, quality, rules, sequence, tripwire
 from scenestream.plans import evaluation
-from scenestream.sources import labels, readers, sinks
+from scenestream.sources import labels, projection, readers, sinks
 from scenestream.streaming import aggregates
 from scenestream.streaming.frames import FrameByFrame, Judge, judged
 from scenestream.streaming.judges import Unbroken
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_label_rows_read_back(spark, scratch):
     files = spark.createDataFrame([("c1", 7, "# x\n0 0.5 0.5 0.1 0.2\nbad"), ("c2", 1, "# no detections")], "camera_id string, frame_seq bigint, body string")
@@ -152,3 +154,22 @@ def test_waiting_rows_need_few_blocks_however_many_spans_they_are_of(spark):
     got = [r for _, rows in proc._begun(299 * 60_000, pool) for r in rows]
     assert got == sent[:300] and len(proc.blocks) == 0
     assert sum(len(spans) - place for spans, place, _ in pool) == 300
+
+
+def test_a_long_log_is_cut_into_more_tasks(short_slices, monkeypatch):
+    frames = short_slices.range(400).selectExpr("concat('c', id % 2) as camera_id", "id as frame_seq", "id * 5000 as frame_ms", "true as has_motion")
+    dets = frames.selectExpr("camera_id", "frame_seq", "frame_ms", "1L as det_idx")
+    few = sequence.observe(dets, frames).collect()
+    monkeypatch.setattr(sequence, "FRAMES_PER_TASK", 40)
+    many = sequence.observe(dets, frames)
+    short_slices.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert many.select(F.spark_partition_id()).distinct().count() == 10
+    finally:
+        short_slices.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sorted(many.collect()) == sorted(few)
+
+
+def test_key_points_are_not_carried_on(spark):
+    obs = rules.watch(projection.detections(spark, SF), projection.frames(spark, SF), projection.ROI)
+    assert "keypoints" not in rules.person_motion(obs).columns
