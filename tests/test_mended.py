@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from scenestream.operators import datasets, matching, quality, rules, sequence, tripwire
-from scenestream.plans import evaluation
+from scenestream.plans import evaluation, ruleset
 from scenestream.sources import labels, projection, readers, sinks
 from scenestream.streaming import aggregates
 from scenestream.streaming.frames import FrameByFrame, Judge, judged
@@ -173,3 +173,12 @@ def test_a_long_log_is_cut_into_more_tasks(short_slices, monkeypatch):
 def test_key_points_are_not_carried_on(spark):
     obs = rules.watch(projection.detections(spark, SF), projection.frames(spark, SF), projection.ROI)
     assert "keypoints" not in rules.person_motion(obs).columns
+
+
+def test_rules_share_one_written_table_of_observations(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(ruleset, "cut", lambda df: written.append(df.columns) or df)
+    on = {"enabled": True, "confirm_frames": 1, "cooldown": 1.0}
+    camera = ruleset.Camera("cam0", {"intrusion": on, "speed": {**on, "max_pixel_speed": 70.0}}, projection.ROI)
+    assert set(ruleset.rule_plans(projection.detections(spark, SF), projection.frames(spark, SF), [camera])) == {"intrusion", "speed"}
+    assert len(written) == 1 and "in_roi" in written[0]
