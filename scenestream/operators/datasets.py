@@ -120,13 +120,16 @@ def lineage(models: DataFrame) -> DataFrame:
     """All ancestors of each model with their distance: models times depth rows, which is what is asked for.
 
     The reach doubles with every round, so a chain of any length takes few; in a circle each ancestor is listed once, at its
-    least distance.
+    least distance. What lies beyond the reach is found from the ancestors at its very end, so that each pair is made once for
+    each shortest path, not for each way to cut it in two.
     """
     up = cut(models.where("parent_id is not null").select("model_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("steps")).distinct())
-    known = -1
+    known, reach = -1, 1
     while (n := up.count()) != known:
         known = n
         further = up.select(F.col("model_id").alias("ancestor_id"), F.col("ancestor_id").alias("next"), F.col("steps").alias("more"))
-        reached = up.join(further, "ancestor_id").select("model_id", F.col("next").alias("ancestor_id"), (F.col("steps") + F.col("more")).alias("steps"))
+        end = up.where(F.col("steps") == reach)
+        reached = end.join(further, "ancestor_id").select("model_id", F.col("next").alias("ancestor_id"), (F.col("steps") + F.col("more")).alias("steps"))
         up = cut(up.union(reached).groupBy("model_id", "ancestor_id").agg(F.min("steps").alias("steps")))
+        reach *= 2
     return up

@@ -182,3 +182,14 @@ def test_rules_share_one_written_table_of_observations(spark, monkeypatch):
     camera = ruleset.Camera("cam0", {"intrusion": on, "speed": {**on, "max_pixel_speed": 70.0}}, projection.ROI)
     assert set(ruleset.rule_plans(projection.detections(spark, SF), projection.frames(spark, SF), [camera])) == {"intrusion", "speed"}
     assert len(written) == 1 and "in_roi" in written[0]
+
+
+def test_lineage_makes_each_pair_once(spark, monkeypatch):
+    kind = type(spark.range(1))
+    joined, union = [], kind.union
+    monkeypatch.setattr(kind, "union", lambda a, b: joined.append(b.count()) or union(a, b))
+    models = spark.createDataFrame([(i, i - 1) for i in range(1, 9)] + [(100, 101), (101, 100)], "model_id bigint, parent_id bigint")
+    want = {(m, a, m - a) for m in range(1, 9) for a in range(m)} | {(100, 101, 1), (100, 100, 2), (101, 100, 1), (101, 101, 2)}
+    assert sorted(map(tuple, datasets.lineage(models).collect())) == sorted(want)
+    # 28 pairs of the chain lie beyond the first step and 2 of the circle, which goes round once more.
+    assert sum(joined) <= 40
