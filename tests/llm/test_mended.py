@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +115,26 @@ def test_rates_are_tilted_by_size(spark, docs_of):
 def test_a_nearer_partner_hides_no_other(spark):
     rows = spark.createDataFrame([("a", 10, 0, 0), ("b", 10, 1, 1), ("c", 10, 3, 3)], "node string, n long, f0 long, f1 long")
     assert {(r.u, r.v) for r in simhash.candidates(rows).collect()} == {("a", "b"), ("a", "c"), ("b", "c")}
+
+
+def test_a_group_of_near_copies_makes_rows_in_proportion_to_its_members(spark, docs_of):
+    """Copies with one edit each are linked by forests, not by all their pairs; outsiders in their bucket are compared and stay."""
+    base = [f"w{i}" for i in range(120)]
+    near = [(i, " ".join([*base[:i], f"edit{i}", *base[i + 1 :]])) for i in range(100)]
+    far = [(200 + i, " ".join(w if k % 13 != i else f"far{i}x{k}" for k, w in enumerate(base))) for i in range(12)]
+    docs = docs_of([*near, *far])
+    rows = simhash.sketches(docs).withColumn("first", F.struct(F.lit(False).alias("no_id"), "doc_id", "text_key")).localCheckpoint()
+    members = simhash.near_groups(rows).localCheckpoint()
+    edges = simhash.similar(docs, members, rows)
+    assert rows.count() < members.count() and members.groupBy("node").count().agg(F.max("count")).first()[0] <= 42
+    assert edges.count() <= members.count() < 100 * 99 / 2
+    want = brute.similar_groups([*near, *far])
+    assert {r["doc_id"] for r in simhash.keep_one_similar(docs).collect()} == set(want.values()) and len(set(want.values())) == 1 + len(far)
+
+
+def test_components_of_a_bucket_lose_no_link():
+    for n, p in ((1, 0.5), (40, 0.02), (40, 0.06), (60, 0.5), (30, 0.0)):
+        links = np.triu(np.random.default_rng(n).random((n, n)) < p, 1)
+        links |= links.T
+        want = simhash._labels(n, *np.nonzero(links))
+        assert (simhash._linked(n, lambda i, at: links[i][at]) == want).all()  # noqa: B023
