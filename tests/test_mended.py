@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from scenestream.operators import datasets, matching, quality, rules, sequence, tripwire
+from scenestream.operators import curves, datasets, matching, quality, rules, sequence, tripwire
 from scenestream.plans import evaluation, ruleset
 from scenestream.sources import labels, projection, readers, sinks
 from scenestream.streaming import aggregates
@@ -193,3 +193,34 @@ def test_lineage_makes_each_pair_once(spark, monkeypatch):
     assert sorted(map(tuple, datasets.lineage(models).collect())) == sorted(want)
     # 28 pairs of the chain lie beyond the first step and 2 of the circle, which goes round once more.
     assert sum(joined) <= 40
+
+
+BOX = "image_id string, class_id long, {} long, confidence double, x1 double, y1 double, x2 double, y2 double"
+
+
+def test_boxes_are_clustered_by_image_once(spark):
+    """Cells, options and the walk through an image need no further exchange."""
+    rows = [(f"i{k % 3}", 0, k, 0.5 + k / 100, 200.0 + k, 200.0, 300.0 + k, 300.0) for k in range(9)]
+    d, t = (spark.createDataFrame(rows, BOX.format(c)) for c in ("det_idx", "gt_idx"))
+    for found in (matching.match_boxes(d, t), matching.match_boxes(d, t, by_class=True), matching.match_levels(d, t)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(image_id") == 2 == plan.count("Exchange ")
+        assert found.count() == 9
+
+
+def test_only_true_positives_are_lifted(spark, monkeypatch):
+    """Average precision looks at true positives alone; a class without any has the area 0."""
+    rng = random.Random(5)
+    rows = [(c, f"i{i}", 0, rng.choice([0.1, 0.5, 0.9]), c < 3 and rng.random() < 0.4) for c in range(4) for i in range(50)]
+    curve = curves.pr_curve(
+        spark.createDataFrame(rows, "class_id long, image_id string, det_idx long, confidence double, is_tp boolean"),
+        spark.createDataFrame([(c, 40) for c in range(4)], "class_id long, gt_count long"), ["class_id"],
+    )
+    seen, whole = [], curves.running
+    monkeypatch.setattr(curves, "running", lambda df, *a, **kw: seen.append(df.count()) or whole(df, *a, **kw))
+    got = {r["class_id"]: r["ap"] for r in curves.average_precision_all_points(curve, ["class_id"]).collect()}
+    assert seen[0] <= sum(r[4] for r in rows) + 4 < len(rows)
+    for c in range(4):
+        hits = [r[4] for r in sorted((r for r in rows if r[0] == c), key=lambda r: (-r[3], r[1]))]
+        precision = [sum(hits[: i + 1]) / (i + 1) for i in range(50)]
+        assert abs(got[c] - sum(max(precision[i:]) for i in range(50) if hits[i]) / 40) < 1e-12
