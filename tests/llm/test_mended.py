@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scenestream.llm import licenses, mixing, simhash, toxicity
+from scenestream.llm import licenses, mixing, simhash, suffixes, toxicity
 from scenestream.llm.licenses import Template
 from tests.conftest import SF
 
@@ -138,3 +138,35 @@ def test_components_of_a_bucket_lose_no_link():
         links |= links.T
         want = simhash._labels(n, *np.nonzero(links))
         assert (simhash._linked(n, lambda i, at: links[i][at]) == want).all()  # noqa: B023
+
+
+def test_only_pieces_that_may_share_a_string_are_merged(docs_of):
+    letters = [bytes(RNG.choices(range(97, 123), k=32)) for _ in range(8)]
+    gram = b"an anchor in the m"
+    whole = letters[0] + gram + letters[1]
+    pieces = [whole, whole[12:], whole[20:70], letters[2] + gram + letters[3], letters[4] + gram + letters[5][:10], letters[6][:17] + gram + letters[7]]
+    strings = [{p[i : i + 50] for i in range(len(p) - 49)} for p in pieces]
+    share = [any(a & b for j, b in enumerate(strings) if i != j) for i, a in enumerate(strings)]
+    anchor = np.repeat(suffixes._gram_hashes(np.frombuffer(gram, np.uint8)).view(np.int64), len(pieces))
+    got = suffixes.meeting(np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces]), anchor)
+    assert got.tolist() == share == [True, True, True, False, False, False]
+    rows = [(RNG.randrange(30), " ".join(RNG.choice([*pieces, p]).decode() for _ in range(RNG.randrange(1, 5)))) for p in pieces * 6]
+    rows = list(dict(rows).items())
+    assert {r["doc_id"]: tuple(r)[1:] for r in suffixes.remove_repeats(docs_of(rows)).collect()} == brute.repeats(rows)
+
+
+def test_transforms_hold_several_symbols_of_each_suffix(monkeypatch):
+    """Short and long runs of few letters, whose suffixes are equal far beyond a string, over many shards and refinements of any size."""
+    texts = [bytes(RNG.choices(b"ab", [9, 1], k=RNG.randrange(50, 200))) for _ in range(40)] + [b"a" * 300, b"ab" * 90, b"\0" * 60]
+    least = np.arange(len(texts))[::-1].copy()
+    want = {}
+    for n, t in enumerate(texts):
+        for s in range(len(t) - 49):
+            want[t[s : s + 50]] = min(want.get(t[s : s + 50], 1 << 40), int(least[n]))
+    for shard in (1, 300, 1 << 18):
+        monkeypatch.setattr(suffixes, "SHARD", shard)
+        text, offset, value = (c.tolist() for c in suffixes.least_in_class(texts, least))
+        assert list(zip(text, offset)) == [(n, s) for n, t in enumerate(texts) for s in range(len(t) - 49)]
+        assert all(want[texts[n][s : s + 50]] == v for n, s, v in zip(text, offset, value))
+    grams, order = suffixes.transform(texts[:3])
+    assert len({suffixes.STEP, grams.dtype.itemsize}) == 1 and len(grams) == len(order) == sum(len(t) + 1 for t in texts[:3])
