@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from math import sqrt
 
+import pyarrow as pa
+
 from ..operators import tripwire as tw
-from .frames import Frame, Judge, Key, Memory
+from .frames import Frame, Judge, Key, Memory, _dicts, _values
 
 # How long a track is remembered at least: a longer gap between two processed frames ends what stands on frames in a row.
 KEEP_MS = 60_000
@@ -293,89 +295,122 @@ class Wires(Judge):
         self.wires: dict[str, list[dict]] = {}
         for w in wires:
             names = ("camera_id", "tripwire_id", "name", "ax", "ay", "bx", "by", "direction", "cooldown_ms")
-            self.wires.setdefault(w[0], []).append(dict(zip(names, w)))
+            wire = dict(zip(names, w))
+            self.wires.setdefault(w[0], []).append({**wire, "a": (wire["ax"], wire["ay"]), "b": (wire["bx"], wire["by"])})
         longest = max((w["cooldown_ms"] for ws in self.wires.values() for w in ws), default=0)
         self.keep_ms = max(tw.LIFE_GAP_MS, longest) + 1
 
-    def frame(self, frame: Frame, rows: list[dict], memory: Memory) -> Iterable[dict]:
-        if not rows:
+    def frames(self, frames: list[Frame], starts: list[int], rows: pa.RecordBatch, memory: Memory) -> Iterable[dict]:
+        """Columns are read once for all frames; a track and the boxes behind go into the memory once, with their last change."""
+        if not len(rows):
             return
-        wires = self.wires.get(rows[0]["camera_id"], [])
-        for r in rows:
-            if r["track_id"] >= 0:
-                yield from self._tracked(frame, r, wires, memory)
-        yield from self._loose(frame, rows, wires, memory)
-
-    def _tracked(self, frame: Frame, r: dict, wires: list[dict], memory: Memory) -> Iterable[dict]:
-        was = memory.get("track", r["track_id"])
-        alive = was is not None and frame.ms - was["seen"] <= tw.LIFE_GAP_MS
-        places, crossed = (list(was["places"]), list(was["crossed"])) if alive else ([], [])
+        wires = self.wires.get(rows.column("camera_id")[0].as_py(), [])
+        track, names = (_values(rows.column(c)) for c in ("track_id", "class_name"))
+        boxes = list(zip(*(_values(rows.column(c)) for c in _BOX)))
+        lives: dict[int, list] = {}  # when a track was seen, its places, the wires it has crossed
+        fired: list[tuple[int, dict, int, str]] = []
+        at, behind = None, []
+        if was := memory.get("behind"):
+            at, behind = was["at"], [was["boxes"][k : k + len(_BOX)] for k in range(0, len(was["boxes"]), len(_BOX))]
+        for frame, a, z in zip(frames, starts, starts[1:]):
+            if a == z:
+                continue
+            loose = []
+            for i in range(a, z):
+                if track[i] >= 0:
+                    for w, sign in self._tracked(frame.ms, track[i], boxes[i], wires, lives, memory):
+                        memory.put(frame.ms, "mark", 0, f"{w['tripwire_id']}|{names[i]}", at=frame.ms)
+                        fired.append((i, w, sign, "tracked"))
+                else:
+                    loose.append(i)
+            if loose and at is not None and frame.ms - at < tw.UNTRACKED_LIFE_MS:
+                fired += ((i, w, sign, "untracked") for i, w, sign in self._loose(frame.ms, loose, boxes, names, behind, wires, memory))
+            at, behind = frame.ms, [boxes[i] for i in loose] or boxes[a:z]
+        for t, (seen, places, crossed) in lives.items():
+            memory.put(seen, "track", t, places=places, crossed=crossed)
+        if at is not None:
+            memory.put(at, "behind", boxes=[float(v) for b in behind for v in b], at=at)
+        for r, (_, w, sign, method) in zip(_dicts(rows.take(pa.array([f[0] for f in fired], pa.int64()))), fired):
+            own = {"direction": _direction(sign, w["direction"]), "method": method, **({"track_id": -1} if method == "untracked" else {})}
+            yield {**r, **{n: w[n] for n in ("tripwire_id", "name", "cooldown_ms")}, **own}
+
+    def _tracked(self, ms: int, track: int, box: tuple, wires: list[dict], lives: dict[int, list], memory: Memory) -> Iterable[tuple[dict, int]]:
+        """Wires crossed for the first time, with the side."""
+        foot, x, mid = box[5:]
+        life = lives.get(track)
+        if life is None:
+            was = memory.get("track", track)
+            life = lives[track] = [was["seen"], list(was["places"]), list(was["crossed"])] if was else [None, [], []]
+        seen, places, crossed = life
         moves = []
-        if alive:
-            _, cx, cy, y2 = places[-4:]
-            moves = [((cx, y2), (r["cx"], r["y2"])), ((cx, cy), (r["cx"], r["cy"]))]
-        places = [*places, float(frame.ms), r["cx"], r["cy"], r["y2"]][-4 * tw.HISTORY_ROWS :]
-        ms, cx, cy, y2 = places[:4]
-        if tw.HISTORY_MIN_MS < frame.ms - ms < tw.HISTORY_MAX_MS:
-            moves += [((cx, y2), (r["cx"], r["y2"])), ((cx, cy), (r["cx"], r["cy"]))]
+        if seen is not None and ms - seen <= tw.LIFE_GAP_MS:
+            _, px, pmid, pfoot = places[-4:]
+            moves = [(px, pfoot, foot), (px, pmid, mid)]
+        else:
+            places, crossed = life[1:] = [], []
+        life[0] = ms
+        places += (float(ms), x, mid, foot)
+        if len(places) > 4 * tw.HISTORY_ROWS:
+            del places[:4]
+        first, px, pmid, pfoot = places[:4]
+        if tw.HISTORY_MIN_MS < ms - first < tw.HISTORY_MAX_MS:
+            moves += [(px, pfoot, foot), (px, pmid, mid)]
+        hits = []
         for w in wires:
             if w["tripwire_id"] in crossed:
                 continue
-            a, b = (w["ax"], w["ay"]), (w["bx"], w["by"])
-            sign = next((s for s in (move_sign(p, q, a, b) for p, q in moves) if s), 0)
-            if sign:
-                crossed.append(w["tripwire_id"])
-                memory.put(frame.ms, "mark", 0, f"{w['tripwire_id']}|{r['class_name']}", at=frame.ms)
-                yield self._fired(r, w, sign, "tracked")
-        memory.put(frame.ms, "track", r["track_id"], places=places, crossed=crossed)
-
-    def _loose(self, frame: Frame, rows: list[dict], wires: list[dict], memory: Memory) -> Iterable[dict]:
-        loose = [r for r in rows if r["track_id"] < 0]
-        behind = memory.get("behind")
-        old = []
-        if behind and frame.ms - behind["at"] < tw.UNTRACKED_LIFE_MS:
-            n = len(behind["boxes"]) // 8
-            old = [behind["boxes"][8 * i : 8 * i + 8] for i in range(n)]
-        found: dict[tuple[str, str], tuple[dict, dict, int]] = {}
-        for r in loose:
-            match = _nearest(r, [o for o in old if o[1] == r["class_id"]])
-            if match is None or match[2] < max(r["x2"] - r["x1"], r["y2"] - r["y1"], 1.0) * 0.05:
+            (ax, ay), (bx, by) = a, b = w["a"], w["b"]
+            for px, py, y in moves:
+                start, end = (bx - ax) * (py - ay) - (by - ay) * (px - ax), (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+                # Most moves lie on one side, with no end of the wire on them.
+                if start * end > 0 and not (px <= ax <= x or x <= ax <= px or px <= bx <= x or x <= bx <= px):
+                    continue
+                sign = move_sign((px, py), (x, y), a, b)
+                if sign:
+                    crossed.append(w["tripwire_id"])
+                    hits.append((w, sign))
+                    break
+        return hits
+
+    def _loose(self, ms: int, loose: list[int], boxes: list[tuple], names: list[str], old: list, wires: list[dict], memory: Memory) -> Iterable[tuple[int, dict, int]]:
+        """Boxes without a track that changed sides, the first of its class at each wire."""
+        found: dict[tuple[str, str], tuple[int, dict, int]] = {}
+        for i in loose:
+            det, kind, x1, y1, x2, y2, cx, _ = boxes[i]
+            match = _nearest(boxes[i], [o for o in old if o[1] == kind])
+            if match is None or match[2] < max(x2 - x1, y2 - y1, 1.0) * 0.05:
                 continue
             for w in wires:
-                a, b = (w["ax"], w["ay"]), (w["bx"], w["by"])
-                now, was = _side((r["cx"], r["y2"]), a, b), _side((match[0], match[1]), a, b)
+                now, was = _side((cx, y2), w["a"], w["b"]), _side((match[0], match[1]), w["a"], w["b"])
                 if now > 0 > was or now < 0 < was:
-                    key = (w["tripwire_id"], r["class_name"])
-                    if key not in found or r["det_idx"] < found[key][0]["det_idx"]:
-                        found[key] = (r, w, 1 if now > 0 else -1)
-        for key, (r, w, sign) in sorted(found.items()):
+                    key = (w["tripwire_id"], names[i])
+                    if key not in found or det < boxes[found[key][0]][0]:
+                        found[key] = (i, w, 1 if now > 0 else -1)
+        for key, (i, w, sign) in sorted(found.items()):
             name = f"{key[0]}|{key[1]}"
             mark, last = memory.get("mark", 0, name), memory.get("loose", 0, name)
             wait = max(1, min(w["cooldown_ms"], tw.UNTRACKED_WAIT_MS))
-            if mark and not _ready(mark["at"], frame.ms, w["cooldown_ms"]):
+            if mark and not _ready(mark["at"], ms, w["cooldown_ms"]):
                 continue
-            if _ready(last["at"] if last else None, frame.ms, wait):
-                memory.put(frame.ms, "loose", 0, name, at=frame.ms)
-                yield {**self._fired(r, w, sign, "untracked"), "track_id": -1}
-        left = loose or [r for r in rows if r["track_id"] >= 0]
-        flat = [float(x) for r in left for x in (r["det_idx"], r["class_id"], r["x1"], r["y1"], r["x2"], r["y2"], r["cx"], r["cy"])]
-        memory.put(frame.ms, "behind", boxes=flat, at=frame.ms)
+            if _ready(last["at"] if last else None, ms, wait):
+                memory.put(ms, "loose", 0, name, at=ms)
+                yield i, w, sign
+
 
-    @staticmethod
-    def _fired(r: dict, w: dict, sign: int, method: str) -> dict:
-        return {**r, "tripwire_id": w["tripwire_id"], "name": w["name"], "direction": _direction(sign, w["direction"]), "cooldown_ms": w["cooldown_ms"], "method": method}
+_BOX = ("det_idx", "class_id", "x1", "y1", "x2", "y2", "cx", "cy")
 
 
-def _nearest(r: dict, old: list[list[float]]) -> tuple[float, float, float] | None:
+def _nearest(r: tuple, old: list) -> tuple[float, float, float] | None:
     """Foot and distance of the box before: best overlap of 0.01 or more, else the nearest centre within three box sizes, else any overlap."""
     over, near = None, None
-    size = max(r["x2"] - r["x1"], r["y2"] - r["y1"], 1.0)
+    _, _, ax, ay, bx, by, mx, my = r
+    size = max(bx - ax, by - ay, 1.0)
     for idx, _, x1, y1, x2, y2, cx, cy in old:
-        dx, dy = cx - r["cx"], cy - r["cy"]
+        dx, dy = cx - mx, cy - my
         shift = sqrt(dx * dx + dy * dy)
-        ov = max(0.0, min(r["x2"], x2) - max(r["x1"], x1)) * max(0.0, min(r["y2"], y2) - max(r["y1"], y1))
+        ov = max(0.0, min(bx, x2) - max(ax, x1)) * max(0.0, min(by, y2) - max(ay, y1))
         if ov > 0:
-            areas = (r["x2"] - r["x1"]) * (r["y2"] - r["y1"]) + (x2 - x1) * (y2 - y1)
+            areas = (bx - ax) * (by - ay) + (x2 - x1) * (y2 - y1)
             over = max(over, (ov / (areas - ov), -idx, cx, y2, shift)) if over else (ov / (areas - ov), -idx, cx, y2, shift)
         if shift < size * 3:
             near = min(near, (shift, idx, cx, y2, shift)) if near else (shift, idx, cx, y2, shift)

@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 from scenestream.operators import curves, datasets, matching, quality, rules, sequence, tripwire
 from scenestream.plans import evaluation, ruleset
 from scenestream.sources import labels, projection, readers, sinks
-from scenestream.streaming import aggregates
+from scenestream.streaming import aggregates, frames as streamed, judges
 from scenestream.streaming.frames import FrameByFrame, Judge, judged
 from scenestream.streaming.judges import Unbroken
 
@@ -224,3 +224,52 @@ def test_only_true_positives_are_lifted(spark, monkeypatch):
         hits = [r[4] for r in sorted((r for r in rows if r[0] == c), key=lambda r: (-r[3], r[1]))]
         precision = [sum(hits[: i + 1]) / (i + 1) for i in range(50)]
         assert abs(got[c] - sum(max(precision[i:]) for i in range(50) if hits[i]) / 40) < 1e-12
+
+
+def test_rows_of_one_frame_travel_as_one(spark):
+    kinds = StructType.fromDDL("camera_id string, frame_seq bigint, frame_ms bigint, det_idx int, x1 double, x2 float, class_name string, has_motion boolean, note string, mark tinyint")
+    proc = FrameByFrame(Unbroken(1, 1), kinds, kinds, 2000, packed=True)
+    rng = random.Random(3)
+
+    def some(value):
+        return None if rng.random() < 0.3 else value
+
+    sent = [
+        {
+            "camera_id": "a", "frame_seq": some(i), "frame_ms": 200 * (i // 4), "det_idx": i % 4, "x1": some(i / 3), "x2": some(0.5), "class_name": some(["person", "", "車"][i % 3]),
+            "has_motion": some(i % 2 == 0), "note": some("x" * (i % 5)), "mark": some(i % 100),
+        }
+        for i in range(200)
+    ]
+    rows = pa.RecordBatch.from_pylist(sent, schema=proc.row_schema)
+    packed = streamed._packed(rows.slice(10, 150), proc.slots)
+    assert packed.num_rows == 38 and set(packed.column("camera_id").to_pylist()) == {"a"}
+    assert packed.column("frame_ms").to_pylist() == [200 * n for n in range(2, 40)]
+    assert streamed._unpacked(packed.to_pandas(), "a", proc.row_schema, proc.slots).to_pylist() == sent[10:160]
+    both = pa.RecordBatch.from_pylist([{**sent[0], "camera_id": c, "frame_ms": ms} for c, ms in [("a", 1), (None, 1), (None, 1), ("b", 1), ("b", None), ("b", None)]], schema=proc.row_schema)
+    assert [(r["camera_id"], r["frame_ms"]) for r in streamed._packed(both, proc.slots).to_pylist()] == [("a", 1), (None, 1), ("b", 1), ("b", None)]
+    assert streamed._slots(StructType.fromDDL("camera_id string, frame_ms bigint, price decimal(5, 2)")) is None
+
+
+def test_a_track_goes_into_the_memory_once_for_many_frames():
+    """Columns are read once; what is remembered is what frame by frame leaves."""
+    wires = [("a", f"w{n}", f"w{n}", 0.0, 10.0 * n, 100.0, 10.0 * n, "left_to_right", 500) for n in (1, 2)]
+    rng, rows, starts = random.Random(4), [], [0]
+    ready = [streamed.Frame(n, 200 * n, n - 1, 200 * n - 200) for n in range(120)]
+    for f in ready:
+        for d in range(rng.randrange(5)):
+            x, y = 50 + rng.randrange(3), rng.choice([8.0, 12.0, 18.0, 22.0])
+            rows.append({"camera_id": "a", "frame_seq": f.seq, "frame_ms": f.ms, "det_idx": d, "track_id": rng.choice([-1, d]), "class_id": 0, "class_name": "person", "x1": x - 1.0, "y1": y - 2, "x2": x + 1.0, "y2": y, "cx": float(x), "cy": y - 1})
+        starts.append(len(rows))
+    batch, kept, found = pa.RecordBatch.from_pylist(rows), [], []
+    for step in (120, 1):
+        memory, puts = streamed.Memory({}), []
+        memory.put, plain = lambda ms, part, *a, **k: puts.append(part) or plain(ms, part, *a, **k), memory.put
+        judge, out = judges.Wires(wires), []
+        for n in range(0, 120, step):
+            at = [s - starts[n] for s in starts[n : n + step + 1]]
+            out += judge.frames(ready[n : n + step], at, batch.slice(starts[n], at[-1]), memory)
+        kept.append((memory.entries, len([p for p in puts if p == "track"])))
+        found.append(out)
+    assert found[0] == found[1] and {r["method"] for r in found[0]} == {"tracked", "untracked"}
+    assert kept[0][0] == kept[1][0] and kept[0][1] <= 4 < kept[1][1]
