@@ -428,6 +428,8 @@ def judged(detections: DataFrame, frames: DataFrame, judge: Judge, delay: str =
     held = StructType([f for f in fields if f.name != "ts"])
     # A watermark that the streams have already would be lost on the way.
     packed = "ts" not in stream.columns and _slots(held) is not None
+    packed = packed and (held["camera_id"].dataType, held["frame_ms"].dataType) == (StringType(), LongType())
+    packed = packed and stream.sparkSession.conf.get("spark.sql.execution.arrow.useLargeVarTypes", "false") == "false"
     proc = FrameByFrame(judge, held, out, slack_ms, packed)
     if packed:
         slots, texts = proc.slots, [f"text{i} binary" for i in _texts(proc.row_schema)]

@@ -273,3 +273,23 @@ def test_a_track_goes_into_the_memory_once_for_many_frames():
         found.append(out)
     assert found[0] == found[1] and {r["method"] for r in found[0]} == {"tracked", "untracked"}
     assert kept[0][0] == kept[1][0] and kept[0][1] <= 4 < kept[1][1]
+
+
+def test_streams_with_a_watermark_or_other_columns_are_judged_alike(spark, scratch):
+    rows = spark.range(300).selectExpr("concat('c', id % 2) as camera_id", "id as frame_seq", "id * 200 as frame_ms", "id % 7 as track_id", "1L as det_idx", "cast(id as decimal(9, 2)) as price")
+    frames = rows.select("camera_id", "frame_seq", "frame_ms", F.lit(True).alias("has_motion"))
+    rows = rows.unionByName(rows.where("frame_seq < 2").withColumn("frame_ms", F.lit(10**9)))  # both streams go on, so that all frames end
+    ends = spark.createDataFrame([(c, 10**9, 10**9, True) for c in ("c0", "c1")], frames.schema)
+    got = {}
+    for name, dets, timed in (("packed", rows.drop("price"), False), ("priced", rows, False), ("timed", rows.drop("price"), True)):
+        logs = []
+        for part, df in (("dets", dets), ("frames", frames.unionByName(ends))):
+            df.coalesce(1).write.parquet(f"{scratch}/{name}/{part}")
+            log = spark.readStream.schema(df.schema).parquet(f"{scratch}/{name}/{part}")
+            logs.append(log.withColumn("ts", F.timestamp_millis("frame_ms")).withWatermark("ts", "10 seconds") if timed else log)
+        out = judged(*logs, Unbroken(1, 1000))
+        q = out.writeStream.format("memory").queryName(f"alike_{name}").option("checkpointLocation", f"{scratch}/{name}/cp").start()
+        q.processAllAvailable()
+        q.stop()
+        got[name] = {(r.camera_id, r.frame_seq, r.frame_ms, r.track_id, r.det_idx) for r in spark.table(f"alike_{name}").collect()}
+    assert len(got["packed"]) > 100 and got["packed"] == got["priced"] == got["timed"]
